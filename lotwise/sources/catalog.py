@@ -1,39 +1,49 @@
-"""Tables spread over sites: ``<root>/<site>/<table>/<files>``.
+"""Tables spread over sites.
 
-A site is a directory level and becomes a column, so one scan covers all sites
-and a site filter is a choice of directories. Sites may be written hive-style
-(``site=s0``) or plainly (``s0``).
+A site is a directory level and becomes a ``site`` column. Two layouts are read:
+``<root>/<table>/site=<site>/`` (``by="table"``, what ``write_parquet`` with
+``partition_by=["site"]`` produces; site filters prune directories) and
+``<root>/<site>/<table>/`` (``by="site"``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.operators.names import SITE
 from lotwise.sources.tables import read_table
 
-_LAYOUT = r"/(?:site=)?([^/]+)/([^/]+)/[^/]+$"
+_TABLE_THEN_SITE = r"/([^/]+)/site=([^/]+)/[^/]+$"
+_SITE_THEN_TABLE = r"/([^/]+)/([^/]+)/[^/]+$"
+LAYOUTS = ("table", "site")
 
 
-def _from_path(path: Column, group: int) -> Column:
-    return F.regexp_extract(path, _LAYOUT, group)
+def _check_layout(by: str) -> None:
+    if by not in LAYOUTS:
+        raise ValueError(f"unknown layout {by!r}, expected one of {LAYOUTS}")
 
 
-def site_catalog(spark: SparkSession, root: str) -> DataFrame:
+def site_catalog(spark: SparkSession, root: str, by: str = "table") -> DataFrame:
     """``(site, table)`` for every table directory that holds files.
 
     Only file listings are read, never file contents.
     """
+    _check_layout(by)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    path = F.col("path")
+    pattern, site, table = (
+        (_TABLE_THEN_SITE, 2, 1) if by == "table" else (_SITE_THEN_TABLE, 1, 2)
+    )
     return (
         files.load(root)
-        .select(_from_path(path, 1).alias(SITE), _from_path(path, 2).alias("table"))
-        .where(~F.col("table").startswith("_"))
+        .select(
+            F.regexp_extract("path", pattern, site).alias(SITE),
+            F.regexp_extract("path", pattern, table).alias("table"),
+        )
+        .where(F.col(SITE) != "")
         .distinct()
     )
 
@@ -51,11 +61,17 @@ def read_site_table(
     fmt: str = "parquet",
     schema: T.StructType | None = None,
     sites: Sequence[str] | None = None,
+    by: str = "table",
 ) -> DataFrame:
-    """The table at all sites (or the given ones) with a ``site`` column."""
-    if sites is None:
-        paths = [f"{root}/*/{table}"]
-    else:
-        paths = [f"{root}/{{{','.join(f'site={s},{s}' for s in sites)}}}/{table}"]
+    """The table at all sites, or at the given ones, with a ``site`` column."""
+    _check_layout(by)
+    if by == "table":
+        if schema is not None:
+            schema = T.StructType([*schema.fields, T.StructField(SITE, T.StringType())])
+        df = read_table(spark, f"{root}/{table}", fmt, schema)
+        df = df.withColumn(SITE, F.col(SITE).cast("string"))
+        return df if sites is None else df.where(F.col(SITE).isin(list(sites)))
+    paths = [f"{root}/{site}/{table}" for site in (["*"] if sites is None else sites)]
     df = read_table(spark, paths, fmt, schema)
-    return df.select("*", _from_path(F.col("_metadata.file_path"), 1).alias(SITE))
+    site = F.regexp_extract(F.col("_metadata.file_path"), _SITE_THEN_TABLE, 1)
+    return df.select("*", site.alias(SITE))
