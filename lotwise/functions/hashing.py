@@ -12,31 +12,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEPARATOR = "|"
 WORD_HEX_DIGITS = 15  # one hash word: 60 bits, fits a BIGINT
-WORD_BITS = 4 * WORD_HEX_DIGITS
-WIDE = "decimal(38,0)"
+WORD_RANGE = 16**WORD_HEX_DIGITS
 
 
-def _digest(parts: Sequence[Column]) -> Column:
-    return F.md5(F.concat_ws(SEPARATOR, *[p.cast("string") for p in parts]))
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _word(digest: Column, number: int) -> Column:
+def _word(text: str, number: int, as_type: str) -> str:
     start = 1 + number * WORD_HEX_DIGITS
-    return F.conv(F.substring(digest, start, WORD_HEX_DIGITS), 16, 10)
+    hex_word = f"substring(md5({text}), {start}, {WORD_HEX_DIGITS})"
+    return f"CAST(conv({hex_word}, 16, 10) AS {as_type})"
+
+
+def _text(parts: Sequence[str]) -> str:
+    return f"concat_ws('|', {', '.join(f'CAST({p} AS STRING)' for p in parts)})"
 
 
 def row_hash(columns: Sequence[str]) -> Column:
     """60-bit hash of the named columns as BIGINT; nulls are skipped."""
-    return _word(_digest([F.col(c) for c in columns]), 0).cast("bigint")
+    return F.expr(_word(_text([quoted(c) for c in columns]), 0, "BIGINT"))
 
 
-def draw_hash(seed: int, *ids: Column) -> Column:
-    """120-bit hash of (seed, ids) as DECIMAL(38,0).
+def draw_hash(seed: int, *ids: str) -> Column:
+    """120-bit hash of the seed and the named columns as DECIMAL(38,0).
 
     Taken modulo any total that fits a BIGINT, the bias is below 2**-57.
     """
-    digest = _digest([F.lit(seed), *ids])
-    high, low = (_word(digest, i).cast(WIDE) for i in (0, 1))
-    return (high * F.lit(1 << WORD_BITS).cast(WIDE) + low).cast(WIDE)
+    text = _text([str(int(seed)), *[quoted(i) for i in ids]])
+    high, low = (_word(text, i, "DECIMAL(38,0)") for i in (0, 1))
+    return F.expr(f"CAST({high} * {WORD_RANGE} + {low} AS DECIMAL(38,0))")

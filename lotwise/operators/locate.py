@@ -3,9 +3,10 @@
 The intervals of one group cover ``[0, total)`` without gaps. The range is cut
 into a grid of ``parts`` cells and both sides join on (group, cell), so the
 join is a plain equi-join: it can be broadcast, sorted or split by adaptive
-execution, and one heavily drawn group spreads over its cells. With ``parts``
-about the number of intervals, the grid at most doubles the intervals, and a
-uniform draw meets two of them on average whatever the weights are.
+execution, and one heavily drawn group spreads over its cells. The grid adds at
+most ``parts`` entries to a group's intervals, and with ``parts`` not below the
+number of intervals a uniform draw meets two of them on average, whatever the
+weights are.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ from pyspark.sql import functions as F
 from lotwise.operators.names import CELL, LAST, LOW, PARTS, POS, TOTAL
 
 
-def _cell(position: Column) -> Column:
+def _cell(position: str) -> str:
     # Non-decreasing in the position and the same expression on both sides, so
     # a position inside [low, last] always lands between their cells.
-    share = position.cast("double") / F.col(TOTAL).cast("double")
-    return F.floor(share * F.col(PARTS).cast("double")).cast("bigint")
+    share = f"CAST({position} AS DOUBLE) / CAST({TOTAL} AS DOUBLE)"
+    return f"CAST(floor({share} * {PARTS}) AS BIGINT)"
 
 
 def with_intervals(
-    rows: DataFrame, by: Sequence[str], order: Sequence[Column], span: Column
+    rows: DataFrame, by: Sequence[str], order: Sequence[Column], span: str
 ) -> DataFrame:
-    """Add ``[LOW, LAST]``: the running sum of ``span`` inside each group.
+    """Add ``[LOW, LAST]``: the running sum of column ``span`` inside each group.
 
     The window holds one group per task, so callers keep groups bounded.
     """
@@ -37,12 +38,8 @@ def with_intervals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        rows.withColumn("__span", span)
-        .withColumn("__end", F.sum("__span").over(window))
-        .withColumn(LOW, F.col("__end") - F.col("__span"))
-        .withColumn(LAST, F.col("__end") - F.lit(1))
-        .drop("__span", "__end")
+    return rows.withColumn("__end", F.sum(span).over(window)).selectExpr(
+        "*", f"__end - {span} AS {LOW}", f"__end - 1 AS {LAST}"
     )
 
 
@@ -50,14 +47,12 @@ def locate(points: DataFrame, intervals: DataFrame, by: Sequence[str]) -> DataFr
     """Join every point with the interval holding its position.
 
     Both sides carry ``by``, TOTAL and PARTS with equal values inside a group.
-    The result has the point's columns and the interval's, TOTAL and PARTS of
-    the point dropped.
+    The result has the point's columns and the interval's, without TOTAL and
+    PARTS.
     """
-    point_side = points.withColumn(CELL, _cell(F.col(POS))).drop(TOTAL, PARTS)
-    cells = F.sequence(_cell(F.col(LOW)), _cell(F.col(LAST)))
-    interval_side = intervals.withColumn(CELL, F.explode(cells)).drop(TOTAL, PARTS)
-    return (
-        point_side.join(interval_side, [*by, CELL])
-        .where(F.col(POS).between(F.col(LOW), F.col(LAST)))
-        .drop(CELL)
+    point_side = points.withColumn(CELL, F.expr(_cell(POS))).drop(TOTAL, PARTS)
+    cells = F.expr(f"explode(sequence({_cell(LOW)}, {_cell(LAST)}))")
+    interval_side = intervals.withColumn(CELL, cells).drop(TOTAL, PARTS)
+    return point_side.join(interval_side, [*by, CELL]).where(
+        f"{POS} BETWEEN {LOW} AND {LAST}"
     )

@@ -5,11 +5,11 @@ a group are ordered by a portable row hash, then by their columns, and each row
 owns as many positions as its weight; the draw gets the row owning its position.
 
 * Only groups that were drawn are read; they join on the group, nothing else.
-* Identical rows are counted before they are sorted, so a row repeated any
-  number of times is one row with a count.
 * A group with more rows than ``split_rows`` is cut into hash slices. Slice
   totals come from one aggregation, the draw moves to its slice, and only drawn
   slices are read. Slices follow the row hash, so the cut never changes a result.
+* Identical rows share a slice, so there they are counted, on the map side first,
+  before anything is sorted: a row repeated any number of times is one row.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lotwise.functions import row_hash
+from lotwise.functions import quoted, row_hash
 from lotwise.operators.locate import locate, with_intervals
 from lotwise.operators.names import (
     COPIES,
     KEY,
-    LAST,
     LEAF,
-    LOW,
     PARTS,
     POS,
     ROWS,
@@ -35,22 +34,23 @@ from lotwise.operators.names import (
 )
 from lotwise.staging import Staging
 
+BIGINT = T.LongType()
+WIDE = T.DecimalType(38, 0)
+
 SPLIT_ROWS = 1 << 17
 MAX_LEAVES = 1 << 20  # bounds the window over the slice totals of one group
 ROWS_PER_LEAF_SHARE = 8
+GROUP_ROWS = "__group_rows"
 HASH = "__hash"
-
-
-def sortable(columns: Sequence[str]) -> list[Column]:
-    return [F.asc_nulls_first(c) for c in columns]
+SPAN = "__span"
 
 
 class RowLookup:
     """Finds the row of each draw.
 
-    ``rows`` has KEY and the table's columns. ``weigh`` adds WEIGHT (and any
-    further columns it looks up) to a frame of such rows; it runs after the
-    rows were reduced to the drawn groups. Rows it drops have no weight.
+    ``rows`` has KEY and the table's columns. ``weigh`` adds WEIGHT to a frame of
+    such rows, looking at ``weigh_cols`` only; it may add more columns and drops
+    rows without weight. It runs after the rows were reduced to the drawn groups.
     ``single_group`` is (total, rows) when all rows form one group.
     """
 
@@ -59,7 +59,9 @@ class RowLookup:
         rows: DataFrame,
         order_cols: Sequence[str],
         weigh: Callable[[DataFrame], DataFrame],
+        weigh_cols: Sequence[str],
         staging: Staging,
+        weight_type: T.DataType = BIGINT,
         split_rows: int = SPLIT_ROWS,
         single_group: tuple[int, int] | None = None,
     ):
@@ -69,7 +71,9 @@ class RowLookup:
         self.columns = [c for c in rows.columns if c != KEY]
         self.order_cols = list(order_cols)
         self.weigh = weigh
+        self.weigh_cols = list(weigh_cols)
         self.staging = staging
+        self.weight_type = weight_type
         self.split_rows = split_rows
         self.leaf_rows = max(1, split_rows // ROWS_PER_LEAF_SHARE)
         self.single_group = single_group
@@ -83,12 +87,12 @@ class RowLookup:
         """
         if largest_group <= self.split_rows:
             return self._finish(points.withColumn(LEAF, F.lit(0)), self._whole(points))
-        small = points.where(F.col(ROWS) <= self.split_rows)
+        small = points.where(f"{ROWS} <= {self.split_rows}")
         large = self.staging.table(
-            self._to_leaf(points.where(F.col(ROWS) > self.split_rows)), "slices"
+            self._to_leaf(points.where(f"{ROWS} > {self.split_rows}")), "slices"
         )
         point_side = small.withColumn(LEAF, F.lit(0)).unionByName(
-            large.drop("__group_rows")
+            large.drop(GROUP_ROWS)
         )
         row_side = self._whole(small).unionByName(self._slices(large))
         return self._finish(point_side, row_side)
@@ -98,89 +102,91 @@ class RowLookup:
         if self.single_group is None:
             return self.rows.join(points.select(KEY, TOTAL, ROWS).distinct(), KEY)
         total, rows = self.single_group
-        return self.rows.withColumn(
-            TOTAL, F.lit(str(total)).cast(points.schema[TOTAL].dataType)
-        ).withColumn(ROWS, F.lit(rows).cast("bigint"))
+        as_type = self.weight_type.simpleString()
+        return self.rows.selectExpr(
+            "*",
+            f"CAST('{total}' AS {as_type}) AS {TOTAL}",
+            f"CAST({rows} AS BIGINT) AS {ROWS}",
+        )
 
     def _whole(self, points: DataFrame) -> DataFrame:
-        return self._drawn_groups(points).withColumn(LEAF, F.lit(0))
+        """Rows of the drawn small groups, copies included: ROWS bounds them."""
+        return self._drawn_groups(points).selectExpr(
+            "*", f"0 AS {LEAF}", f"1L AS {COPIES}"
+        )
 
-    def _leaves(self, rows: Column) -> Column:
-        wanted = F.ceil(rows / F.lit(self.leaf_rows)).cast("bigint")
-        return F.least(F.lit(MAX_LEAVES).cast("bigint"), wanted)
+    def _leaves(self, rows: str) -> Column:
+        """Number of slices of a group with ``rows`` rows."""
+        wanted = f"CAST(ceil({rows} / {self.leaf_rows}) AS BIGINT)"
+        return F.expr(f"least(CAST({MAX_LEAVES} AS BIGINT), {wanted})")
 
-    def _leaf(self, leaves: Column) -> Column:
+    def _leaf(self, group_rows: str) -> Column:
         # The top 40 of 60 hash bits scaled to [0, leaves): non-decreasing in
         # the hash, and 40 + 20 bits stay inside a BIGINT.
         top = F.shiftright(row_hash(self.order_cols), 20)
-        return F.shiftright(top * leaves, 40).cast("int")
+        return F.shiftright(top * self._leaves(group_rows), 40).cast("int")
 
     def _to_leaf(self, points: DataFrame) -> DataFrame:
-        in_leaf = self._drawn_groups(points).withColumn(
-            LEAF, self._leaf(self._leaves(F.col(ROWS)))
+        """Points of large groups, moved into the slice holding their position."""
+        in_leaf = self._drawn_groups(points).withColumn(LEAF, self._leaf(ROWS))
+        by = [KEY, TOTAL, ROWS, LEAF]
+        # Counted before weighing, which may shuffle on one of these columns.
+        counted = in_leaf.groupBy(*by, *[quoted(c) for c in self.weigh_cols]).agg(
+            F.count(F.lit(1)).alias(COPIES)
         )
+        as_type = self.weight_type.simpleString()
         leaves = (
-            self.weigh(in_leaf)
-            .groupBy(KEY, TOTAL, ROWS, LEAF)
+            self.weigh(counted)
+            .groupBy(*by)
             .agg(
-                F.sum(WEIGHT).cast(self._type(points)).alias("__leaf_total"),
-                F.count(F.lit(1)).alias("__leaf_rows"),
+                F.expr(f"CAST(sum({WEIGHT} * {COPIES}) AS {as_type}) AS __leaf_total"),
+                F.sum(COPIES).alias("__leaf_rows"),
             )
-            .withColumn(PARTS, self._leaves(F.col(ROWS)))
+            .withColumn(PARTS, self._leaves(ROWS))
             .drop(ROWS)
         )
-        intervals = with_intervals(
-            leaves, [KEY], [F.asc(LEAF)], F.col("__leaf_total")
-        )
-        found = locate(
-            points.withColumn(PARTS, self._leaves(F.col(ROWS))), intervals, [KEY]
-        )
-        return (
-            found.withColumn(POS, F.col(POS) - F.col(LOW))
-            .withColumnRenamed(ROWS, "__group_rows")
-            .withColumnRenamed("__leaf_total", TOTAL)
-            .withColumnRenamed("__leaf_rows", ROWS)
-            .drop(LOW, LAST)
+        intervals = with_intervals(leaves, [KEY], [F.asc(LEAF)], "__leaf_total")
+        found = locate(points.withColumn(PARTS, self._leaves(ROWS)), intervals, [KEY])
+        ids = [quoted(c) for c in points.columns if c not in (KEY, POS, TOTAL, ROWS)]
+        return found.selectExpr(
+            *ids,
+            KEY,
+            LEAF,
+            f"{POS} - __low AS {POS}",
+            f"__leaf_total AS {TOTAL}",
+            f"__leaf_rows AS {ROWS}",
+            f"{ROWS} AS {GROUP_ROWS}",
         )
 
     def _slices(self, located: DataFrame) -> DataFrame:
+        """Rows of the drawn slices, each distinct row once with its count."""
         drawn = located.select(KEY, LEAF, TOTAL, ROWS).distinct()
         if self.single_group is None:
-            groups = located.select(KEY, "__group_rows").distinct()
+            groups = located.select(KEY, GROUP_ROWS).distinct()
             rows = self.rows.join(groups, KEY)
         else:
-            rows = self.rows.withColumn(
-                "__group_rows", F.lit(self.single_group[1]).cast("bigint")
-            )
-        return (
-            rows.withColumn(LEAF, self._leaf(self._leaves(F.col("__group_rows"))))
-            .drop("__group_rows")
-            .join(drawn, [KEY, LEAF])
-        )
-
-    @staticmethod
-    def _type(points: DataFrame):
-        return points.schema[POS].dataType
+            group_rows = F.lit(self.single_group[1]).cast("bigint")
+            rows = self.rows.withColumn(GROUP_ROWS, group_rows)
+        in_leaf = rows.withColumn(LEAF, self._leaf(GROUP_ROWS)).drop(GROUP_ROWS)
+        columns = [KEY, LEAF, TOTAL, ROWS, *[quoted(c) for c in self.columns]]
+        counted = in_leaf.join(drawn, [KEY, LEAF]).groupBy(*columns)
+        return counted.agg(F.count(F.lit(1)).alias(COPIES))
 
     def _finish(self, points: DataFrame, picked: DataFrame) -> DataFrame:
-        distinct_rows = picked.groupBy(KEY, LEAF, TOTAL, ROWS, *self.columns).agg(
-            F.count(F.lit(1)).alias(COPIES)
-        )
-        weighed = self.weigh(distinct_rows).withColumn(
-            HASH, row_hash(self.order_cols)
+        # ROWS of a slice includes copies, so the grid is capped: one repeated
+        # row must not spread over one cell per copy.
+        parts = F.expr(f"least({ROWS}, CAST({self.split_rows} AS BIGINT))")
+        as_type = self.weight_type.simpleString()
+        weighed = self.weigh(picked).select(
+            "*",
+            row_hash(self.order_cols).alias(HASH),
+            F.expr(f"CAST({WEIGHT} * {COPIES} AS {as_type}) AS {SPAN}"),
+            parts.alias(PARTS),
         )
         rest = [c for c in self.columns if c not in self.order_cols]
-        order = [F.asc(HASH), *sortable([*self.order_cols, *rest])]
-        # Copies count as rows here, so the grid is capped: one repeated row
-        # must not spread over one cell per copy.
-        parts = F.least(F.col(ROWS), F.lit(self.split_rows).cast("bigint"))
-        span = (F.col(WEIGHT) * F.col(COPIES)).cast(self._type(points))
-        intervals = (
-            with_intervals(weighed, [KEY, LEAF], order, span)
-            .withColumn(PARTS, parts)
-            .drop(ROWS, HASH, COPIES)
-        )
+        order = [F.asc_nulls_first(quoted(c)) for c in [HASH, *self.order_cols, *rest]]
+        intervals = with_intervals(weighed.drop(ROWS), [KEY, LEAF], order, SPAN)
         found = locate(points.withColumn(PARTS, parts), intervals, [KEY, LEAF])
         return found.withColumn(
-            POS, ((F.col(POS) - F.col(LOW)) % F.col(WEIGHT)).cast(self._type(points))
-        ).drop(LOW, LAST, LEAF, ROWS)
+            POS, F.expr(f"CAST(({POS} - __low) % {WEIGHT} AS {as_type})")
+        )

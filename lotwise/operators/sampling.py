@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import draw_hash
-from lotwise.operators.lookup import SPLIT_ROWS, RowLookup
+from lotwise.operators.lookup import BIGINT, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
     POS,
@@ -20,8 +20,6 @@ from lotwise.operators.names import (
 )
 from lotwise.staging import Staging
 
-BIGINT = T.LongType()
-WIDE = T.DecimalType(38, 0)
 COPIES_PER_CHUNK = 1024
 
 
@@ -88,7 +86,7 @@ def weighted_sample(
     points = spark.range(n).select(
         F.col("id").alias("__draw"),
         F.lit(0).alias(KEY),
-        (draw_hash(seed, F.col("id")) % total_lit).cast(weight_type).alias(POS),
+        (draw_hash(seed, "id") % total_lit).cast(weight_type).alias(POS),
         total_lit.cast(weight_type).alias(TOTAL),
         F.lit(count).cast("bigint").alias(ROWS),
     )
@@ -96,7 +94,9 @@ def weighted_sample(
         rows.withColumn(KEY, F.lit(0)),
         order_cols or df.columns,
         _weigher(name, wide),
+        [name],
         staging or Staging(spark),
+        weight_type,
         split_rows,
         single_group=(total, count),
     )
@@ -149,7 +149,7 @@ def sample_per_key(
         draws.select(
             "__draw",
             KEY,
-            (draw_hash(seed, F.col(KEY), F.col("__draw")) % F.col(TOTAL).cast(WIDE))
+            (draw_hash(seed, KEY, "__draw") % F.col(TOTAL).cast(WIDE))
             .cast(weight_type)
             .alias(POS),
             TOTAL,
@@ -159,7 +159,13 @@ def sample_per_key(
     )
     largest = totals.agg(F.max(ROWS)).first()[0] or 0
     lookup = RowLookup(
-        rows, order_cols or df.columns, weigh, staging, split_rows
+        rows,
+        order_cols or df.columns,
+        weigh,
+        [name],
+        staging,
+        weight_type,
+        split_rows,
     )
     found = lookup.resolve(points, largest)
     return found.select(F.col("__draw").alias("draw_no"), *df.columns)

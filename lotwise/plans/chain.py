@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import draw_hash, half_up, to_share
-from lotwise.operators.lookup import SPLIT_ROWS, RowLookup
+from lotwise.operators.lookup import BIGINT, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
     POS,
@@ -31,8 +31,6 @@ from lotwise.sources.tables import read_table
 from lotwise.staging import Staging
 
 DRAW = "__draw"
-BIGINT = T.LongType()
-WIDE = T.DecimalType(38, 0)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -337,7 +335,9 @@ class ChainJoin:
                 table.df.withColumn(KEY, F.col(incoming).cast(incoming_type)),
                 table.order,
                 self._weigh(i),
+                [] if self.is_last(i) else [self.edges[i][0]],
                 self.staging,
+                self._weight_type,
                 self.split_rows,
             )
             found = lookup.resolve(points, facts[i]["largest"])
@@ -365,7 +365,7 @@ class ChainJoin:
         points = self.spark.range(n).select(
             F.col("id").alias(DRAW),
             F.lit(0).alias(KEY),
-            (draw_hash(seed, F.col("id")) % whole).cast(self._weight_type).alias(POS),
+            (draw_hash(seed, "id") % whole).cast(self._weight_type).alias(POS),
             whole.cast(self._weight_type).alias(TOTAL),
             F.lit(groups).cast("bigint").alias(ROWS),
         )
@@ -379,7 +379,9 @@ class ChainJoin:
             keys,
             ["__first_key"],
             lambda df: df.withColumn(WEIGHT, F.col("__key_total")),
+            ["__key_total"],
             self.staging,
+            self._weight_type,
             self.split_rows,
             single_group=(total, groups),
         )
