@@ -117,7 +117,7 @@ class ChainCase:
         for i, m in enumerate(self.members):
             columns = [f"t{i}.{c}" for c in m.columns]
             order += [row_hash_sql(columns), *columns]
-            order += [f"t{i}.{c}" for c in m.payload]
+            order += [f"t{i}.{c}" for c in [*m.payload, "rid"]]
         out = ", ".join(self.columns_sql(i) for i in range(len(self.members)))
         return (
             f"WITH j AS (SELECT {out}, row_number() OVER (ORDER BY "

@@ -216,14 +216,12 @@ class ChainJoin:
             F.col(KEY).alias("key"), F.col(TOTAL).alias("count"), *sites
         )
 
-    def weights(self, i: int) -> DataFrame:
-        """Table ``i`` with ``weight``; rows without a join result are gone."""
+    def weights(self, i: int, name: str = "weight") -> DataFrame:
+        """Table ``i`` with its weights; rows without a join result are gone."""
         table = self.tables[i].df
-        if "weight" in table.columns:
-            raise ValueError(f"table {self.tables[i].name!r} has a column 'weight'")
-        return self._weigh(i)(table).select(
-            *table.columns, F.col(WEIGHT).alias("weight")
-        )
+        if name in table.columns:
+            raise ValueError(f"table {self.tables[i].name!r} has a column {name!r}")
+        return self._weigh(i)(table).select(*table.columns, F.col(WEIGHT).alias(name))
 
     def _weigh(self, i: int):
         if self.is_last(i):
