@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 WORD_HEX_DIGITS = 15  # one hash word: 60 bits, fits a BIGINT
 WORD_RANGE = 16**WORD_HEX_DIGITS
+HASH_BITS = 4 * WORD_HEX_DIGITS
 
 
 def quoted(name: str) -> str:

@@ -5,27 +5,32 @@ a group are ordered by a portable row hash, then by their columns, and each row
 owns as many positions as its weight; the draw gets the row owning its position.
 
 * Only groups that were drawn are read; they join on the group, nothing else.
-* A group with more rows than ``split_rows`` is cut into hash slices. Slice
-  totals come from one aggregation, the draw moves to its slice, and only drawn
-  slices are read. Slices follow the row hash, so the cut never changes a result.
-* Identical rows share a slice, so there they are counted, on the map side first,
-  before anything is sorted: a row repeated any number of times is one row.
+* A group with more rows than ``split_rows`` is cut into slices by the leading
+  bits of the row hash. Slice totals come from one aggregation with few slices
+  per group, so most of it happens on the map side; the draw moves to its slice.
+  Drawn slices that are still large are cut again by the next bits. Slices
+  follow the row hash, so the cuts never change a result.
+* Identical rows share a slice that cannot be cut. There they are counted, on
+  the map side first: a row repeated any number of times is one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import quoted, row_hash
+from lotwise.functions.hashing import HASH_BITS
 from lotwise.operators.locate import locate, with_intervals
 from lotwise.operators.names import (
     COPIES,
     KEY,
     LEAF,
+    LOW,
     PARTS,
     POS,
     ROWS,
@@ -38,11 +43,11 @@ BIGINT = T.LongType()
 WIDE = T.DecimalType(38, 0)
 
 SPLIT_ROWS = 1 << 17
-MAX_LEAVES = 1 << 20  # bounds the window over the slice totals of one group
-ROWS_PER_LEAF_SHARE = 8
-GROUP_ROWS = "__group_rows"
+SLICE_BITS = 14  # hash bits per cut: at most 16384 slices of one group or slice
 HASH = "__hash"
 SPAN = "__span"
+CUT = "__cut"  # can and must this slice be cut again
+WHOLE = 1  # LEAF of an uncut group
 
 
 class RowLookup:
@@ -63,10 +68,11 @@ class RowLookup:
         staging: Staging,
         weight_type: T.DataType = BIGINT,
         split_rows: int = SPLIT_ROWS,
+        slice_bits: int = SLICE_BITS,
         single_group: tuple[int, int] | None = None,
     ):
-        if split_rows < 1:
-            raise ValueError("split_rows must be positive")
+        if split_rows < 1 or not 1 <= slice_bits <= SLICE_BITS:
+            raise ValueError("split_rows or slice_bits out of range")
         self.rows = rows
         self.columns = [c for c in rows.columns if c != KEY]
         self.order_cols = list(order_cols)
@@ -75,27 +81,37 @@ class RowLookup:
         self.staging = staging
         self.weight_type = weight_type
         self.split_rows = split_rows
-        self.leaf_rows = max(1, split_rows // ROWS_PER_LEAF_SHARE)
+        self.slice_bits = slice_bits
         self.single_group = single_group
 
     def resolve(self, points: DataFrame, largest_group: int) -> DataFrame:
         """Points (KEY, POS, TOTAL, ROWS and ids) with their row.
 
         POS becomes the position inside the row's own weight. ``largest_group``
-        is an upper bound of ROWS; the slicing jobs are only planned when it
-        exceeds ``split_rows``.
+        is an upper bound of ROWS; slices are only planned when it exceeds
+        ``split_rows``.
         """
+        points = points.withColumn(LEAF, F.lit(WHOLE).cast("bigint"))
         if largest_group <= self.split_rows:
-            return self._finish(points.withColumn(LEAF, F.lit(0)), self._whole(points))
+            return self._finish(points, self._whole(points))
         small = points.where(f"{ROWS} <= {self.split_rows}")
-        large = self.staging.table(
-            self._to_leaf(points.where(f"{ROWS} > {self.split_rows}")), "slices"
+        located, picked = [small], [self._whole(small)]
+        large, level = points.where(f"{ROWS} > {self.split_rows}"), 0
+        while large is not None:
+            level += 1
+            cut = self.staging.table(self._to_slice(large, level), f"slices{level}")
+            last = (level + 1) * self.slice_bits > HASH_BITS
+            ready = cut if last else cut.where(f"NOT {CUT}")
+            located.append(ready.drop(CUT))
+            picked.append(self._slice_rows(ready, level))
+            self._check_order(ready, level)
+            large = None if last else cut.where(CUT).drop(CUT)
+            if large is not None and large.isEmpty():
+                large = None
+        return self._finish(
+            reduce(DataFrame.unionByName, located),
+            reduce(DataFrame.unionByName, picked),
         )
-        point_side = small.withColumn(LEAF, F.lit(0)).unionByName(
-            large.drop(GROUP_ROWS)
-        )
-        row_side = self._whole(small).unionByName(self._slices(large))
-        return self._finish(point_side, row_side)
 
     def _drawn_groups(self, points: DataFrame) -> DataFrame:
         """Rows of the drawn groups, with TOTAL and ROWS of the group."""
@@ -112,65 +128,83 @@ class RowLookup:
     def _whole(self, points: DataFrame) -> DataFrame:
         """Rows of the drawn small groups, copies included: ROWS bounds them."""
         return self._drawn_groups(points).selectExpr(
-            "*", f"0 AS {LEAF}", f"1L AS {COPIES}"
+            "*", f"CAST({WHOLE} AS BIGINT) AS {LEAF}", f"1L AS {COPIES}"
         )
 
-    def _leaves(self, rows: str) -> Column:
-        """Number of slices of a group with ``rows`` rows."""
-        wanted = f"CAST(ceil({rows} / {self.leaf_rows}) AS BIGINT)"
-        return F.expr(f"least(CAST({MAX_LEAVES} AS BIGINT), {wanted})")
-
-    def _leaf(self, group_rows: str) -> Column:
-        # The top 40 of 60 hash bits scaled to [0, leaves): non-decreasing in
-        # the hash, and 40 + 20 bits stay inside a BIGINT.
-        top = F.shiftright(row_hash(self.order_cols), 20)
-        return F.shiftright(top * self._leaves(group_rows), 40).cast("int")
-
-    def _to_leaf(self, points: DataFrame) -> DataFrame:
-        """Points of large groups, moved into the slice holding their position."""
-        in_leaf = self._drawn_groups(points).withColumn(LEAF, self._leaf(ROWS))
-        by = [KEY, TOTAL, ROWS, LEAF]
-        # Counted before weighing, which may shuffle on one of these columns.
-        counted = in_leaf.groupBy(*by, *[quoted(c) for c in self.weigh_cols]).agg(
-            F.count(F.lit(1)).alias(COPIES)
+    def _leaf(self, level: int) -> str:
+        """Slice of a hash: its leading bits behind a one, so levels differ."""
+        bits = level * self.slice_bits
+        return f"shiftright({HASH}, {HASH_BITS - bits}) + {1 << bits}L"
+
+    def _drawn_slices(self, points: DataFrame, level: int) -> DataFrame:
+        """Rows of the drawn slices, with HASH, LEAF, TOTAL and ROWS."""
+        if level == 0:
+            return self._drawn_groups(points).select(
+                "*",
+                row_hash(self.order_cols).alias(HASH),
+                F.lit(WHOLE).cast("bigint").alias(LEAF),
+            )
+        drawn = points.select(KEY, LEAF, TOTAL, ROWS).distinct()
+        hashed = self.rows.withColumn(HASH, row_hash(self.order_cols))
+        return hashed.withColumn(LEAF, F.expr(self._leaf(level))).join(
+            drawn, [KEY, LEAF]
         )
+
+    def _to_slice(self, points: DataFrame, level: int) -> DataFrame:
+        """Points of large groups or slices, moved into slices of ``level``."""
         as_type = self.weight_type.simpleString()
-        leaves = (
+        by = [KEY, LEAF, TOTAL, PARTS, "__slice"]
+        parts = f"least({ROWS}, {1 << self.slice_bits}L) AS {PARTS}"
+        rows = self._drawn_slices(points, level - 1).selectExpr(
+            "*", f"{self._leaf(level)} AS __slice", parts
+        )
+        # Counted before weighing, which may shuffle on one of these columns.
+        counted = rows.groupBy(*by, *[quoted(c) for c in self.weigh_cols]).agg(
+            F.count(F.lit(1)).alias(COPIES),
+            F.min(HASH).alias("__min"),
+            F.max(HASH).alias("__max"),
+        )
+        slices = (
             self.weigh(counted)
             .groupBy(*by)
             .agg(
-                F.expr(f"CAST(sum({WEIGHT} * {COPIES}) AS {as_type}) AS __leaf_total"),
-                F.sum(COPIES).alias("__leaf_rows"),
+                F.expr(f"CAST(sum({WEIGHT} * {COPIES}) AS {as_type}) AS __slice_total"),
+                F.sum(COPIES).alias("__slice_rows"),
+                (F.min("__min") < F.max("__max")).alias("__mixed"),
             )
-            .withColumn(PARTS, self._leaves(ROWS))
-            .drop(ROWS)
         )
-        intervals = with_intervals(leaves, [KEY], [F.asc(LEAF)], "__leaf_total")
-        found = locate(points.withColumn(PARTS, self._leaves(ROWS)), intervals, [KEY])
-        ids = [quoted(c) for c in points.columns if c not in (KEY, POS, TOTAL, ROWS)]
+        intervals = with_intervals(
+            slices, [KEY, LEAF], [F.asc("__slice")], "__slice_total"
+        )
+        found = locate(points.selectExpr("*", parts), intervals, [KEY, LEAF])
+        ids = set(points.columns) - {KEY, LEAF, POS, TOTAL, ROWS}
         return found.selectExpr(
-            *ids,
+            *[quoted(c) for c in points.columns if c in ids],
             KEY,
-            LEAF,
-            f"{POS} - __low AS {POS}",
-            f"__leaf_total AS {TOTAL}",
-            f"__leaf_rows AS {ROWS}",
-            f"{ROWS} AS {GROUP_ROWS}",
+            f"__slice AS {LEAF}",
+            f"{POS} - {LOW} AS {POS}",
+            f"__slice_total AS {TOTAL}",
+            f"__slice_rows AS {ROWS}",
+            f"__mixed AND __slice_rows > {self.split_rows} AS {CUT}",
         )
 
-    def _slices(self, located: DataFrame) -> DataFrame:
+    def _slice_rows(self, points: DataFrame, level: int) -> DataFrame:
         """Rows of the drawn slices, each distinct row once with its count."""
-        drawn = located.select(KEY, LEAF, TOTAL, ROWS).distinct()
-        if self.single_group is None:
-            groups = located.select(KEY, GROUP_ROWS).distinct()
-            rows = self.rows.join(groups, KEY)
-        else:
-            group_rows = F.lit(self.single_group[1]).cast("bigint")
-            rows = self.rows.withColumn(GROUP_ROWS, group_rows)
-        in_leaf = rows.withColumn(LEAF, self._leaf(GROUP_ROWS)).drop(GROUP_ROWS)
-        columns = [KEY, LEAF, TOTAL, ROWS, *[quoted(c) for c in self.columns]]
-        counted = in_leaf.join(drawn, [KEY, LEAF]).groupBy(*columns)
-        return counted.agg(F.count(F.lit(1)).alias(COPIES))
+        columns = [KEY, TOTAL, ROWS, LEAF, *[quoted(c) for c in self.columns]]
+        rows = self._drawn_slices(points, level).groupBy(*columns)
+        return rows.agg(F.count(F.lit(1)).alias(COPIES))
+
+    def _check_order(self, points: DataFrame, level: int) -> None:
+        """Refuse declared order columns shared by more rows than one task sorts."""
+        if set(self.order_cols) >= set(self.columns):
+            return
+        crowded = points.where(f"{ROWS} > {self.split_rows}")
+        distinct = self._slice_rows(crowded, level).groupBy(KEY, LEAF).count()
+        if not distinct.where(f"count > {self.split_rows}").isEmpty():
+            raise ValueError(
+                f"order columns {self.order_cols} are shared by more than "
+                f"{self.split_rows} different rows; leave order_cols out"
+            )
 
     def _finish(self, points: DataFrame, picked: DataFrame) -> DataFrame:
         # ROWS of a slice includes copies, so the grid is capped: one repeated
@@ -188,5 +222,5 @@ class RowLookup:
         intervals = with_intervals(weighed.drop(ROWS), [KEY, LEAF], order, SPAN)
         found = locate(points.withColumn(PARTS, parts), intervals, [KEY, LEAF])
         return found.withColumn(
-            POS, F.expr(f"CAST(({POS} - __low) % {WEIGHT} AS {as_type})")
+            POS, F.expr(f"CAST(({POS} - {LOW}) % {WEIGHT} AS {as_type})")
         )

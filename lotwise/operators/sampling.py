@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.functions import draw_hash
-from lotwise.operators.lookup import BIGINT, SPLIT_ROWS, WIDE, RowLookup
+from lotwise.functions import draw_hash, quoted
+from lotwise.operators.lookup import BIGINT, SLICE_BITS, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
     POS,
@@ -26,21 +26,23 @@ COPIES_PER_CHUNK = 1024
 def repeat_rows(df: DataFrame, count: str, index: str = "copy") -> DataFrame:
     """Every row ``count`` times, numbered from 0 in ``index``; none for 0.
 
-    Counts above a chunk are first split over the cluster, so a row with a huge
-    count is expanded by many tasks and never builds one huge array.
+    Rows with large counts are cut into chunks that are dealt to all tasks, so
+    no task expands a huge count alone or builds a huge array.
     """
-    last_chunk = ((F.col(count) - F.lit(1)) / F.lit(COPIES_PER_CHUNK)).cast("bigint")
-    chunks = df.where(F.col(count) > 0).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("__chunk")
+    n, size = quoted(count), COPIES_PER_CHUNK
+    small = df.where(f"{n} > 0 AND {n} <= {size}").selectExpr(
+        "*", f"explode(sequence(0L, CAST({n} AS BIGINT) - 1)) AS {quoted(index)}"
     )
-    first = F.col("__chunk") * COPIES_PER_CHUNK
-    last = F.least(
-        F.col(count).cast("bigint"), first + F.lit(COPIES_PER_CHUNK)
-    ) - F.lit(1)
-    spread = chunks.repartition(F.col("__chunk"), *[F.col(c) for c in df.columns])
-    return spread.select(
-        *df.columns, F.explode(F.sequence(first, last)).alias(index)
+    chunks = df.where(f"{n} > {size}").selectExpr(
+        "*", f"explode(sequence(0L, CAST(({n} - 1) DIV {size} AS BIGINT))) AS __chunk"
     )
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = f"least(CAST({n} AS BIGINT), (__chunk + 1) * {size}) - 1"
+    large = chunks.repartition(tasks).selectExpr(
+        *[quoted(c) for c in df.columns],
+        f"explode(sequence(__chunk * {size}, {last})) AS {quoted(index)}",
+    )
+    return small.unionByName(large)
 
 
 def _weighted_rows(df: DataFrame, weight: str | None, wide: bool) -> tuple[DataFrame, str]:
@@ -64,6 +66,7 @@ def weighted_sample(
     order_cols: Sequence[str] | None = None,
     wide: bool = False,
     split_rows: int = SPLIT_ROWS,
+    slice_bits: int = SLICE_BITS,
     staging: Staging | None = None,
 ) -> DataFrame:
     """``n`` draws, each taking a row in proportion to its integer weight.
@@ -98,6 +101,7 @@ def weighted_sample(
         staging or Staging(spark),
         weight_type,
         split_rows,
+        slice_bits,
         single_group=(total, count),
     )
     found = lookup.resolve(points, count)
@@ -113,6 +117,7 @@ def sample_per_key(
     order_cols: Sequence[str] | None = None,
     wide: bool = False,
     split_rows: int = SPLIT_ROWS,
+    slice_bits: int = SLICE_BITS,
     staging: Staging | None = None,
 ) -> DataFrame:
     """For each ``(key, count)`` of ``counts``, that many draws among its rows.
@@ -166,6 +171,7 @@ def sample_per_key(
         staging,
         weight_type,
         split_rows,
+        slice_bits,
     )
     found = lookup.resolve(points, largest)
     return found.select(F.col("__draw").alias("draw_no"), *df.columns)

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import draw_hash, half_up, to_share
-from lotwise.operators.lookup import BIGINT, SPLIT_ROWS, WIDE, RowLookup
+from lotwise.operators.lookup import BIGINT, SLICE_BITS, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
     POS,
@@ -70,6 +70,9 @@ class TableSpec:
         missing = [c for c in named if c not in self.df.columns]
         if missing:
             raise ValueError(f"table {self.name!r} has no column {missing}")
+        maps = [f.name for f in self.df.schema if isinstance(f.dataType, T.MapType)]
+        if maps:
+            raise ValueError(f"map columns cannot be ordered, drop {maps} first")
 
 
 def key_type(left: TableSpec, left_col: str, right: TableSpec, right_col: str):
@@ -106,6 +109,7 @@ class ChainJoin:
     edges: Sequence[tuple[str, str]]
     wide: bool = False
     split_rows: int = SPLIT_ROWS
+    slice_bits: int = SLICE_BITS
     _types: list = field(init=False, repr=False)
     _staged: dict = field(init=False, repr=False, default_factory=dict)
     _samples: dict = field(init=False, repr=False, default_factory=dict)
@@ -337,6 +341,7 @@ class ChainJoin:
                 self.staging,
                 self._weight_type,
                 self.split_rows,
+                self.slice_bits,
             )
             found = lookup.resolve(points, facts[i]["largest"])
             following = (
@@ -381,6 +386,7 @@ class ChainJoin:
             self.staging,
             self._weight_type,
             self.split_rows,
+            self.slice_bits,
             single_group=(total, groups),
         )
         found = lookup.resolve(points, groups)
@@ -434,8 +440,9 @@ class ChainJoin:
         """
         if mode == "proportional":
             by_site = self.cardinality(by_site=True)
-            total = self.cardinality().select(F.col("cardinality").alias("__all"))
-            share = to_share(F.col("cardinality"), total.scalar())
+            # One row per site, so a window over all of them stays small.
+            total = F.sum("cardinality").over(Window.partitionBy(F.lit(0)))
+            share = to_share(F.col("cardinality"), total)
             return by_site.select(SITE, half_up(share * F.lit(float(n))).alias("count"))
         if mode == "drawn":
             return self._count_by(0, n, seed, [self._site(0)])
@@ -453,10 +460,10 @@ class ChainJoin:
 
     def requested_and_collected(self, n: int, seed: int) -> DataFrame:
         """Per site of the first table: proportional request, rows drawn."""
-        requested = self.allocate(n, "proportional").withColumnRenamed(
-            "count", "requested"
-        )
         collected = self.allocate(n, "drawn", seed).withColumnRenamed(
             "count", "collected"
         )
+        requested = self.allocate(n, "proportional").withColumnRenamed(
+            "count", "requested"
+        )
         return requested.join(collected, SITE, "left").fillna(0, ["collected"])

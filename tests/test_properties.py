@@ -49,10 +49,10 @@ def collected(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("split_rows", [1 << 17, 50, 4, 1])
-def test_sample_equals_brute_force(spark, expected, split_rows):
+@pytest.mark.parametrize("split_rows, bits", [(1 << 17, 14), (50, 2), (4, 14), (1, 5)])
+def test_sample_equals_brute_force(spark, expected, split_rows, bits):
     tables, rows = expected
-    chain = skewed_chain(spark, tables, split_rows=split_rows)
+    chain = skewed_chain(spark, tables, split_rows=split_rows, slice_bits=bits)
     assert collected(chain.sample(N, SEED)) == rows
     chain.release()
 
@@ -214,19 +214,29 @@ def test_description(spark):
     assert chain.table_index("b") == 1
 
 
-@pytest.mark.parametrize("split_rows", [1 << 17, 20, 1])
-def test_weighted_sample(spark, split_rows):
+@pytest.mark.parametrize("split_rows, bits", [(1 << 17, 14), (20, 2), (1, 14)])
+def test_weighted_sample(spark, split_rows, bits):
     rows = [(i, i % 7 - 1) for i in range(120)] + [(500, 40)] * 60 + [(501, None)]
     df = spark.createDataFrame(rows, "id long, w int")
     live = [r for r in rows if r[1] and r[1] > 0]
     total = sum(w for _, w in live)
-    sample = weighted_sample(df, "w", 200, 4, split_rows=split_rows)
+    sample = weighted_sample(
+        df, "w", 200, 4, split_rows=split_rows, slice_bits=bits
+    )
     expected = [
         (i, *pick(live, [w for _, w in live], rank(4, total, i))) for i in range(200)
     ]
     assert collected(sample) == expected
 
 
+def test_order_columns_must_tell_rows_apart(spark):
+    df = spark.range(100).select("id", F.lit(1).alias("w"), (F.col("id") % 2).alias("half"))
+    sample = weighted_sample(df, "w", 50, 1, order_cols=["half"])
+    assert sample.count() == 50  # few rows: sorted in one task
+    with pytest.raises(ValueError, match="order columns"):
+        weighted_sample(df, "w", 50, 1, order_cols=["half"], split_rows=10)
+
+
 @pytest.mark.parametrize("split_rows", [1 << 17, 10])
 @pytest.mark.parametrize("weight", [None, "w"])
 def test_sample_per_key(spark, split_rows, weight):
