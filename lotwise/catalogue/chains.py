@@ -130,8 +130,7 @@ class ChainCase:
 
 
 def row_hash_sql(columns: Sequence[str]) -> str:
-    text = f"concat_ws('|', {', '.join(columns)})"
-    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+    return f"md5(concat_ws('|', {', '.join(columns)}))"
 
 
 def draw_hash_sql(seed: int, *ids: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 WORD_HEX_DIGITS = 15  # one hash word: 60 bits, fits a BIGINT
 WORD_RANGE = 16**WORD_HEX_DIGITS
-HASH_BITS = 4 * WORD_HEX_DIGITS
+HASH_DIGITS = 32
 
 
 def quoted(name: str) -> str:
@@ -33,8 +33,8 @@ def _text(parts: Sequence[str]) -> str:
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """60-bit hash of the named columns as BIGINT; nulls are skipped."""
-    return F.expr(_word(_text([quoted(c) for c in columns]), 0, "BIGINT"))
+    """128-bit hash of the named columns as hexadecimal text; nulls are skipped."""
+    return F.expr(f"md5({_text([quoted(c) for c in columns])})")
 
 
 def draw_hash(seed: int, *ids: str) -> Column:

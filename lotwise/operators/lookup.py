@@ -6,9 +6,9 @@ owns as many positions as its weight; the draw gets the row owning its position.
 
 * Only groups that were drawn are read; they join on the group, nothing else.
 * A group with more rows than ``split_rows`` is cut into slices by the leading
-  bits of the row hash. Slice totals come from one aggregation with few slices
+  digits of the row hash. Slice totals come from one aggregation with few slices
   per group, so most of it happens on the map side; the draw moves to its slice.
-  Drawn slices that are still large are cut again by the next bits. Slices
+  Drawn slices that are still large are cut again by the next digits. Slices
   follow the row hash, so the cuts never change a result.
 * Identical rows share a slice that cannot be cut. There they are counted, on
   the map side first: a row repeated any number of times is one row.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import quoted, row_hash
-from lotwise.functions.hashing import HASH_BITS
+from lotwise.functions.hashing import HASH_DIGITS
 from lotwise.operators.locate import locate, with_intervals
 from lotwise.operators.names import (
     COPIES,
@@ -43,19 +43,20 @@ BIGINT = T.LongType()
 WIDE = T.DecimalType(38, 0)
 
 SPLIT_ROWS = 1 << 17
-SLICE_BITS = 14  # hash bits per cut: at most 16384 slices of one group or slice
+SLICE_DIGITS = 4  # hash digits per cut: at most 65536 slices of a group or slice
 HASH = "__hash"
 SPAN = "__span"
 CUT = "__cut"  # can and must this slice be cut again
-WHOLE = 1  # LEAF of an uncut group
+WHOLE = "''"  # LEAF of an uncut group
 
 
 class RowLookup:
     """Finds the row of each draw.
 
     ``rows`` has KEY and the table's columns. ``weigh`` adds WEIGHT to a frame of
-    such rows, looking at ``weigh_cols`` only; it may add more columns and drops
-    rows without weight. It runs after the rows were reduced to the drawn groups.
+    such rows; it may add more columns and drops rows without weight. It runs
+    after the rows were reduced to the drawn groups. If it looks the weight up in
+    another table, ``weigh_col`` is the column it looks at.
     ``single_group`` is (total, rows) when all rows form one group.
     """
 
@@ -64,24 +65,24 @@ class RowLookup:
         rows: DataFrame,
         order_cols: Sequence[str],
         weigh: Callable[[DataFrame], DataFrame],
-        weigh_cols: Sequence[str],
+        weigh_col: str | None,
         staging: Staging,
         weight_type: T.DataType = BIGINT,
         split_rows: int = SPLIT_ROWS,
-        slice_bits: int = SLICE_BITS,
+        slice_digits: int = SLICE_DIGITS,
         single_group: tuple[int, int] | None = None,
     ):
-        if split_rows < 1 or not 1 <= slice_bits <= SLICE_BITS:
-            raise ValueError("split_rows or slice_bits out of range")
+        if split_rows < 1 or not 1 <= slice_digits <= SLICE_DIGITS:
+            raise ValueError("split_rows or slice_digits out of range")
         self.rows = rows
         self.columns = [c for c in rows.columns if c != KEY]
         self.order_cols = list(order_cols)
         self.weigh = weigh
-        self.weigh_cols = list(weigh_cols)
+        self.weigh_col = weigh_col
         self.staging = staging
         self.weight_type = weight_type
         self.split_rows = split_rows
-        self.slice_bits = slice_bits
+        self.slice_digits = slice_digits
         self.single_group = single_group
 
     def resolve(self, points: DataFrame, largest_group: int) -> DataFrame:
@@ -91,16 +92,18 @@ class RowLookup:
         is an upper bound of ROWS; slices are only planned when it exceeds
         ``split_rows``.
         """
-        points = points.withColumn(LEAF, F.lit(WHOLE).cast("bigint"))
+        points = points.withColumn(LEAF, F.expr(WHOLE))
         if largest_group <= self.split_rows:
             return self._finish(points, self._whole(points))
-        small = points.where(f"{ROWS} <= {self.split_rows}")
-        located, picked = [small], [self._whole(small)]
-        large, level = points.where(f"{ROWS} > {self.split_rows}"), 0
+        located, picked, large, level = [], [], points, 0
+        if self.single_group is None:
+            small = points.where(f"{ROWS} <= {self.split_rows}")
+            located, picked = [small], [self._whole(small)]
+            large = points.where(f"{ROWS} > {self.split_rows}")
         while large is not None:
             level += 1
             cut = self.staging.table(self._to_slice(large, level), f"slices{level}")
-            last = (level + 1) * self.slice_bits > HASH_BITS
+            last = (level + 1) * self.slice_digits > HASH_DIGITS
             ready = cut if last else cut.where(f"NOT {CUT}")
             located.append(ready.drop(CUT))
             picked.append(self._slice_rows(ready, level))
@@ -128,13 +131,12 @@ class RowLookup:
     def _whole(self, points: DataFrame) -> DataFrame:
         """Rows of the drawn small groups, copies included: ROWS bounds them."""
         return self._drawn_groups(points).selectExpr(
-            "*", f"CAST({WHOLE} AS BIGINT) AS {LEAF}", f"1L AS {COPIES}"
+            "*", f"{WHOLE} AS {LEAF}", f"1L AS {COPIES}"
         )
 
     def _leaf(self, level: int) -> str:
-        """Slice of a hash: its leading bits behind a one, so levels differ."""
-        bits = level * self.slice_bits
-        return f"shiftright({HASH}, {HASH_BITS - bits}) + {1 << bits}L"
+        """Slice of a hash: its leading digits."""
+        return f"substring({HASH}, 1, {level * self.slice_digits})"
 
     def _drawn_slices(self, points: DataFrame, level: int) -> DataFrame:
         """Rows of the drawn slices, with HASH, LEAF, TOTAL and ROWS."""
@@ -142,7 +144,7 @@ class RowLookup:
             return self._drawn_groups(points).select(
                 "*",
                 row_hash(self.order_cols).alias(HASH),
-                F.lit(WHOLE).cast("bigint").alias(LEAF),
+                F.expr(WHOLE).alias(LEAF),
             )
         drawn = points.select(KEY, LEAF, TOTAL, ROWS).distinct()
         hashed = self.rows.withColumn(HASH, row_hash(self.order_cols))
@@ -154,18 +156,23 @@ class RowLookup:
         """Points of large groups or slices, moved into slices of ``level``."""
         as_type = self.weight_type.simpleString()
         by = [KEY, LEAF, TOTAL, PARTS, "__slice"]
-        parts = f"least({ROWS}, {1 << self.slice_bits}L) AS {PARTS}"
+        parts = f"least({ROWS}, {16**self.slice_digits}L) AS {PARTS}"
+        # A BIGINT image of the hash keeps min and max in hash aggregation.
         rows = self._drawn_slices(points, level - 1).selectExpr(
-            "*", f"{self._leaf(level)} AS __slice", parts
-        )
-        # Counted before weighing, which may shuffle on one of these columns.
-        counted = rows.groupBy(*by, *[quoted(c) for c in self.weigh_cols]).agg(
-            F.count(F.lit(1)).alias(COPIES),
-            F.min(HASH).alias("__min"),
-            F.max(HASH).alias("__max"),
+            "*", f"{self._leaf(level)} AS __slice", parts, f"xxhash64({HASH}) AS __image"
         )
+        if self.weigh_col is None:
+            rows = rows.selectExpr(
+                "*", f"1L AS {COPIES}", "__image AS __min", "__image AS __max"
+            )
+        else:  # counted first, because weighing may shuffle on this column
+            rows = rows.groupBy(*by, quoted(self.weigh_col)).agg(
+                F.count(F.lit(1)).alias(COPIES),
+                F.min("__image").alias("__min"),
+                F.max("__image").alias("__max"),
+            )
         slices = (
-            self.weigh(counted)
+            self.weigh(rows)
             .groupBy(*by)
             .agg(
                 F.expr(f"CAST(sum({WEIGHT} * {COPIES}) AS {as_type}) AS __slice_total"),
@@ -199,6 +206,8 @@ class RowLookup:
         if set(self.order_cols) >= set(self.columns):
             return
         crowded = points.where(f"{ROWS} > {self.split_rows}")
+        if crowded.isEmpty():
+            return
         distinct = self._slice_rows(crowded, level).groupBy(KEY, LEAF).count()
         if not distinct.where(f"count > {self.split_rows}").isEmpty():
             raise ValueError(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import draw_hash, quoted
-from lotwise.operators.lookup import BIGINT, SLICE_BITS, SPLIT_ROWS, WIDE, RowLookup
+from lotwise.operators.lookup import BIGINT, SLICE_DIGITS, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
     POS,
@@ -66,7 +66,7 @@ def weighted_sample(
     order_cols: Sequence[str] | None = None,
     wide: bool = False,
     split_rows: int = SPLIT_ROWS,
-    slice_bits: int = SLICE_BITS,
+    slice_digits: int = SLICE_DIGITS,
     staging: Staging | None = None,
 ) -> DataFrame:
     """``n`` draws, each taking a row in proportion to its integer weight.
@@ -97,11 +97,11 @@ def weighted_sample(
         rows.withColumn(KEY, F.lit(0)),
         order_cols or df.columns,
         _weigher(name, wide),
-        [name],
+        None,
         staging or Staging(spark),
         weight_type,
         split_rows,
-        slice_bits,
+        slice_digits,
         single_group=(total, count),
     )
     found = lookup.resolve(points, count)
@@ -117,7 +117,7 @@ def sample_per_key(
     order_cols: Sequence[str] | None = None,
     wide: bool = False,
     split_rows: int = SPLIT_ROWS,
-    slice_bits: int = SLICE_BITS,
+    slice_digits: int = SLICE_DIGITS,
     staging: Staging | None = None,
 ) -> DataFrame:
     """For each ``(key, count)`` of ``counts``, that many draws among its rows.
@@ -167,11 +167,11 @@ def sample_per_key(
         rows,
         order_cols or df.columns,
         weigh,
-        [name],
+        None,
         staging,
         weight_type,
         split_rows,
-        slice_bits,
+        slice_digits,
     )
     found = lookup.resolve(points, largest)
     return found.select(F.col("__draw").alias("draw_no"), *df.columns)

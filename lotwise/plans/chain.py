@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import draw_hash, half_up, to_share
-from lotwise.operators.lookup import BIGINT, SLICE_BITS, SPLIT_ROWS, WIDE, RowLookup
+from lotwise.operators.lookup import BIGINT, SLICE_DIGITS, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
     POS,
@@ -109,7 +109,7 @@ class ChainJoin:
     edges: Sequence[tuple[str, str]]
     wide: bool = False
     split_rows: int = SPLIT_ROWS
-    slice_bits: int = SLICE_BITS
+    slice_digits: int = SLICE_DIGITS
     _types: list = field(init=False, repr=False)
     _staged: dict = field(init=False, repr=False, default_factory=dict)
     _samples: dict = field(init=False, repr=False, default_factory=dict)
@@ -337,11 +337,11 @@ class ChainJoin:
                 table.df.withColumn(KEY, F.col(incoming).cast(incoming_type)),
                 table.order,
                 self._weigh(i),
-                [] if self.is_last(i) else [self.edges[i][0]],
+                None if self.is_last(i) else self.edges[i][0],
                 self.staging,
                 self._weight_type,
                 self.split_rows,
-                self.slice_bits,
+                self.slice_digits,
             )
             found = lookup.resolve(points, facts[i]["largest"])
             following = (
@@ -382,11 +382,11 @@ class ChainJoin:
             keys,
             ["__first_key"],
             lambda df: df.withColumn(WEIGHT, F.col("__key_total")),
-            ["__key_total"],
+            None,
             self.staging,
             self._weight_type,
             self.split_rows,
-            self.slice_bits,
+            self.slice_digits,
             single_group=(total, groups),
         )
         found = lookup.resolve(points, groups)

@@ -12,7 +12,7 @@ def _digest(parts) -> str:
 
 def row_order(row):
     nulls_first = tuple((v is not None, v) for v in row)
-    return int(_digest(row)[:15], 16), nulls_first
+    return _digest(row), nulls_first
 
 
 def rank(seed, total, *ids):

@@ -49,10 +49,10 @@ def collected(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("split_rows, bits", [(1 << 17, 14), (50, 2), (4, 14), (1, 5)])
-def test_sample_equals_brute_force(spark, expected, split_rows, bits):
+@pytest.mark.parametrize("split_rows, digits", [(1 << 17, 4), (50, 1), (4, 4), (1, 2)])
+def test_sample_equals_brute_force(spark, expected, split_rows, digits):
     tables, rows = expected
-    chain = skewed_chain(spark, tables, split_rows=split_rows, slice_bits=bits)
+    chain = skewed_chain(spark, tables, split_rows=split_rows, slice_digits=digits)
     assert collected(chain.sample(N, SEED)) == rows
     chain.release()
 
@@ -214,14 +214,14 @@ def test_description(spark):
     assert chain.table_index("b") == 1
 
 
-@pytest.mark.parametrize("split_rows, bits", [(1 << 17, 14), (20, 2), (1, 14)])
-def test_weighted_sample(spark, split_rows, bits):
+@pytest.mark.parametrize("split_rows, digits", [(1 << 17, 4), (20, 1), (1, 4)])
+def test_weighted_sample(spark, split_rows, digits):
     rows = [(i, i % 7 - 1) for i in range(120)] + [(500, 40)] * 60 + [(501, None)]
     df = spark.createDataFrame(rows, "id long, w int")
     live = [r for r in rows if r[1] and r[1] > 0]
     total = sum(w for _, w in live)
     sample = weighted_sample(
-        df, "w", 200, 4, split_rows=split_rows, slice_bits=bits
+        df, "w", 200, 4, split_rows=split_rows, slice_digits=digits
     )
     expected = [
         (i, *pick(live, [w for _, w in live], rank(4, total, i))) for i in range(200)
