@@ -4,6 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type two join columns are compared in."""
+    if left == right:
+        return left
+    if isinstance(left, _INTEGRAL) and isinstance(right, _INTEGRAL):
+        return T.LongType()
+    raise ValueError(
+        f"cannot join {left.simpleString()} with {right.simpleString()} columns"
+    )
 
 
 def half_up(value: Column) -> Column:

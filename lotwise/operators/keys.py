@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions import common_type
 from lotwise.operators.names import SITE
+from lotwise.operators.skew import join_unique
 
 
 def merge_memos(site_memos: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def expected_row_draws(
     totals = memo.select(F.col("key").alias("__total_key"), F.col("count").alias("__total"))
     per_key = requested.join(totals, F.col("__key") == F.col("__total_key"))
     expected = F.col("__requested") * F.col("weight") / F.col("__total")
-    return weighted.join(per_key, F.col(key) == F.col("__key")).select(
+    as_type = requested.schema["__key"].dataType
+    return join_unique(weighted, F.col(key).cast(as_type), per_key, "__key").select(
         *weighted.columns, expected.alias("expected")
     )
 
@@ -81,9 +84,13 @@ def key_filter(
     left: DataFrame, left_col: str, right: DataFrame, right_col: str
 ) -> tuple[DataFrame, DataFrame]:
     """Both tables without the rows that have no partner in the other one."""
-    left_keys = left.select(F.col(left_col).alias("__partner")).distinct()
-    right_keys = right.select(F.col(right_col).alias("__partner")).distinct()
+    as_type = common_type(left.schema[left_col].dataType, right.schema[right_col].dataType)
+    own = {}
+    for name, df, column in (("l", left, left_col), ("r", right, right_col)):
+        keys = df.select(F.col(column).cast(as_type).alias("__partner")).distinct()
+        own[name] = df, F.col(column).cast(as_type), keys
+    (left, left_on, left_keys), (right, right_on, right_keys) = own["l"], own["r"]
     return (
-        left.join(right_keys, F.col(left_col) == F.col("__partner"), "left_semi"),
-        right.join(left_keys, F.col(right_col) == F.col("__partner"), "left_semi"),
+        join_unique(left, left_on, right_keys, "__partner", "left_semi"),
+        join_unique(right, right_on, left_keys, "__partner", "left_semi"),
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions import common_type
 from lotwise.operators.keys import nonzero
 from lotwise.operators.names import SITE
+from lotwise.operators.skew import join_unique
 
 
 def with_record_id(df: DataFrame, name: str = "record_id") -> DataFrame:
@@ -31,5 +33,7 @@ def at_site(df: DataFrame, site: str) -> DataFrame:
 
 def with_partner(df: DataFrame, column: str, memo: DataFrame) -> DataFrame:
     """Rows whose key has a positive count in a ``(key, count)`` memo."""
-    keys = nonzero(memo).select(F.col("key").alias("__partner"))
-    return df.join(keys, F.col(column) == F.col("__partner"), "left_semi")
+    as_type = common_type(df.schema[column].dataType, memo.schema["key"].dataType)
+    keys = nonzero(memo).select(F.col("key").cast(as_type).alias("__partner"))
+    on = F.col(column).cast(as_type)
+    return join_unique(df, on, keys, "__partner", "left_semi")

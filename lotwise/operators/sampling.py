@@ -18,6 +18,7 @@ from lotwise.operators.names import (
     WEIGHT,
     check_user_columns,
 )
+from lotwise.operators.skew import join_unique
 from lotwise.staging import Staging
 
 COPIES_PER_CHUNK = 1024
@@ -137,10 +138,11 @@ def sample_per_key(
         .groupBy(F.col("key").cast(df.schema[key].dataType).alias(KEY))
         .agg(F.sum("count").cast("bigint").alias("__wanted"))
     )
+    keys = wanted.select(F.col(KEY).alias("__wanted_key"))
     totals = staging.table(
-        weigh(rows)
-        .select(KEY, WEIGHT)
-        .join(wanted.select(KEY), KEY, "left_semi")
+        join_unique(
+            weigh(rows).select(KEY, WEIGHT), F.col(KEY), keys, "__wanted_key", "left_semi"
+        )
         .groupBy(KEY)
         .agg(
             F.sum(WEIGHT).cast(weight_type).alias(TOTAL),

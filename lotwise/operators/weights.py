@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions import quoted
 from lotwise.operators.names import KEY, ROWS, TOTAL, WEIGHT
+from lotwise.operators.skew import join_unique
 
 
 def leaf_memo(
@@ -27,18 +29,21 @@ def leaf_memo(
     )
 
 
+def _weight_of_key(memo: DataFrame) -> DataFrame:
+    return memo.select(
+        F.col(KEY).alias("__next_key"),
+        F.col(TOTAL).alias(WEIGHT),
+        F.col(ROWS).alias("__next_rows"),
+    ).where(F.col(WEIGHT) > 0)
+
+
 def attach_weight(table: DataFrame, column: str, key_type, memo: DataFrame) -> DataFrame:
     """Rows of ``table`` with a partner, WEIGHT taken from ``memo``.
 
     Adds ``__next_key`` and ``__next_rows``: the group the row leads to.
     """
-    found = memo.select(
-        F.col(KEY).alias("__next_key"),
-        F.col(TOTAL).alias(WEIGHT),
-        F.col(ROWS).alias("__next_rows"),
-    )
-    on = F.col(column).cast(key_type) == F.col("__next_key")
-    return table.join(found, on).where(F.col(WEIGHT) > 0)
+    on = F.col(quoted(column)).cast(key_type)
+    return join_unique(table, on, _weight_of_key(memo), "__next_key")
 
 
 def inner_memo(
@@ -78,6 +83,7 @@ def root_memo(
     the join: a value held by most of the table reaches it as one row.
     """
     counted = leaf_memo(table, next_col, next_type, weight_type, extra)
-    weighed = attach_weight(counted.drop(TOTAL), KEY, next_type, next_memo)
+    found = _weight_of_key(next_memo)
+    weighed = counted.drop(TOTAL).join(found, F.col(KEY) == F.col("__next_key"))
     total = (F.col(ROWS).cast(weight_type) * F.col(WEIGHT)).cast(weight_type)
     return weighed.select(KEY, *extra, ROWS, total.alias(TOTAL))

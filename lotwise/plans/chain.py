@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.functions import draw_hash, half_up, to_share
+from lotwise.functions import common_type, draw_hash, half_up, to_share
 from lotwise.operators.lookup import BIGINT, SLICE_DIGITS, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
@@ -31,7 +31,6 @@ from lotwise.sources.tables import read_table
 from lotwise.staging import Staging
 
 DRAW = "__draw"
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 @dataclass(frozen=True)
@@ -77,19 +76,10 @@ class TableSpec:
 
 def key_type(left: TableSpec, left_col: str, right: TableSpec, right_col: str):
     """The type both sides of an edge are compared in."""
-    types = []
     for table, column in ((left, left_col), (right, right_col)):
         if column not in table.df.columns:
             raise ValueError(f"table {table.name!r} has no column {column!r}")
-        types.append(table.df.schema[column].dataType)
-    if types[0] == types[1]:
-        return types[0]
-    if all(isinstance(t, _INTEGRAL) for t in types):
-        return BIGINT
-    raise ValueError(
-        f"cannot join {left.name}.{left_col} ({types[0].simpleString()}) with "
-        f"{right.name}.{right_col} ({types[1].simpleString()})"
-    )
+    return common_type(left.df.schema[left_col].dataType, right.df.schema[right_col].dataType)
 
 
 @dataclass

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.operators.names import KEY, ROWS, TOTAL, WEIGHT
+from lotwise.operators.skew import join_unique
 from lotwise.operators.weights import leaf_memo
 from lotwise.plans.chain import BIGINT, WIDE, TableSpec, key_type
 
@@ -67,15 +68,31 @@ class TreeJoin:
         own = list(dict.fromkeys([*columns, *[c for c, _, _ in children]]))
         rows = self.tables[i].df.select(*own)
         weight = F.lit(1).cast(self._weight_type)
-        for number, (column, child, joined_as) in enumerate(children):
+        for number, (column, joined_as) in enumerate(self._join_columns(i)):
             key, part = f"__key_{number}", f"__part_{number}"
-            memo = self._memo(child).select(
-                F.col(KEY).alias(key), F.col(TOTAL).alias(part)
-            )
-            rows = rows.join(memo, F.col(column).cast(joined_as) == F.col(key))
+            memo = self._product(i, column, joined_as).toDF(key, part)
+            rows = join_unique(rows, F.col(column).cast(joined_as), memo, key)
             weight = (weight * F.col(part)).cast(self._weight_type)
         return rows.select(*columns, weight.alias(WEIGHT))
 
+    def _join_columns(self, i: int) -> list[tuple]:
+        pairs = [(c, t) for c, _, t in self._children.get(i, [])]
+        return [p for n, p in enumerate(pairs) if p not in pairs[:n]]
+
+    def _product(self, i: int, column: str, joined_as) -> DataFrame:
+        """``(key, total)``: product of the memos of all children joined on ``column``."""
+        product = None
+        for own_column, child, own_type in self._children[i]:
+            if (own_column, own_type) != (column, joined_as):
+                continue
+            memo = self._memo(child).select(KEY, TOTAL)
+            if product is not None:
+                both = (F.col("__first") * F.col(TOTAL)).cast(self._weight_type)
+                memo = product.toDF(KEY, "__first").join(memo, KEY)
+                memo = memo.select(KEY, both.alias(TOTAL))
+            product = memo
+        return product
+
     def weights(self) -> DataFrame:
         """The root table with ``weight``; rows without a join result are gone."""
         columns = self.tables[0].df.columns

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("csv", "parquet")
+# No field can hold this text, so a quoted empty field stays an empty string and
+# only an unquoted one is null.
+_NO_TEXT = "\u0000"
 
 
 def read_csv(
@@ -17,7 +20,7 @@ def read_csv(
 
     Types are never inferred, so the files are read once.
     """
-    reader = spark.read.option("header", True).option("sep", ",")
+    reader = spark.read.options(header=True, sep=",", nullValue=_NO_TEXT)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -44,10 +47,12 @@ def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Overwrite ``path`` with CSV files; one file only for small results.
 
-    Empty strings are written as ``""`` and so stay apart from nulls.
+    Empty strings are written as ``""`` and so stay apart from nulls; blanks at
+    the ends of a text are kept.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    keep_blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.write.mode("overwrite").options(header=True, **keep_blanks).csv(path)
 
 
 def write_parquet(
