@@ -37,11 +37,14 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.expr(f"md5({_text([quoted(c) for c in columns])})")
 
 
-def draw_hash(seed: int, *ids: str) -> Column:
-    """120-bit hash of the seed and the named columns as DECIMAL(38,0).
+def draw_position(seed: int, ids: Sequence[str], total: str, as_type: str) -> Column:
+    """Hash of the seed and the named columns, taken modulo ``total`` (SQL text).
 
-    Taken modulo any total that fits a BIGINT, the bias is below 2**-57.
+    The hash has 120 bits, so for totals that fit a BIGINT the bias of a position
+    is below 2**-57. Never null.
     """
     text = _text([str(int(seed)), *[quoted(i) for i in ids]])
     high, low = (_word(text, i, "DECIMAL(38,0)") for i in (0, 1))
-    return F.expr(f"CAST({high} * {WORD_RANGE} + {low} AS DECIMAL(38,0))")
+    number = f"CAST({high} * {WORD_RANGE} + {low} AS DECIMAL(38,0))"
+    position = f"CAST({number} % CAST({total} AS DECIMAL(38,0)) AS {as_type})"
+    return F.expr(f"coalesce({position}, CAST(0 AS {as_type}))")

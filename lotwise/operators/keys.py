@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import common_type
@@ -21,8 +21,10 @@ def nonzero(memo: DataFrame) -> DataFrame:
 
 
 def restrict_memo(memo: DataFrame, keys: DataFrame) -> DataFrame:
-    """Memo rows whose key occurs in ``keys``."""
-    return memo.join(keys.select("key"), "key", "left_semi")
+    """Rows of ``memo`` (any table with a ``key``) whose key occurs in ``keys``."""
+    as_type = common_type(memo.schema["key"].dataType, keys.schema["key"].dataType)
+    wanted = keys.select(F.col("key").cast(as_type).alias("__wanted")).distinct()
+    return join_unique(memo, F.col("key").cast(as_type), wanted, "__wanted", "left_semi")
 
 
 def key_totals(site_memos: DataFrame, keys: DataFrame) -> DataFrame:
@@ -38,11 +40,13 @@ def site_key_shares(site_memos: DataFrame, key_counts: DataFrame) -> DataFrame:
     ``site_memos`` is ``(key, count, site)``, ``key_counts`` ``(key, count)``.
     Result: ``(site, key, count, total, requested, expected)``.
     """
-    totals = key_totals(site_memos, key_counts)
+    # A key has one row per site, so the window stays small.
+    total = F.sum("count").over(Window.partitionBy("key"))
     requested = key_counts.select("key", F.col("count").alias("requested"))
     expected = F.col("requested") * F.col("count") / F.col("total")
     return (
-        site_memos.join(totals, "key")
+        restrict_memo(site_memos, key_counts)
+        .withColumn("total", total)
         .join(requested, "key")
         .select(SITE, "key", "count", "total", "requested", expected.alias("expected"))
     )

@@ -22,8 +22,9 @@ from lotwise.operators.names import CELL, LAST, LOW, PARTS, POS, TOTAL
 def _cell(position: str) -> str:
     # Non-decreasing in the position and the same expression on both sides, so
     # a position inside [low, last] always lands between their cells.
+    # Never null, or the join would compute it again to filter nulls out.
     share = f"CAST({position} AS DOUBLE) / CAST({TOTAL} AS DOUBLE)"
-    return f"CAST(floor({share} * {PARTS}) AS BIGINT)"
+    return f"coalesce(CAST(floor({share} * {PARTS}) AS BIGINT), 0L)"
 
 
 def with_intervals(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.functions import draw_hash, quoted
+from lotwise.functions import draw_position, quoted
 from lotwise.operators.lookup import BIGINT, SLICE_DIGITS, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
@@ -90,7 +90,7 @@ def weighted_sample(
     points = spark.range(n).select(
         F.col("id").alias("__draw"),
         F.lit(0).alias(KEY),
-        (draw_hash(seed, "id") % total_lit).cast(weight_type).alias(POS),
+        draw_position(seed, ["id"], f"'{total}'", weight_type.simpleString()).alias(POS),
         total_lit.cast(weight_type).alias(TOTAL),
         F.lit(count).cast("bigint").alias(ROWS),
     )
@@ -156,9 +156,9 @@ def sample_per_key(
         draws.select(
             "__draw",
             KEY,
-            (draw_hash(seed, KEY, "__draw") % F.col(TOTAL).cast(WIDE))
-            .cast(weight_type)
-            .alias(POS),
+            draw_position(
+                seed, [KEY, "__draw"], TOTAL, weight_type.simpleString()
+            ).alias(POS),
             TOTAL,
             ROWS,
         ),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.staging import Staging
 
 MAX_CELLS = 1 << 22  # about 100 MB once broadcast
 
@@ -32,16 +33,22 @@ def check_size(depth: int, width: int) -> None:
         raise ValueError(f"depth * width must not exceed {MAX_CELLS}")
 
 
-def count_min_sketch(memo: DataFrame, depth: int, width: int) -> DataFrame:
-    """``(depth, bucket, total)`` of a ``(key, count)`` memo."""
+def count_min_sketch(
+    memo: DataFrame, depth: int, width: int, staging: Staging | None = None
+) -> DataFrame:
+    """``(depth, bucket, total)`` of a ``(key, count)`` memo, staged.
+
+    It is read once per depth, so it is written once instead of being recomputed.
+    """
     check_size(depth, width)
     rows = memo.where(F.col("key").isNotNull()).select(
         F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("depth"), "key", "count"
     )
     bucket = _bucket(F.col("depth"), F.col("key"), width)
-    return rows.groupBy("depth", bucket.alias("bucket")).agg(
+    cells = rows.groupBy("depth", bucket.alias("bucket")).agg(
         F.sum("count").alias("total")
     )
+    return (staging or Staging(memo.sparkSession)).table(cells, "sketch")
 
 
 def approximate_weights(

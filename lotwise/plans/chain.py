@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.functions import common_type, draw_hash, half_up, to_share
+from lotwise.functions import common_type, draw_position, half_up, to_share
 from lotwise.operators.lookup import BIGINT, SLICE_DIGITS, SPLIT_ROWS, WIDE, RowLookup
 from lotwise.operators.names import (
     KEY,
@@ -358,7 +358,9 @@ class ChainJoin:
         points = self.spark.range(n).select(
             F.col("id").alias(DRAW),
             F.lit(0).alias(KEY),
-            (draw_hash(seed, "id") % whole).cast(self._weight_type).alias(POS),
+            draw_position(
+                seed, ["id"], f"'{total}'", self._weight_type.simpleString()
+            ).alias(POS),
             whole.cast(self._weight_type).alias(TOTAL),
             F.lit(groups).cast("bigint").alias(ROWS),
         )

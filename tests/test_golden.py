@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 from fixtures import fixture_chain
 
+from lotwise import ChainJoin, TableSpec
+from lotwise.operators import at_site, merge_memos, tag_site
 from pyspark.sql import functions as F
 
 N = 3000
@@ -31,6 +33,18 @@ def test_memos(chain):
     }
 
 
+def test_site_memos_are_the_tagged_memos_of_the_sites(spark, chain):
+    def at(site):
+        tables = [TableSpec(t.name, at_site(t.df, site)) for t in chain.tables]
+        return tag_site(ChainJoin(tables, chain.edges).memo(1), site)
+
+    tagged = at("s0").unionByName(at("s1")).unionByName(at("s2"))
+    by_site = chain.memo(1, by_site=True)
+    assert sorted(by_site.select(tagged.columns).collect()) == sorted(tagged.collect())
+    merged = {r["key"]: r["count"] for r in merge_memos(tagged).collect()}
+    assert merged == {"A": 30, "B": 13, "C": 12}
+
+
 def test_cardinality(chain):
     assert chain.cardinality().first()[0] == 15170
     assert as_dict(chain.cardinality(by_site=True), "site", "cardinality") == {
@@ -66,8 +80,6 @@ def test_allocation_per_site_and_key_adds_up(chain):
 
 
 def test_one_site_only(spark, chain):
-    from lotwise import ChainJoin, TableSpec
-
     tables = [TableSpec(t.name, t.df.where("site = 's0'")) for t in chain.tables]
     assert ChainJoin(tables, chain.edges).cardinality().first()[0] == 88
 
