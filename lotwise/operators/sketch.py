@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lotwise.staging import Staging
 
-MAX_CELLS = 1 << 22  # about 100 MB once broadcast
+MAX_CELLS = 1 << 20  # about 40 MB once broadcast
 
 
 def _bucket(depth: Column, key: Column, width: int) -> Column:
