@@ -6,6 +6,7 @@ import pytest
 from oracle import connect, difference
 
 import __spark_entry__ as contract
+from lotwise import catalogue
 
 SF_DIR = os.environ.get("LOTWISE_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(
@@ -19,13 +20,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", catalogue.queries())
 def test_query(spark, con, name):
-    df = contract.queries()[name](spark, SF_DIR)
-    assert difference(df, con, contract.oracle_sql()[name]) is None
+    df = catalogue.queries()[name](spark, SF_DIR)
+    assert difference(df, con, catalogue.oracle_sql()[name]) is None
 
 
 def test_entry(spark):
