@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, mixing, url_filter
+from lotwise.llm import decontaminate, extraction, language, mixing, tokens, url_filter
 from lotwise.llm.debruijn import remove_repeated_words
 from lotwise.llm.suffix_dedup import remove_repeated_bytes
 from lotwise.llm.tables import read
 from lotwise.llm.vectors import near_duplicate_vectors
+from lotwise.staging import Staging
+
+
+def language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(language.training_rows(docs))
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.selectExpr("doc_id", f"{language.held_out()} AS held_out", "lang_pred", "score")
 
 
 def decontamination(spark, sf_dir):
@@ -20,6 +28,11 @@ def suffix_dedup(spark, sf_dir):
     return remove_repeated_bytes(read(spark, sf_dir, "documents"))
 
 
+def html_extraction(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.train(pages))
+
+
 def mixed_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).selectExpr(
         "doc_id", "__size AS size", "__source_size AS source_size", "__target AS target", "__taken AS taken"
@@ -62,6 +75,18 @@ def url_filters(spark, sf_dir):
     return url_filter.filter_urls(captures(spark, sf_dir), list_entries(spark, sf_dir))
 
 
+def token_files(spark, docs):
+    import public_tokenizers
+
+    folder = Staging(spark).new_path("tokens")
+    tokens.write_token_files(docs, public_tokenizers.path(tokens.TOKENIZER), folder)
+    return tokens.read_token_files(spark, folder)
+
+
+def token_output(spark, sf_dir):
+    return token_files(spark, read(spark, sf_dir, "documents"))
+
+
 def substring_dedup(spark, sf_dir):
     return remove_repeated_words(read(spark, sf_dir, "documents"))
 
@@ -98,10 +123,13 @@ FROM c LEFT JOIN m ON c.url = m.url AND c.fetched = m.fetched
 """
 
 QUERIES = {
+    "op1_language_id": language_id,
     "op2_decontamination": decontamination,
     "op3_suffix_dedup": suffix_dedup,
+    "op5_html_extraction": html_extraction,
     "op6_mixing": mixed_sources,
     "op7_url_filters": url_filters,
+    "op8_token_output": token_output,
     "op9_substring_dedup": substring_dedup,
     "op10_embedding_near_dedup": embedding_near_dedup,
 }
