@@ -12,7 +12,8 @@ bits of hash). A name that occurs twice makes every window of the run repeat.
 
 Induction. What is left are cores seen in several contexts of which some occur
 once: the ends of repeated passages. One representative of every context is
-broken into its windows, and windows are matched by name.
+broken into its windows, and windows are matched by name: either shuffled one by
+one, or all contexts of a core side by side in one shard.
 
 Memory. Rows of a key are never gathered: counting combines on the map side,
 joins meet one row per key behind a fresh shuffle (so a hot key is split), and
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.llm.arrow import batch, text_slices
+from lotwise.llm.arrow import as_bytes, batch, text_slices
 from lotwise.llm.rolling import BASES, BYTE_VALUES, NOT_SPACE, Rolling, anchors, mix, word_hashes, word_spans
 from lotwise.staging import Staging
 
 KEY = ["__a", "__b"]
+SHARD_ROWS = 4096  # contexts matched at a time
+CROWDED = 1 << 15  # contexts of a core from which its windows are matched one by one
 
 
 def byte_units(data, bounds):
@@ -78,34 +81,105 @@ def _contexts(units: Units, length: int, core: int, places: bool):
     return task
 
 
+def _listed(rows: pa.RecordBatch):
+    """Slices of texts with their listed contexts, flattened.
+
+    Yields (document of each context, its fields, bytes, bounds, first row).
+    """
+    listed = rows["contexts"]
+    fields = listed.flatten()
+    per_row = np.diff(listed.offsets.to_numpy())
+    ends = np.cumsum(per_row)
+    columns = {f.name: fields.field(f.name).to_numpy(zero_copy_only=False) for f in fields.type}
+    for first, last, data, bounds in text_slices(rows["text"]):
+        part = slice(ends[first] - per_row[first], ends[last - 1])
+        doc = np.repeat(np.arange(last - first), per_row[first:last])
+        yield doc, {k: v[part] for k, v in columns.items()}, data, bounds, first
+
+
+def _strings(length: int):
+    """Task: the bytes that the listed contexts of each document span."""
+    schema = pa.schema([("core", pa.int64()), *[(c, pa.int64()) for c in KEY], ("low", pa.int32()), ("open", pa.bool_()), ("context", pa.binary())])
+
+    def task(batches):
+        for rows in batches:
+            for doc, own, data, bounds, first in _listed(rows):
+                size = own["n"].astype(np.int64) + length - 1
+                ends = np.cumsum(size)
+                at = np.repeat(bounds[doc] + own["low"] - (ends - size), size) + np.arange(size.sum())
+                offsets = np.concatenate([[0], ends]).astype(np.int64)
+                context = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])]
+                )
+                keys = [rows[c].to_numpy()[first + doc] for c in KEY]
+                yield batch(schema, own["core"], *keys, own["low"], own["open"], context.cast(pa.binary()))
+
+    return task
+
+
+def _matched_strings(length: int):
+    """Task: open windows found in two contexts of a core, from a stream sorted by core."""
+    schema = pa.schema([*[(c, pa.int64()) for c in KEY], ("low", pa.int32()), ("n", pa.int32())])
+
+    def match(rows: pa.RecordBatch):
+        data, bounds = as_bytes(rows["context"])
+        base, data = bounds[0], data[bounds[0] : bounds[-1]]
+        n = np.diff(bounds) - length + 1
+        row = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(bounds[:-1] - base, n) + inside
+        names = Rolling(BYTE_VALUES[data], BASES[1]).spans(start, start + length)
+        cores = rows["core"].to_numpy()[row]
+        order = np.lexsort((names, cores))
+        same = (names[order][1:] == names[order][:-1]) & (cores[order][1:] == cores[order][:-1])
+        repeated = np.zeros(len(row) + 1, bool)
+        repeated[order[1:][same]] = repeated[order[:-1][same]] = True
+        repeated[:-1] &= rows["open"].to_numpy(zero_copy_only=False)[row]
+        begins = repeated[:-1] & ((inside == 0) | ~np.roll(repeated[:-1], 1))
+        stops = repeated[:-1] & (~repeated[1:] | (np.append(inside[1:], 0) == 0))
+        first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+        keys = [rows[c].to_numpy()[row[first]] for c in KEY]
+        low = rows["low"].to_numpy()[row[first]] + inside[first]
+        return batch(schema, *keys, low.astype(np.int32), (last - first + 1).astype(np.int32))
+
+    def task(batches):
+        held = None
+        for rows in batches:
+            for at in range(0, rows.num_rows, SHARD_ROWS):
+                part = rows.slice(at, SHARD_ROWS)
+                if held is not None:
+                    part = pa.concat_batches([held, part])
+                cores = part["core"].to_numpy()
+                whole = int(np.flatnonzero(cores != cores[-1])[-1]) + 1 if cores[0] != cores[-1] else 0
+                if whole:
+                    yield match(part.slice(0, whole))
+                held = part.slice(whole)
+        if held is not None:
+            yield match(held)
+
+    return task
+
+
 def _windows(units: Units, length: int):
     """Task: the windows of the listed contexts of each document, by name."""
     schema = pa.schema([("window", pa.int64()), ("core", pa.int64()), *[(c, pa.int64()) for c in KEY], ("at", pa.int32()), ("open", pa.bool_())])
 
     def task(batches):
         for rows in batches:
-            listed = rows["contexts"]
-            fields = listed.flatten()
-            per_row = np.diff(listed.offsets.to_numpy())
-            ends = np.cumsum(per_row)
-            cores, lows, counts, opens = (fields.field(c).to_numpy(zero_copy_only=False) for c in ("core", "low", "n", "open"))
-            for first, last, data, bounds in text_slices(rows["text"]):
+            for doc, own, data, bounds, first in _listed(rows):
                 values, bounds = units(data, bounds)
-                rolling = Rolling(values, BASES[1])
-                part = slice(ends[first] - per_row[first], ends[last - 1])
-                doc = np.repeat(np.arange(last - first), per_row[first:last])
-                n = counts[part]
+                rolling, n = Rolling(values, BASES[1]), own["n"]
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(lows[part], n) + inside
+                at = np.repeat(own["low"], n) + inside
                 start = np.repeat(bounds[doc], n) + at
                 keys = [np.repeat(rows[c].to_numpy()[first + doc], n) for c in KEY]
                 yield batch(
                     schema,
                     _signed(rolling.spans(start, start + length)),
-                    np.repeat(cores[part], n),
+                    np.repeat(own["core"], n),
                     *keys,
                     at.astype(np.int32),
-                    np.repeat(opens[part], n),
+                    np.repeat(own["open"], n),
                 )
 
     return task
@@ -139,11 +213,20 @@ def _matched(batches):
         yield emit(held, np.array([held_repeated]))
 
 
-def repeated_windows(docs: DataFrame, units: Units, length: int, core: int, staging: Staging) -> DataFrame:
+def _by_document(listed: DataFrame) -> DataFrame:
+    """Contexts gathered per document: no more than the anchors of its own text."""
+    return listed.groupBy(*KEY).agg(F.collect_list(F.struct("core", "low", "n", "open")).alias("contexts"))
+
+
+def repeated_windows(
+    docs: DataFrame, units: Units, length: int, core: int, staging: Staging, whole_strings: bool = False
+) -> DataFrame:
     """Runs of repeated windows of ``docs`` (__a, __b, text): (__a, __b, runs).
 
     ``runs`` lists (low, n): the windows that start at units low … low + n - 1 of
-    the document occur elsewhere too. One row per key that has any.
+    the document occur elsewhere too. One row per key that has any. With
+    ``whole_strings`` (units are bytes) the contexts of a core are matched
+    together, as strings; cores with very many of them still go window by window.
     """
     long, integer = "BIGINT", "INT"
     place = f"__a {long}, __b {long}"
@@ -172,14 +255,24 @@ def repeated_windows(docs: DataFrame, units: Units, length: int, core: int, stag
     named = mixed.withColumn("turn", F.expr("pmod(name, 2)")).join(
         twice, F.expr("core = core2 AND name = name2 AND turn = turn2"), "left_semi"
     )
-    contexts = names.selectExpr("first.*", "core", "c = 1 AS open").groupBy(*KEY).agg(
-        F.collect_list(F.struct("core", "low", "n", "open")).alias("contexts")
-    )
-    windows = docs.select(*KEY, "text").join(contexts, KEY).mapInArrow(
-        _windows(units, length), f"window {long}, core {long}, {place}, at {integer}, open BOOLEAN"
-    )
-    windows = windows.repartition("window").sortWithinPartitions("window", "core")
-    matched = windows.mapInArrow(_matched, f"{place}, low {integer}, n {integer}")
+    listed = names.selectExpr("first.*", "core", "c = 1 AS open")
+    text = docs.select(*KEY, "text")
+    matched = None
+    if whole_strings:
+        crowded = names.groupBy("core").count().where(f"count > {CROWDED}").select("core")
+        crowded = staging.table(crowded, "crowded")
+        contexts = text.join(_by_document(listed.join(crowded, "core", "left_anti")), KEY)
+        strings = contexts.mapInArrow(_strings(length), f"core {long}, {place}, low {integer}, open BOOLEAN, context BINARY")
+        strings = strings.repartition("core").sortWithinPartitions("core")
+        matched = strings.mapInArrow(_matched_strings(length), f"{place}, low {integer}, n {integer}")
+        listed = None if crowded.isEmpty() else listed.join(crowded, "core", "left_semi")
+    if listed is not None:
+        windows = text.join(_by_document(listed), KEY).mapInArrow(
+            _windows(units, length), f"window {long}, core {long}, {place}, at {integer}, open BOOLEAN"
+        )
+        windows = windows.repartition("window").sortWithinPartitions("window", "core")
+        windows = windows.mapInArrow(_matched, f"{place}, low {integer}, n {integer}")
+        matched = windows if matched is None else matched.unionByName(windows)
     found = hits.where("NOT mixed").select(*KEY, "low", "n").unionByName(named.select(*KEY, "low", "n")).unionByName(matched)
     return found.groupBy(*KEY).agg(F.collect_list(F.struct("low", "n")).alias("runs"))
 

@@ -56,7 +56,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, core: int = COR
     """
     staging = staging or Staging(docs.sparkSession)
     rows = keyed(docs)
-    runs = repeated_windows(rows, byte_units, length, core, staging)
+    runs = repeated_windows(rows, byte_units, length, core, staging, whole_strings=True)
     fields = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, "
     fields += "kept BINARY, kept_sha256 STRING" if keep_bytes else "kept_sha256 STRING"
     return rows.join(runs, KEY, "left").select("doc_id", "text", "runs").mapInArrow(_cut(length, keep_bytes), fields)
