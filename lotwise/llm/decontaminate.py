@@ -99,7 +99,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, staging: Staging | None
     hits = hits.groupBy(*KEY).agg(F.collect_list(F.struct("at", "span")).alias("tests"))  # of one document
     hits = staging.table(hits, "hits")
 
-    tested = rows.select(*KEY, "text").join(hits, KEY).dropDuplicates(KEY)
+    # hits grow with the documents: joined by shuffle at every size
+    tested = rows.select(*KEY, "text").join(hits.hint("merge"), KEY).dropDuplicates(KEY)
     tested = tested.select(*KEY, words(F.col("text")).alias("words"), "tests")
     tested = tested.select(*KEY, F.explode(F.expr(
         "transform(tests, t -> named_struct('at', t.at, 'span', t.span, "
