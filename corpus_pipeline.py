@@ -1,12 +1,56 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes all rows of the one before, as written to and read from Parquet,
+and returns the columns of ``documents``; the last returns the encoded documents.
+"""
 
 from __future__ import annotations
 
-from lotwise.llm.tables import read
+from lotwise.llm import decontaminate, jaccard, language, mixing
+from lotwise.llm.queries import token_files
+from lotwise.llm.tables import read, row_key
 from lotwise.staging import Staging
 
-STAGES = []
-ORACLE_SQL = None
+LEAST_SCORE = 0.35
+
+
+def language_id(spark, docs, sf_dir):
+    """Drop documents without letters or without a clear language."""
+    model = language.train(language.training_rows(docs))
+    known = language.predict(docs, model).where(f"lang_pred <> '{language.UNDETERMINED}' AND score >= {LEAST_SCORE}")
+    return known.select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Keep one document of each group that Jaccard links connect."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Drop documents that hold a passage of the benchmark."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated").select(*decontaminate.KEY).hint("merge")
+    return docs.withColumns(row_key()).join(hit, decontaminate.KEY, "left_anti").select(*docs.columns)
+
+
+def mixed_sources(spark, docs, sf_dir):
+    """Mix sources to their target weights; documents may come twice."""
+    return mixing.sequence(mixing.mix(docs)).select(*docs.columns)
+
+
+def token_output(spark, docs, sf_dir):
+    """Write token files and read the documents back from them."""
+    return token_files(spark, docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixed_sources),
+    ("token_output", token_output),
+]
+ORACLE_SQL = None  # tokenizers and trained models are not SQL; tests hold it against brute force
 
 
 def run(spark, sf_dir):

@@ -98,11 +98,18 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share=SHARE, most: i
     return rows.select(*docs.columns, "__size", "__source_size", "__target", "__before", "__taken")
 
 
-def ordered(mixed: DataFrame) -> DataFrame:
-    """The rows that the mix takes words of, in global order of virtual finish."""
-    finish = F.expr("(__before + __size) / __target")
-    taken = mixed.where("__taken > 0").withColumn("__finish", finish)
-    return taken.repartitionByRange("__finish", "doc_id").sortWithinPartitions("__finish", "doc_id")
+def sequence(mixed: DataFrame, most: int = MOST) -> DataFrame:
+    """The mix itself: rows of ``mixed``, repeated as often as taken, in global order.
+
+    Adds __finish, the virtual finish time, and sorts by it. Documents stay whole:
+    the last one of a source, which the budget cuts, is in if at least half of its
+    words are.
+    """
+    turns = mixed.where("__size > 0").withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    before = "__turn * __source_size + __before"
+    part = F.expr(f"CAST(floor(__target) AS BIGINT) - {before}")
+    turns = turns.where(part * 2 >= F.col("__size")).withColumn("__finish", F.expr(f"({before} + __size) / __target"))
+    return turns.drop("__turn").repartitionByRange("__finish", "doc_id").sortWithinPartitions("__finish", "doc_id")
 
 
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"

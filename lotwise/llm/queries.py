@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import decontaminate, extraction, language, mixing, tokens, url_filter
 from lotwise.llm.debruijn import remove_repeated_words
+from lotwise.llm.jaccard import jaccard_components
 from lotwise.llm.suffix_dedup import remove_repeated_bytes
 from lotwise.llm.tables import read
 from lotwise.llm.vectors import near_duplicate_vectors
@@ -28,6 +29,10 @@ def suffix_dedup(spark, sf_dir):
     return remove_repeated_bytes(read(spark, sf_dir, "documents"))
 
 
+def ngram_jaccard(spark, sf_dir):
+    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def html_extraction(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     return extraction.extract(pages, extraction.train(pages))
@@ -126,6 +131,7 @@ QUERIES = {
     "op1_language_id": language_id,
     "op2_decontamination": decontamination,
     "op3_suffix_dedup": suffix_dedup,
+    "op4_ngram_jaccard": ngram_jaccard,
     "op5_html_extraction": html_extraction,
     "op6_mixing": mixed_sources,
     "op7_url_filters": url_filters,

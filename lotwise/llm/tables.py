@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,15 +10,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with a 128-bit row key (__a, __b) of both.
+def row_key() -> dict[str, Column]:
+    """A 128-bit row key (__a, __b) of doc_id and text.
 
     Repeated rows share a key, so whatever is computed per key holds for each of
     them. A null doc_id or text has a key like any other value.
     """
-    return docs.select(
-        "doc_id",
-        "text",
-        F.xxhash64("doc_id", "text").alias("__a"),
-        F.xxhash64("text", F.lit(7), "doc_id").alias("__b"),
-    )
+    return {
+        "__a": F.xxhash64("doc_id", "text"),
+        "__b": F.xxhash64("text", F.lit(7), "doc_id"),
+    }
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the row key; other columns go."""
+    return docs.select("doc_id", "text", *[c.alias(k) for k, c in row_key().items()])
