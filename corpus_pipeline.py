@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lotwise.llm import decontaminate, jaccard, language, mixing
 from lotwise.llm.queries import token_files
-from lotwise.llm.tables import read, row_key
+from lotwise.llm.tables import read, row_key, set_aside
 from lotwise.staging import Staging
 
 LEAST_SCORE = 0.35
@@ -17,8 +17,9 @@ LEAST_SCORE = 0.35
 def language_id(spark, docs, sf_dir):
     """Drop documents without letters or without a clear language."""
     model = language.train(language.training_rows(docs))
-    known = language.predict(docs, model).where(f"lang_pred <> '{language.UNDETERMINED}' AND score >= {LEAST_SCORE}")
-    return known.select(*docs.columns)
+    rows, restore = set_aside(docs, "text")
+    known = language.predict(rows, model).where(f"lang_pred <> '{language.UNDETERMINED}' AND score >= {LEAST_SCORE}")
+    return known.select(*restore())
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -30,12 +31,14 @@ def decontamination(spark, docs, sf_dir):
     """Drop documents that hold a passage of the benchmark."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
     hit = found.where("contaminated").select(*decontaminate.KEY).hint("merge")
-    return docs.withColumns(row_key()).join(hit, decontaminate.KEY, "left_anti").select(*docs.columns)
+    rows, restore = set_aside(docs, "doc_id", "text")
+    return rows.withColumns(row_key()).join(hit, decontaminate.KEY, "left_anti").select(*restore())
 
 
 def mixed_sources(spark, docs, sf_dir):
     """Mix sources to their target weights; documents may come twice."""
-    return mixing.sequence(mixing.mix(docs)).select(*docs.columns)
+    rows, restore = set_aside(docs, "doc_id", "source", "text")
+    return mixing.sequence(mixing.mix(rows)).select(*restore())
 
 
 def token_output(spark, docs, sf_dir):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lotwise.llm.arrow import as_bytes, batch, text_slices
 from lotwise.llm.graph import connected_components
 from lotwise.llm.rolling import NOT_SPACE, Rolling, mix, word_hashes, word_spans
-from lotwise.llm.tables import keyed, row_key
+from lotwise.llm.tables import keyed, row_key, set_aside
 from lotwise.operators.skew import join_unique
 from lotwise.staging import Staging
 
@@ -350,10 +350,11 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, staging: Staging | None
     grouped = jaccard_components(docs, percent, staging)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *KEY)).alias("first")
     kept = grouped.where("__component IS NOT NULL").groupBy("__component").agg(first).select("first.*").select(*KEY)
-    rows = docs.withColumns(row_key())
+    rows, restore = set_aside(docs, "doc_id", "text")
+    rows = rows.withColumns(row_key())
     with_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     chosen = rows.where(with_words).join(kept.hint("merge"), KEY, "left_semi").dropDuplicates(KEY)
-    return chosen.unionByName(rows.where(~with_words)).drop(*KEY)
+    return chosen.select(*restore()).unionByName(rows.where(~with_words).select(*restore()))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, staging: Staging | None = None) -> DataFrame:

@@ -179,11 +179,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, staging: Staging |
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; only the text is looked at.
+    """``docs`` with lang_pred and score (in place of columns of these names).
+
+    Only the text is looked at.
 
     A row without text or letters, or a model without languages, gives ``und``
     with score 0.
     """
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     languages = np.array([*model.languages, UNDETERMINED], dtype=object)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.llm.tables import set_aside
 from lotwise.staging import Staging
 
 SEED = 17
@@ -63,7 +64,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most: int = M
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share=SHARE, most: int = MOST, staging: Staging | None = None) -> DataFrame:
-    """Rows of ``docs`` with __size, __source_size, __target, __before and __taken.
+    """Rows of ``docs`` with __size, __source_size, __target, __before and __taken
+    (in place of columns of these names).
 
     __taken is the number of words the mix takes of the row, repeats counted, at
     most ``most`` times its size; the last document taken of a source is cut.
@@ -74,6 +76,7 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share=SHARE, most: i
     staging = staging or Staging(docs.sparkSession)
     buckets = max(1, int(docs.count() ** 0.5))
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    docs, restore = set_aside(docs, "doc_id", "source", "text")
     rows = docs.withColumns({"__size": word_count(F.col("text")), "__place": place})
     bucket = f"CAST(conv(substring(__place, 1, 8), 16, 10) AS BIGINT) * {buckets}L DIV 4294967296L"
     rows = rows.withColumn("__bucket", F.expr(bucket))
@@ -95,7 +98,8 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share=SHARE, most: i
         for turn in range(most)
     )
     rows = rows.withColumn("__taken", F.expr(taken))
-    return rows.select(*docs.columns, "__size", "__source_size", "__target", "__before", "__taken")
+    added = ["__size", "__source_size", "__target", "__before", "__taken"]
+    return rows.select(*restore(*added), *added)
 
 
 def sequence(mixed: DataFrame, most: int = MOST) -> DataFrame:

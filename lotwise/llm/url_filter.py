@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.llm.tables import set_aside
 from lotwise.staging import Staging
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -53,12 +54,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, staging: Staging | None
     Adds host (lower case; null if the URL has none), n_active (active entries
     that match), blocked (any does) and reason (pattern and category of the
     longest of them, the least by text of ties). Rows with a null URL, host or
-    date are not blocked. Other columns of ``captures`` are kept as they are.
+    date are not blocked. Other columns of ``captures`` are kept as they are, but
+    those with the names of the added ones.
     """
     staging = staging or Staging(captures.sparkSession)
     spans = staging.table(intervals(entries), "intervals")
     spans = spans.selectExpr("pattern AS __listed", "category AS __category", "since AS __since", "until AS __until")
     host = F.lower(F.regexp_extract("url", HOST, 1))
+    captures, restore = set_aside(captures, "url", "fetched")
     known = captures.withColumns(
         {"host": F.when(host != "", host), "__path": F.regexp_extract("url", PATH, 1)}
     )
@@ -80,7 +83,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, staging: Staging | None
     same = (F.col("url") == F.col("__url")) & (F.col("fetched") == F.col("__fetched"))
     joined = known.join(matched, same, "left")
     return joined.select(
-        *captures.columns,
+        *restore("host", "n_active", "blocked", "reason"),
         "host",
         F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"),
         F.col("n_active").isNotNull().alias("blocked"),
