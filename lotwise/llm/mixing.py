@@ -110,7 +110,7 @@ def sequence(mixed: DataFrame, most: int = MOST) -> DataFrame:
     words are.
     """
     turns = mixed.where("__size > 0").withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    before = "__turn * __source_size + __before"
+    before = "(__turn * __source_size + __before)"
     part = F.expr(f"CAST(floor(__target) AS BIGINT) - {before}")
     turns = turns.where(part * 2 >= F.col("__size")).withColumn("__finish", F.expr(f"({before} + __size) / __target"))
     return turns.drop("__turn").repartitionByRange("__finish", "doc_id").sortWithinPartitions("__finish", "doc_id")
