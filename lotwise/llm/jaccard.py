@@ -11,10 +11,13 @@ shingles in common with the other's, in any fixed order. The order puts shingles
 of crowded buckets last (document counts of ``2**BUCKET_BITS`` hash buckets, from
 all documents), so a passage that many documents share does not bring them together.
 
-Bound. Shingles are hashed into ``GROUPS`` groups; a class is a point of group
-counts. The overlap of two sets is at most the sum of the coordinate minima. The
-same holds for boxes of points with their upper corners, so an R-tree over the
-points of a block skips whole boxes. Surviving pairs are verified on their texts.
+Bound. Shingles are hashed into groups, about one for four shingles of the set
+and ``GROUPS`` at least; a class is a point of group counts. The overlap of two
+sets is at most the sum of the coordinate minima. Groups are powers of two, so a
+point folds to fewer coordinates. The bound also holds for boxes of points with
+their upper corners: an R-tree over the points of a block, folded to ``GROUPS``
+coordinates, skips whole boxes, and pairs that it leaves are bounded again with
+all coordinates. Surviving pairs are verified on their texts.
 
 Order of work. In a block every class is first tested with the least one
 (linear), which settles groups of near copies. Then blocks that still hold
@@ -83,6 +86,11 @@ _SETS = pa.schema(
 )
 
 
+def _groups(sizes: np.ndarray) -> np.ndarray:
+    """Coordinates of sets: a power of two, a quarter of the size or ``GROUPS`` at least."""
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(sizes, 4) / 4)).astype(np.int64))
+
+
 def _describe(batches):
     """Task: kind 0, a row per document; kind 1, its part of the bucket counts."""
     buckets = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -91,13 +99,17 @@ def _describe(batches):
             n_docs = last - first
             doc, shingles = shingle_sets(data, bounds)
             buckets += np.bincount((shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(buckets))
-            group = (mix(shingles) & np.uint64(GROUPS - 1)).astype(np.int64)
-            counts = np.bincount(doc * GROUPS + group, minlength=n_docs * GROUPS).astype("<u4")
+            sizes = np.bincount(doc, minlength=n_docs)
+            groups = _groups(sizes)
+            ends = np.cumsum(groups)
+            at = (ends - groups)[doc] + (mix(shingles) & (groups[doc] - 1).astype(np.uint64)).astype(np.int64)
+            counts = np.bincount(at, minlength=ends[-1]).astype("<u2")
+            offsets = np.concatenate([[0], ends]) * counts.itemsize
+            points = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_docs, [None, pa.py_buffer(offsets), pa.py_buffer(counts)])
             own = rows.slice(first, n_docs)
             yield batch(
                 _SETS, np.zeros(n_docs, np.int32), own["__a"], own["__b"], own["doc_id"],
-                _class_names(doc, shingles, n_docs), np.bincount(doc, minlength=n_docs),
-                [c.tobytes() for c in counts.reshape(n_docs, GROUPS)],
+                _class_names(doc, shingles, n_docs), sizes, points.cast(pa.binary()),
             )
     used = np.flatnonzero(buckets)
     none = pa.nulls(len(used), pa.int64())
@@ -155,9 +167,28 @@ def _shared(batches):
         yield batch(schema, shingle[other], name[lead][other], n[lead][other], name[other], n[other])
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
+def _points(column: pa.Array) -> list[np.ndarray]:
     data, bounds = as_bytes(column)
-    return data[bounds[0] : bounds[-1]].view("<u4").reshape(-1, GROUPS).astype(np.int64)
+    return [data[low:high].view("<u2") for low, high in zip(bounds[:-1], bounds[1:])]
+
+
+def _folded(points: list[np.ndarray], groups: int) -> np.ndarray:
+    return np.stack([p.reshape(-1, groups).sum(0) for p in points]) if points else np.empty((0, groups), np.int64)
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps of left[i] and right[j], with all coordinates both have."""
+    common = np.minimum(np.array([len(p) for p in left])[i], np.array([len(p) for p in right])[j])
+    bound = np.zeros(len(i), np.int64)
+    for groups in np.unique(common):
+        pairs = np.flatnonzero(common == groups)
+        own, at = np.unique(i[pairs], return_inverse=True)
+        its, to = np.unique(j[pairs], return_inverse=True)
+        x, y = (_folded([p[k] for k in ks], groups).astype(np.uint16) for p, ks in ((left, own), (right, its)))
+        step = max(1, (1 << 22) // int(groups))
+        for k in range(0, len(pairs), step):
+            bound[pairs[k : k + step]] = np.minimum(x[at[k : k + step]], y[to[k : k + step]]).sum(1, dtype=np.int64)
+    return bound
 
 
 def _may_link(overlap, n, m, percent: int):
@@ -171,7 +202,8 @@ def _bounded(percent: int):
 
     def task(batches):
         for rows in batches:
-            overlap = np.minimum(_vectors(rows["a_counts"]), _vectors(rows["b_counts"])).sum(1)
+            at = np.arange(rows.num_rows)
+            overlap = _overlaps(_points(rows["a_counts"]), _points(rows["b_counts"]), at, at)
             keep = _may_link(overlap, rows["a_n"].to_numpy(), rows["b_n"].to_numpy(), percent)
             yield batch(schema, rows["a"].to_numpy()[keep], rows["b"].to_numpy()[keep])
 
@@ -223,7 +255,10 @@ def _searched(percent: int):
 
     def search(rows: pa.RecordBatch):
         name = rows["class"].to_numpy()
-        i, j = tree_pairs(rows["n"].to_numpy(), _vectors(rows["counts"]), rows["component"].to_numpy(), percent)
+        n, points = rows["n"].to_numpy(), _points(rows["counts"])
+        i, j = tree_pairs(n, _folded(points, GROUPS), rows["component"].to_numpy(), percent)
+        keep = _may_link(_overlaps(points, points, i, j), n[i], n[j], percent)
+        i, j = i[keep], j[keep]
         return batch(schema, np.minimum(name[i], name[j]), np.maximum(name[i], name[j]))
 
     def task(batches):
