@@ -80,6 +80,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each id: a character of its name is a byte
+        for name, i in vocabulary.items():
+            self.bytes[i] = len(name)
         self.cut = PreTokens()
         self.forget()
 
@@ -88,21 +92,42 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(CACHED * 2, np.int64), np.zeros(CACHED * 2, np.int64)
 
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces that are cut again where they were, being joined, at their blanks."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        reached = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(reached, ends)
+        if not len(reached) or reached[-1] != ends[-1] or (reached[last] != ends).any():
+            return None
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter((i for own in ids for i in own), np.uint32), np.array([len(own) for own in ids])
+
     def learn(self, hashes: list[int], pieces: list[str]):
-        for start in range(0, len(pieces), 1000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[start : start + 1000], add_special_tokens=False)]
-            flat = np.fromiter((i for own in ids for i in own), np.uint32)
-            counts = np.array([len(own) for own in ids])
-            if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.uint32)])
-            at, n = len(self.known), len(counts)
-            if at + n > len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros(len(x) + n, np.int64)]) for x in (self.first, self.count))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.first[at : at + n] = self.used + np.cumsum(counts) - counts
-            self.count[at : at + n] = counts
-            self.known.update(zip(hashes[start : start + 1000], range(at, at + n)))
-            self.used += len(flat)
+        """Have the library encode new pre-tokens, those after a blank many at a time."""
+        apart = np.array([p[0] != " " or p.isspace() for p in pieces], bool)
+        for way in (False, True):
+            own = np.flatnonzero(apart == way)
+            for start in range(0, len(own), 1000):
+                part = own[start : start + 1000]
+                texts = [pieces[k] for k in part]
+                found = (None if way else self._joined(texts)) or self._apart(texts)
+                self._remember([hashes[k] for k in part], *found)
+
+    def _remember(self, hashes: list[int], flat: np.ndarray, counts: np.ndarray):
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.uint32)])
+        at, n = len(self.known), len(counts)
+        if at + n > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros(len(x) + n, np.int64)]) for x in (self.first, self.count))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.first[at : at + n] = self.used + np.cumsum(counts) - counts
+        self.count[at : at + n] = counts
+        self.known.update(zip(hashes, range(at, at + n)))
+        self.used += len(flat)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each document) of UTF-8 bytes."""
@@ -138,7 +163,7 @@ class Encoder:
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, tie, n, ids) of every row; ids are little-endian 32-bit, with the end id."""
+    """(doc_id, tie, n, ids) of every row, with the end id; ids as ``packed``."""
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def task(batches):
@@ -147,23 +172,29 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
             for first, last, data, bounds in text_slices(rows["text"], SLICE):
                 ids, counts = encoder.encode(data, bounds)
                 ends = np.cumsum(counts)
-                out = np.insert(ids, ends, end_id).astype("<u4") if len(ends) else ids
-                sizes = counts + 1
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * 4
-                values = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(out)]
-                ).cast(pa.binary())
+                out, sizes = np.insert(ids, ends, end_id), counts + 1
                 own = rows.slice(first, last - first)
-                yield batch(schema, own["doc_id"], own["tie"], sizes, values)
+                yield batch(schema, own["doc_id"], own["tie"], sizes, [packed(p) for p in np.split(out, np.cumsum(sizes)[:-1])])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     return rows.mapInArrow(task, "doc_id BIGINT, tie BIGINT, n BIGINT, ids BINARY")
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids for a shuffle: byte planes of 16 or 32-bit numbers, deflated, and their width."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + zlib.compress(planes, 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint32)
+
+
 def _ids_of(column: pa.Array) -> np.ndarray:
-    column = column.cast(pa.large_binary())
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]].view("<u4")
+    return np.concatenate([np.empty(0, np.uint32), *[unpacked(d) for d in column.to_pylist()]])
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
