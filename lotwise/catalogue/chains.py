@@ -116,7 +116,8 @@ class ChainCase:
         order = [row_hash_sql([f"t0.{src}"]), f"t0.{src}"]
         for i, m in enumerate(self.members):
             columns = [f"t{i}.{c}" for c in m.columns]
-            order += [row_hash_sql(columns), *columns]
+            rest = [f"t{i}.{c}" for c in [*m.payload, m.site]]
+            order += [row_hash_sql(columns), row_hash_sql(rest), *columns]
             order += [f"t{i}.{c}" for c in [*m.payload, "rid"]]
         out = ", ".join(self.columns_sql(i) for i in range(len(self.members)))
         return (
@@ -130,7 +131,8 @@ class ChainCase:
 
 
 def row_hash_sql(columns: Sequence[str]) -> str:
-    return f"md5(concat_ws('|', {', '.join(columns)}))"
+    texts = [f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns]
+    return f"md5(concat_ws('|', {', '.join(texts)}))"
 
 
 def draw_hash_sql(seed: int, *ids: str) -> str:

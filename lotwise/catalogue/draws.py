@@ -16,19 +16,20 @@ from lotwise.catalogue.chains import (
     row_hash_sql,
     table,
 )
+from lotwise.functions.hashing import wide_position
 from lotwise.operators import sample_per_key, weighted_sample
 
 _LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
-def weighted(spark, sf_dir):
+def weighted(spark, sf_dir, **options):
     lines = table(spark, sf_dir, "lineitem").select(
         *_LINE, F.col("l_quantity").cast("bigint").alias("weight")
     )
-    return weighted_sample(lines, "weight", DRAWS, SEED, order_cols=_LINE)
+    return weighted_sample(lines, "weight", DRAWS, SEED, order_cols=_LINE, **options)
 
 
-def per_key(use_weight: bool):
+def per_key(use_weight: bool, **options):
     """As many events of each user as the user has orders."""
 
     def query(spark, sf_dir):
@@ -42,7 +43,7 @@ def per_key(use_weight: bool):
         )
         weight = "weight" if use_weight else None
         return sample_per_key(
-            events, "user_id", counts, SEED, weight, order_cols=["event_id"]
+            events, "user_id", counts, SEED, weight, order_cols=["event_id"], **options
         )
 
     return query
@@ -60,7 +61,28 @@ def ordered_table(case, i: int):
     return lambda spark, sf: case.build(spark, sf).sample_tables(DRAWS, SEED)[i]
 
 
+SLICED = {"split_rows": 64, "slice_digits": 1}
+
+
+def sliced(case):
+    """The same sample with groups cut as large ones are."""
+    return lambda spark, sf: case.build(spark, sf, **SLICED).sample(DRAWS, SEED)
+
+
+def wide(spark, sf_dir):
+    """Weights whose total needs more than 120 bits."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "CAST(o_custkey % 4 AS DECIMAL(38,0)) * 1000000000000000000000000000000 AS weight"
+    )
+    return weighted_sample(orders, "weight", DRAWS, SEED, order_cols=["o_orderkey"], wide=True)
+
+
 QUERIES = {
+    "weighted_sample_sliced": lambda spark, sf: weighted(spark, sf, **SLICED),
+    "sample_per_key_sliced": per_key(use_weight=False, **SLICED),
+    "sample_chain4_sliced": sliced(CHAIN4),
+    "sample_self_join_sliced": sliced(SELF_JOIN),
+    "weighted_sample_wide": wide,
     "weighted_sample": weighted,
     "sample_per_key": per_key(use_weight=False),
     "sample_per_key_weighted": per_key(use_weight=True),
@@ -109,14 +131,38 @@ _WEIGHTED_SQL = (
     f"WITH w AS (SELECT {', '.join(_LINE)}, l_quantity::BIGINT AS weight FROM lineitem "
     "WHERE l_quantity::BIGINT > 0), "
     "r AS (SELECT *, sum(weight) OVER (ORDER BY "
-    f"{row_hash_sql(_LINE)}, {', '.join(_LINE)}, weight ROWS UNBOUNDED PRECEDING) - weight "
+    f"{row_hash_sql(_LINE)}, {row_hash_sql(['weight'])}, {', '.join(_LINE)}, weight ROWS UNBOUNDED PRECEDING) - weight "
     "AS low FROM w), "
     f"d AS (SELECT range AS draw_id, {draw_hash_sql(SEED, 'range')} "
     f"% (SELECT sum(weight) FROM w) AS pos FROM range({DRAWS})) "
     f"SELECT draw_id, {', '.join(_LINE)}, weight FROM d ASOF JOIN r ON d.pos >= r.low"
 )
 
+def _wide_word(text: str, number: int) -> str:
+    return f"('0x' || substr(md5({text}), {1 + 15 * number}, 15))::BIGINT::HUGEINT"
+
+
+def _wide_text(attempt: int) -> str:
+    parts = [str(SEED), "range", *([f"'try{attempt}'"] if attempt else [])]
+    return f"concat_ws('|', {', '.join(parts)})"
+
+
+_WIDE_SQL = (
+    "WITH w AS (SELECT o_orderkey, (o_custkey % 4)::HUGEINT * 1000000000000000000000000000000::HUGEINT AS weight "
+    "FROM orders WHERE o_custkey % 4 > 0), "
+    f"r AS (SELECT *, sum(weight) OVER (ORDER BY {row_hash_sql(['o_orderkey'])} ROWS UNBOUNDED PRECEDING)::HUGEINT "
+    "- weight AS low FROM w), t AS (SELECT sum(weight)::HUGEINT AS total FROM w), "
+    f"d AS (SELECT range AS draw_id, {wide_position(_wide_text, _wide_word, 'total', 'HUGEINT', f'(total // {1 << 60})')} "
+    f"AS pos FROM range({DRAWS}), t) "
+    "SELECT draw_id, o_orderkey, weight::DECIMAL(38,0) AS weight FROM d ASOF JOIN r ON d.pos >= r.low"
+)
+
 ORACLES = {
+    "weighted_sample_sliced": _WEIGHTED_SQL,
+    "sample_per_key_sliced": _per_key_sql("1"),
+    "sample_chain4_sliced": _joined_sql(CHAIN4),
+    "sample_self_join_sliced": _joined_sql(SELF_JOIN),
+    "weighted_sample_wide": _WIDE_SQL,
     "weighted_sample": _WEIGHTED_SQL,
     "sample_per_key": _per_key_sql("1"),
     "sample_per_key_weighted": _per_key_sql("event_id % 5"),

@@ -12,11 +12,12 @@ from lotwise.catalogue.chains import CHAIN2, CHAIN4, DRAWS, SEED, SITES, site_of
 from lotwise.operators import (
     at_site,
     repeat_rows,
+    tag_site,
     with_partner,
     with_record_id,
     with_unit_weight,
 )
-from lotwise.plans import TableSpec
+from lotwise.plans import ChainJoin, TableSpec
 from lotwise.sources import (
     empty_table,
     multi_site_tables,
@@ -45,6 +46,13 @@ def scan_csv_untyped(spark, sf_dir):
     return read_csv(spark, path)
 
 
+def scan_csv_text(spark, sf_dir):
+    """Texts with line breaks, quotes and backslashes, through CSV and back."""
+    path, docs = Staging(spark).new_path("csv"), table(spark, sf_dir, "documents")
+    write_csv(docs, path)
+    return read_csv(spark, path, docs.schema)
+
+
 def scan_parquet(spark, sf_dir):
     return read_table(spark, f"{sf_dir}/lineitem.parquet")
 
@@ -116,11 +124,45 @@ def memo_roundtrip(spark, sf_dir):
 
 
 def sample_sink_roundtrip(spark, sf_dir):
-    chain = CHAIN4.build(spark, sf_dir)
-    path = Staging(spark).new_path("samples")
-    names = [t.name for t in chain.tables]
-    write_samples(dict(zip(names, chain.sample_tables(DRAWS, SEED))), path)
-    return read_table(spark, f"{path}/orders")
+    """All samples written in both formats; rows of each table read back."""
+    chain, staging = CHAIN4.build(spark, sf_dir), Staging(spark)
+    samples = dict(zip([t.name for t in chain.tables], chain.sample_tables(DRAWS, SEED)))
+    frames = []
+    for fmt in ("parquet", "csv"):
+        path = staging.new_path("samples")
+        write_samples(samples, path, fmt)
+        for name, df in samples.items():
+            read = read_table(spark, f"{path}/{name}", fmt, df.schema)
+            text = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns if c != "l_quantity"])
+            frames.append(read.select(F.lit(fmt).alias("fmt"), F.lit(name).alias("name"), text.alias("row")))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def sample_from_sites(spark, sf_dir):
+    """Tables written by site, read back with their real sites, sampled as a chain."""
+    root = Staging(spark).new_path("by-site")
+    specs = []
+    for member in CHAIN2.members:
+        df = table(spark, sf_dir, member.table).select(*member.columns)
+        for i in range(SITES):
+            own = df.where(F.col(member.columns[0]) % SITES == i)
+            write_parquet(own, f"{root}/s{i}/{member.table}")
+        df = read_site_table(spark, root, member.table, by="site")
+        df = df.withColumnRenamed("site", member.site)
+        specs.append(TableSpec(member.name, df, member.columns, member.site))
+    return ChainJoin(specs, CHAIN2.edges).sample(DRAWS, SEED)
+
+
+def site_tag(spark, sf_dir):
+    """Parts of a table tagged with the site they are taken from."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    parts = [tag_site(orders.where(F.col("o_orderkey") % SITES == i), f"s{i}") for i in range(SITES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rows_repeated_often(spark, sf_dir):
+    parts = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_suppkey * 137 % 4000 AS times")
+    return repeat_rows(parts, "times")
 
 
 def record_id_unique(spark, sf_dir):
@@ -152,6 +194,7 @@ def rows_repeated(spark, sf_dir):
 QUERIES = {
     "scan_csv_typed": scan_csv_typed,
     "scan_csv_untyped": scan_csv_untyped,
+    "scan_csv_text": scan_csv_text,
     "scan_parquet": scan_parquet,
     "scan_by_format": scan_by_format,
     "empty_union_seed": empty_union_seed,
@@ -165,6 +208,9 @@ QUERIES = {
     "leaf_weights": leaf_weights,
     "dangling_removed": dangling_removed,
     "repeat_rows": rows_repeated,
+    "repeat_rows_large": rows_repeated_often,
+    "sample_from_sites": sample_from_sites,
+    "site_tag": site_tag,
 }
 
 _SITES_SQL = (
@@ -182,6 +228,7 @@ ORACLES = {
         "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, "
         "c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer"
     ),
+    "scan_csv_text": "SELECT * FROM documents",
     "scan_parquet": "SELECT * FROM lineitem",
     "scan_by_format": (
         "SELECT *, 'csv' AS fmt FROM part UNION ALL SELECT *, 'parquet' FROM part"
@@ -198,8 +245,20 @@ ORACLES = {
         f"WITH m AS ({CHAIN2.memo_sql(1)}) SELECT *, 'csv' AS fmt FROM m "
         "UNION ALL SELECT *, 'parquet' FROM m"
     ),
-    "sample_sink_roundtrip": (
-        f"{CHAIN4.numbered_sql()} SELECT {CHAIN4.output(2)} FROM s"
+    "sample_sink_roundtrip": CHAIN4.numbered_sql()
+    + "SELECT fmt, name, row FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{m.name}' AS name, concat_ws('|', {', '.join([*m.columns, m.site])}) AS row FROM s"
+        for m in CHAIN4.members
+    )
+    + "), (VALUES ('parquet'), ('csv')) f(fmt)",
+    "sample_from_sites": (
+        f"{CHAIN2.numbered_sql()} SELECT draw_id, {CHAIN2.output(0)}, {CHAIN2.output(1)} FROM s"
+    ),
+    "site_tag": _ORDER_SITES_SQL,
+    "repeat_rows_large": (
+        "SELECT s_suppkey, s_suppkey * 137 % 4000 AS times, unnest(range(s_suppkey * 137 % 4000)) AS copy "
+        "FROM supplier"
     ),
     "record_id_unique": (
         "SELECT count(*) AS num_rows, count(*) AS num_ids FROM lineitem"

@@ -15,6 +15,10 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
         return left
     if isinstance(left, _INTEGRAL) and isinstance(right, _INTEGRAL):
         return T.LongType()
+    numbers = (*_INTEGRAL, T.DecimalType)
+    if isinstance(left, numbers) and isinstance(right, numbers):
+        scale = max(t.scale for t in (left, right) if isinstance(t, T.DecimalType))
+        return T.DecimalType(38, scale)
     raise ValueError(
         f"cannot join {left.simpleString()} with {right.simpleString()} columns"
     )

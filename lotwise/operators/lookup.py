@@ -10,6 +10,8 @@ owns as many positions as its weight; the draw gets the row owning its position.
   per group, so most of it happens on the map side; the draw moves to its slice.
   Drawn slices that are still large are cut again by the next digits. Slices
   follow the row hash, so the cuts never change a result.
+* The table meets drawn groups and slices, one row each, by ``join_unique``: a hot
+  group is split by adaptive execution, and counts are combined before a shuffle.
 * Identical rows share a slice that cannot be cut. There they are counted, on
   the map side first: a row repeated any number of times is one row.
 """
@@ -19,13 +21,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions import quoted, row_hash
 from lotwise.functions.hashing import HASH_DIGITS
 from lotwise.operators.locate import locate, with_intervals
+from lotwise.operators.skew import join_unique
 from lotwise.operators.names import (
     COPIES,
     KEY,
@@ -77,6 +80,8 @@ class RowLookup:
         self.rows = rows
         self.columns = [c for c in rows.columns if c != KEY]
         self.order_cols = list(order_cols)
+        self.rest = [c for c in self.columns if c not in self.order_cols]
+        self.digits = HASH_DIGITS * (2 if self.rest else 1)
         self.weigh = weigh
         self.weigh_col = weigh_col
         self.staging = staging
@@ -103,11 +108,10 @@ class RowLookup:
         while large is not None:
             level += 1
             cut = self.staging.table(self._to_slice(large, level), f"slices{level}")
-            last = (level + 1) * self.slice_digits > HASH_DIGITS
+            last = (level + 1) * self.slice_digits > self.digits
             ready = cut if last else cut.where(f"NOT {CUT}")
             located.append(ready.drop(CUT))
             picked.append(self._slice_rows(ready, level))
-            self._check_order(ready, level)
             large = None if last else cut.where(CUT).drop(CUT)
             if large is not None and large.isEmpty():
                 large = None
@@ -119,7 +123,8 @@ class RowLookup:
     def _drawn_groups(self, points: DataFrame) -> DataFrame:
         """Rows of the drawn groups, with TOTAL and ROWS of the group."""
         if self.single_group is None:
-            return self.rows.join(points.select(KEY, TOTAL, ROWS).distinct(), KEY)
+            drawn = points.select(F.col(KEY).alias("__group"), TOTAL, ROWS).distinct()
+            return join_unique(self.rows, F.col(KEY), drawn, "__group").drop("__group")
         total, rows = self.single_group
         as_type = self.weight_type.simpleString()
         return self.rows.selectExpr(
@@ -134,6 +139,11 @@ class RowLookup:
             "*", f"{WHOLE} AS {LEAF}", f"1L AS {COPIES}"
         )
 
+    def _hash(self) -> Column:
+        """Digits of the order columns' hash, then of the other columns' hash."""
+        own = row_hash(self.order_cols)
+        return F.concat(own, row_hash(self.rest)) if self.rest else own
+
     def _leaf(self, level: int) -> str:
         """Slice of a hash: its leading digits."""
         return f"substring({HASH}, 1, {level * self.slice_digits})"
@@ -143,14 +153,14 @@ class RowLookup:
         if level == 0:
             return self._drawn_groups(points).select(
                 "*",
-                row_hash(self.order_cols).alias(HASH),
+                self._hash().alias(HASH),
                 F.expr(WHOLE).alias(LEAF),
             )
         drawn = points.select(KEY, LEAF, TOTAL, ROWS).distinct()
-        hashed = self.rows.withColumn(HASH, row_hash(self.order_cols))
-        return hashed.withColumn(LEAF, F.expr(self._leaf(level))).join(
-            drawn, [KEY, LEAF]
-        )
+        drawn = drawn.select(F.struct(KEY, LEAF).alias("__drawn"), TOTAL, ROWS)
+        hashed = self.rows.withColumn(HASH, self._hash())
+        hashed = hashed.withColumn(LEAF, F.expr(self._leaf(level)))
+        return join_unique(hashed, F.struct(KEY, LEAF), drawn, "__drawn").drop("__drawn")
 
     def _to_slice(self, points: DataFrame, level: int) -> DataFrame:
         """Points of large groups or slices, moved into slices of ``level``."""
@@ -201,20 +211,6 @@ class RowLookup:
         rows = self._drawn_slices(points, level).groupBy(*columns)
         return rows.agg(F.count(F.lit(1)).alias(COPIES))
 
-    def _check_order(self, points: DataFrame, level: int) -> None:
-        """Refuse declared order columns shared by more rows than one task sorts."""
-        if set(self.order_cols) >= set(self.columns):
-            return
-        crowded = points.where(f"{ROWS} > {self.split_rows}")
-        if crowded.isEmpty():
-            return
-        distinct = self._slice_rows(crowded, level).groupBy(KEY, LEAF).count()
-        if not distinct.where(f"count > {self.split_rows}").isEmpty():
-            raise ValueError(
-                f"order columns {self.order_cols} are shared by more than "
-                f"{self.split_rows} different rows; leave order_cols out"
-            )
-
     def _finish(self, points: DataFrame, picked: DataFrame) -> DataFrame:
         # ROWS of a slice includes copies, so the grid is capped: one repeated
         # row must not spread over one cell per copy.
@@ -222,12 +218,11 @@ class RowLookup:
         as_type = self.weight_type.simpleString()
         weighed = self.weigh(picked).select(
             "*",
-            row_hash(self.order_cols).alias(HASH),
+            self._hash().alias(HASH),
             F.expr(f"CAST({WEIGHT} * {COPIES} AS {as_type}) AS {SPAN}"),
             parts.alias(PARTS),
         )
-        rest = [c for c in self.columns if c not in self.order_cols]
-        order = [F.asc_nulls_first(quoted(c)) for c in [HASH, *self.order_cols, *rest]]
+        order = [F.asc_nulls_first(quoted(c)) for c in [HASH, *self.order_cols, *self.rest]]
         intervals = with_intervals(weighed.drop(ROWS), [KEY, LEAF], order, SPAN)
         found = locate(points.withColumn(PARTS, parts), intervals, [KEY, LEAF])
         return found.withColumn(

@@ -31,29 +31,46 @@ def repeat_rows(df: DataFrame, count: str, index: str = "copy") -> DataFrame:
     no task expands a huge count alone or builds a huge array.
     """
     n, size = quoted(count), COPIES_PER_CHUNK
+    columns = [quoted(c) for c in df.columns]
     small = df.where(f"{n} > 0 AND {n} <= {size}").selectExpr(
         "*", f"explode(sequence(0L, CAST({n} AS BIGINT) - 1)) AS {quoted(index)}"
     )
-    chunks = df.where(f"{n} > {size}").selectExpr(
-        "*", f"explode(sequence(0L, CAST(({n} - 1) DIV {size} AS BIGINT))) AS __chunk"
-    )
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last = f"least(CAST({n} AS BIGINT), (__chunk + 1) * {size}) - 1"
-    large = chunks.repartition(tasks).selectExpr(
-        *[quoted(c) for c in df.columns],
-        f"explode(sequence(__chunk * {size}, {last})) AS {quoted(index)}",
+    # cut by size**3, then size**2, then size: no array has more than about
+    # ``size`` entries below counts of size**4
+    large = df.where(f"{n} > {size}").selectExpr("*", "0L AS __low", f"CAST({n} AS BIGINT) AS __end")
+    for width in (size**3, size**2, size):
+        start = f"explode(sequence(__low, __end - 1, {width}L)) AS __start"
+        large = large.selectExpr(*columns, "__end", start).selectExpr(
+            *columns, "__start AS __low", f"least(__end, __start + {width}L) AS __end"
+        )
+    large = large.repartition(tasks).selectExpr(
+        *columns, f"explode(sequence(__low, __end - 1)) AS {quoted(index)}"
     )
     return small.unionByName(large)
 
 
+_WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def _weighted_rows(df: DataFrame, weight: str | None, wide: bool) -> tuple[DataFrame, str]:
     weight_type = WIDE if wide else BIGINT
     name = weight or "__one"
     if weight is None:
         return df.withColumn(name, F.lit(1).cast(weight_type)), name
+    kind = df.schema[weight].dataType
+    whole = isinstance(kind, _WHOLE_NUMBERS) or isinstance(kind, T.DecimalType) and kind.scale == 0
+    if not whole:
+        raise ValueError(f"weights must be whole numbers, {weight!r} is {kind.simpleString()}")
     return df.where(F.col(weight) > 0), name
 
 
+def check_sortable(df: DataFrame) -> None:
+    maps = [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+    if maps:
+        raise ValueError(f"map columns cannot be ordered, drop {maps} first")
+
+
 def _weigher(name: str, wide: bool):
     weight_type = WIDE if wide else BIGINT
     return lambda df: df.withColumn(WEIGHT, F.col(name).cast(weight_type))
@@ -76,6 +93,7 @@ def weighted_sample(
     null or not positive are never drawn.
     """
     check_user_columns(df.columns)
+    check_sortable(df)
     if n < 0:
         raise ValueError("n must not be negative")
     spark, weight_type = df.sparkSession, WIDE if wide else BIGINT
@@ -128,6 +146,7 @@ def sample_per_key(
     rows give nothing.
     """
     check_user_columns(df.columns)
+    check_sortable(df)
     spark, weight_type = df.sparkSession, WIDE if wide else BIGINT
     staging = staging or Staging(spark)
     rows, name = _weighted_rows(df, weight, wide)

@@ -1,8 +1,9 @@
 """Approximate weights: a count-min sketch kept as a small table.
 
-The sketch has at most ``depth * width`` rows whatever the data, so it can
-always be broadcast and the weighted table is not shuffled at all. Estimates
-never fall below the exact weight.
+The sketch has at most ``depth * width`` rows whatever the data. It is staged, so
+Spark knows its size: a small one is broadcast and the weighted table is not
+shuffled, a large one is joined by shuffle, hot cells split. Estimates never fall
+below the exact weight.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators.skew import join_unique
 from lotwise.staging import Staging
 
-MAX_CELLS = 1 << 20  # about 40 MB once broadcast
-
 
 def _bucket(depth: Column, key: Column, width: int) -> Column:
     return F.pmod(_key_hash(depth, key), F.lit(width).cast("bigint"))
@@ -29,8 +29,6 @@ def _key_hash(depth: Column, key: Column) -> Column:
 def check_size(depth: int, width: int) -> None:
     if depth < 1 or width < 1:
         raise ValueError("depth and width must be positive")
-    if depth * width > MAX_CELLS:
-        raise ValueError(f"depth * width must not exceed {MAX_CELLS}")
 
 
 def count_min_sketch(
@@ -66,7 +64,7 @@ def approximate_weights(
             F.col("total").alias(f"__total_{level}"),
         )
         bucket = _bucket(F.lit(level), F.col(column), width)
-        rows = rows.join(F.broadcast(cells), bucket == F.col(f"__bucket_{level}"))
+        rows = join_unique(rows, bucket, cells, f"__bucket_{level}")
     totals = [F.col(f"__total_{level}") for level in range(depth)]
     weight = totals[0] if depth == 1 else F.least(*totals)
     return rows.select(*table.columns, weight.alias("weight"))

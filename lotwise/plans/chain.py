@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,23 +124,16 @@ class ChainJoin:
     def last(self) -> int:
         return len(self.tables) - 1
 
-    def is_first(self, i: int) -> bool:
-        return i == 0
+    def incoming(self, i: int) -> str | None:
+        """Column of table ``i`` that the table before is joined to."""
+        return self.edges[i - 1][1] if i > 0 else None
 
-    def is_last(self, i: int) -> bool:
-        return i == self.last
+    def outgoing(self, i: int) -> str | None:
+        """Column of table ``i`` that the table after is joined to."""
+        return self.edges[i][0] if i < self.last else None
 
-    def table_index(self, name: str) -> int:
-        """First position of the table called ``name``."""
-        for i, table in enumerate(self.tables):
-            if table.name == name:
-                return i
-        raise ValueError(f"no table {name!r} in this chain")
-
-    def join_attrs(self, i: int) -> list[str]:
-        """Join columns of table ``i``: the incoming one, then the outgoing one."""
-        attrs = [] if self.is_first(i) else [self.edges[i - 1][1]]
-        return attrs if self.is_last(i) else [*attrs, self.edges[i][0]]
+    def _first_column(self, i: int) -> str:
+        return self.incoming(i) or self.outgoing(i)
 
     @property
     def spark(self) -> SparkSession:
@@ -178,15 +171,16 @@ class ChainJoin:
         extra = [self._site(i)] if by_site else []
         df = self.tables[i].df
         if by_site:
-            df = df.select(*self.join_attrs(i), *extra)
+            columns = [c for c in (self.incoming(i), self.outgoing(i)) if c]
+            df = df.select(*dict.fromkeys(columns), *extra)
             extra = [SITE]
-        if self.is_last(i):
+        if i == self.last:
             return leaf_memo(
                 df, self.edges[-1][1], self._types[-1], self._weight_type, extra
             )
         following = self._memo(i + 1)
         src, next_type = self.edges[i][0], self._types[i]
-        if self.is_first(i):
+        if i == 0:
             return root_memo(df, src, next_type, following, self._weight_type, extra)
         return inner_memo(
             df,
@@ -218,7 +212,7 @@ class ChainJoin:
         return self._weigh(i)(table).select(*table.columns, F.col(WEIGHT).alias(name))
 
     def _weigh(self, i: int):
-        if self.is_last(i):
+        if i == self.last:
             return lambda df: df.withColumn(WEIGHT, F.lit(1).cast(self._weight_type))
         memo, src, next_type = self._memo(i + 1), self.edges[i][0], self._types[i]
         return lambda df: attach_weight(df, src, next_type, memo)
@@ -300,57 +294,54 @@ class ChainJoin:
             self._facts = sorted(facts.collect())  # one row per table
         return self._facts
 
-    def draws(self, n: int, seed: int) -> list[DataFrame]:
-        """Staged samples, one per table, with ``__draw`` telling draws apart."""
+    def draws(self, n: int, seed: int, tables: int | None = None) -> list[DataFrame]:
+        """Staged samples of the first ``tables`` tables (all by default).
+
+        ``__draw`` tells draws apart. Later tables are drawn when first asked for.
+        """
         if n < 0:
             raise ValueError("n must not be negative")
-        if (n, seed) not in self._samples:
-            self._samples[n, seed] = self._draw(n, seed)
-        return self._samples[n, seed]
-
-    def _draw(self, n: int, seed: int) -> list[DataFrame]:
-        facts = self._stage_memos()
-        total = int(facts[0]["total"] or 0)
-        if n == 0 or total == 0:
-            return [
-                self.spark.createDataFrame(
-                    [], T.StructType([T.StructField(DRAW, BIGINT), *t.df.schema])
-                )
-                for t in self.tables
+        tables = len(self.tables) if tables is None else tables
+        steps = self._samples.setdefault((n, seed), [])
+        while len(steps) < tables:
+            i = len(steps)
+            points = steps[-1][1] if steps else self._first_points(n, seed)
+            steps.append(self._draw(i, points) if points is not None else (self._no_draws(i), None))
+        return [sample for sample, _ in steps[:tables]]
+
+    def _no_draws(self, i: int) -> DataFrame:
+        fields = [T.StructField(DRAW, BIGINT), *self.tables[i].df.schema]
+        return self.spark.createDataFrame([], T.StructType(fields))
+
+    def _first_points(self, n: int, seed: int) -> DataFrame | None:
+        first = self._stage_memos()[0]
+        total = int(first["total"] or 0)
+        return self._first_keys(n, seed, total, first["groups"]) if n and total else None
+
+    def _draw(self, i: int, points: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The sample of table ``i`` for its points, and the points of the next."""
+        table, following = self.tables[i], []
+        lookup = RowLookup(
+            table.df.withColumn(KEY, F.col(self._first_column(i)).cast(self._types[max(i - 1, 0)])),
+            table.order,
+            self._weigh(i),
+            self.outgoing(i),
+            self.staging,
+            self._weight_type,
+            self.split_rows,
+            self.slice_digits,
+        )
+        found = lookup.resolve(points, self._stage_memos()[i]["largest"])
+        if i < self.last:
+            following = [
+                F.col("__next_key").alias(KEY),
+                POS,
+                F.col(WEIGHT).alias(TOTAL),
+                F.col("__next_rows").alias(ROWS),
             ]
-        points = self._first_keys(n, seed, total, facts[0]["groups"])
-        samples = []
-        for i, table in enumerate(self.tables):
-            incoming = self.edges[0][0] if i == 0 else self.edges[i - 1][1]
-            incoming_type = self._types[max(i - 1, 0)]
-            lookup = RowLookup(
-                table.df.withColumn(KEY, F.col(incoming).cast(incoming_type)),
-                table.order,
-                self._weigh(i),
-                None if self.is_last(i) else self.edges[i][0],
-                self.staging,
-                self._weight_type,
-                self.split_rows,
-                self.slice_digits,
-            )
-            found = lookup.resolve(points, facts[i]["largest"])
-            following = (
-                []
-                if self.is_last(i)
-                else [
-                    F.col("__next_key").alias(KEY),
-                    POS,
-                    F.col(WEIGHT).alias(TOTAL),
-                    F.col("__next_rows").alias(ROWS),
-                ]
-            )
-            staged = self.staging.table(
-                found.select(DRAW, *table.df.columns, *following), f"sample{i}"
-            )
-            samples.append(staged.select(DRAW, *table.df.columns))
-            if following:
-                points = staged.select(DRAW, KEY, POS, TOTAL, ROWS)
-        return samples
+        columns = [DRAW, *table.df.columns]
+        staged = self.staging.table(found.select(*columns, *following), f"sample{i}")
+        return staged.select(*columns), staged.select(DRAW, KEY, POS, TOTAL, ROWS) if following else None
 
     def _first_keys(self, n: int, seed: int, total: int, groups: int) -> DataFrame:
         """Draw a rank in ``[0, total)`` and find the first table's key holding it."""
@@ -405,19 +396,19 @@ class ChainJoin:
 
     def sample_table(self, i: int, n: int, seed: int) -> DataFrame:
         """The draws' rows of table ``i``, with repeats."""
-        return self.draws(n, seed)[i].drop(DRAW)
+        return self.draws(n, seed, i + 1)[i].drop(DRAW)
 
     def sample_tables(self, n: int, seed: int, ordered: bool = True) -> list[DataFrame]:
         """One sample per table, each sorted by its first join column."""
-        frames = [self.sample_table(i, n, seed) for i in range(len(self.tables))]
-        if not ordered:
-            return frames
-        return [df.orderBy(self.join_attrs(i)[0]) for i, df in enumerate(frames)]
+        frames = self.draws(n, seed)
+        if ordered:  # by draw as well, or all draws of a hot key sort in one task
+            frames = [df.orderBy(self._first_column(i), DRAW) for i, df in enumerate(frames)]
+        return [df.drop(DRAW) for df in frames]
 
     def key_counts(self, i: int, n: int, seed: int) -> DataFrame:
         """``(key, count)`` the sample of table ``i`` hands to the next table."""
-        column = self.join_attrs(i)[-1]
-        sample = self.draws(n, seed)[i]
+        column = self.outgoing(i) or self.incoming(i)
+        sample = self.draws(n, seed, i + 1)[i]
         return sample.groupBy(F.col(column).alias("key")).agg(
             F.count(F.lit(1)).alias("count")
         )
@@ -432,8 +423,7 @@ class ChainJoin:
         """
         if mode == "proportional":
             by_site = self.cardinality(by_site=True)
-            # One row per site, so a window over all of them stays small.
-            total = F.sum("cardinality").over(Window.partitionBy(F.lit(0)))
+            total = by_site.agg(F.sum("cardinality").alias("total")).scalar()
             share = to_share(F.col("cardinality"), total)
             return by_site.select(SITE, half_up(share * F.lit(float(n))).alias("count"))
         if mode == "drawn":
@@ -442,11 +432,11 @@ class ChainJoin:
 
     def allocate_keys(self, i: int, n: int, seed: int) -> DataFrame:
         """``(site, key, count)``: draws per site and incoming key of table ``i``."""
-        key = F.col(self.join_attrs(i)[0]).alias("key")
+        key = F.col(self._first_column(i)).alias("key")
         return self._count_by(i, n, seed, [self._site(i), key])
 
     def _count_by(self, i: int, n: int, seed: int, by: list[Column]) -> DataFrame:
-        return self.draws(n, seed)[i].groupBy(*by).agg(
+        return self.draws(n, seed, i + 1)[i].groupBy(*by).agg(
             F.count(F.lit(1)).alias("count")
         )
 

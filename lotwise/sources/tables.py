@@ -14,13 +14,23 @@ _NO_TEXT = "\u0000"
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | None = None,
+    multi_line: bool = True,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Comma-separated files with a header; all strings without a schema.
 
-    Types are never inferred, so the files are read once.
+    Types are never inferred, so the files are read once. A field may hold line
+    breaks, quotes and backslashes. For that a task reads a whole file; without
+    line breaks in fields, ``multi_line=False`` lets large files be cut. A value
+    that its type cannot hold is an error; ``mode="PERMISSIVE"`` makes it null.
     """
-    reader = spark.read.options(header=True, sep=",", nullValue=_NO_TEXT)
+    reader = spark.read.options(
+        header=True, sep=",", nullValue=_NO_TEXT, multiLine=multi_line, escape='"', mode=mode, lineSep="\n",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -52,7 +62,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """
     out = df.coalesce(1) if single_file else df
     keep_blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    out.write.mode("overwrite").options(header=True, **keep_blanks).csv(path)
+    out.write.mode("overwrite").options(header=True, escape='"', lineSep="\n", **keep_blanks).csv(path)
 
 
 def write_parquet(
@@ -78,7 +88,9 @@ def read_memo(
     return read_table(spark, path, fmt, schema).toDF("key", "count")
 
 
-def write_samples(samples: dict[str, DataFrame], path: str) -> None:
-    """One Parquet directory per table below ``path``."""
+def write_samples(samples: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
+    """One directory per table below ``path``, in Parquet or CSV."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
     for name, df in samples.items():
-        write_parquet(df, f"{path}/{name}")
+        (write_csv if fmt == "csv" else write_parquet)(df, f"{path}/{name}")

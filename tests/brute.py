@@ -12,7 +12,8 @@ def _digest(parts) -> str:
 
 def row_order(row):
     nulls_first = tuple((v is not None, v) for v in row)
-    return _digest(row), nulls_first
+    text = "|".join("-" if v is None else f"{len(str(v))}:{v}" for v in row)
+    return hashlib.md5(text.encode()).hexdigest(), nulls_first
 
 
 def rank(seed, total, *ids):

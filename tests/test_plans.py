@@ -127,3 +127,32 @@ def test_hot_join_key_is_split_by_adaptive_execution(spark):
     assert "skew=true" in plan
     expected = 100_000 * 6 + sum(6 for i in range(50_000) if i % 3)
     assert total == expected
+
+
+def test_hot_group_of_a_lookup_is_split(spark, monkeypatch):
+    """A drawn group with a third of a table, larger than ``split_rows``."""
+    hot = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))
+    left = spark.range(0, 3000).select((F.col("id") % 50_000).alias("a"))
+    right = spark.range(0, 300_000, 1, 8).select(F.col("id").alias("b"), hot.alias("c"))
+    chain = ChainJoin([TableSpec("x", left), TableSpec("y", right)], [("a", "c")], split_rows=1000)
+    conf = NO_BROADCAST | {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 20_000,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": 20_000,
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    plans = {}
+    write = Staging.table
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("slices"):
+            df.write.format("noop").mode("overwrite").save()
+            df.collect()
+            plans[name] = plan_of(df)
+        return out
+
+    monkeypatch.setattr(Staging, "table", spy)
+    with settings(spark, conf):
+        chain.sample_table(1, 2000, 1)
+    assert "skew=true" in plans["slices1"]
+    assert "partial_count" in plans["slices1"] or "partial_sum" in plans["slices1"]

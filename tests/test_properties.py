@@ -168,6 +168,26 @@ def test_user_columns_named_count_and_weight(spark):
         chain.weights(0)
 
 
+def test_draws_only_what_is_asked(spark, expected, monkeypatch):
+    from lotwise.staging import Staging
+
+    names, write = [], Staging.table
+    monkeypatch.setattr(Staging, "table", lambda self, df, name: names.append(name) or write(self, df, name))
+    tables, rows = expected
+    chain = skewed_chain(spark, tables)
+    assert chain.sample_table(0, N, SEED).count() == N
+    assert not any(n in names for n in ("sample1", "sample2"))
+    assert collected(chain.sample(N, SEED)) == rows
+    assert names.count("sample0") == names.count("sample2") == 1
+
+
+def test_decimal_keys_meet_integers(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1,), (1,)], "k int").select(F.col("k").cast("decimal(12,2)").alias("k"))
+    chain = ChainJoin([TableSpec("l", left), TableSpec("r", right)], [("k", "k")])
+    assert chain.cardinality().first()[0] == 2
+
+
 def test_same_frame_at_both_ends(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(10)], "id int, k int")
     chain = ChainJoin([TableSpec("x", df), TableSpec("y", df)], [("k", "k")])
@@ -209,9 +229,8 @@ def test_validation(spark):
 
 def test_description(spark):
     chain = skewed_chain(spark, skewed_tables())
-    assert [chain.join_attrs(i) for i in range(3)] == [["a_x"], ["b_x", "b_y"], ["c_y"]]
-    assert chain.is_first(0) and chain.is_last(2) and not chain.is_last(1)
-    assert chain.table_index("b") == 1
+    assert [chain.incoming(i) for i in range(3)] == [None, "b_x", "c_y"]
+    assert [chain.outgoing(i) for i in range(3)] == ["a_x", "b_y", None]
 
 
 @pytest.mark.parametrize("split_rows, digits", [(1 << 17, 4), (20, 1), (1, 4)])
@@ -229,12 +248,45 @@ def test_weighted_sample(spark, split_rows, digits):
     assert collected(sample) == expected
 
 
-def test_order_columns_must_tell_rows_apart(spark):
+def test_order_columns_shared_by_many_rows(spark):
     df = spark.range(100).select("id", F.lit(1).alias("w"), (F.col("id") % 2).alias("half"))
-    sample = weighted_sample(df, "w", 50, 1, order_cols=["half"])
-    assert sample.count() == 50  # few rows: sorted in one task
-    with pytest.raises(ValueError, match="order columns"):
-        weighted_sample(df, "w", 50, 1, order_cols=["half"], split_rows=10)
+    sample = collected(weighted_sample(df, "w", 50, 1, order_cols=["half"]))
+    assert len(sample) == 50
+    for split_rows in (10, 1):
+        sliced = weighted_sample(df, "w", 50, 1, order_cols=["half"], split_rows=split_rows)
+        assert collected(sliced) == sample
+
+
+def test_rows_of_equal_text(spark):
+    """Nulls, separators and split values: different rows, told apart."""
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("", "a"), ("a", "")]
+    df = spark.createDataFrame(rows, "x string, y string").withColumn("w", F.lit(1))
+    sample = weighted_sample(df, "w", 300, 1, split_rows=1, slice_digits=1)
+    assert collected(sample) == collected(weighted_sample(df, "w", 300, 1))
+    assert len(set(r[1:3] for r in sample.collect())) == len(rows)
+
+
+@pytest.mark.parametrize("total", [2 * 10**37, 10**36, 5 * 10**18, 10])
+def test_wide_draws_are_uniform(spark, total):
+    df = spark.range(4).withColumn("w", F.lit(str(total)).cast("decimal(38,0)"))
+    counts = weighted_sample(df, "w", 2000, 7, wide=True).groupBy("id").count().collect()
+    assert len(counts) == 4
+    assert sum((r["count"] - 500) ** 2 / 500 for r in counts) < 25  # chi-square, 3 degrees
+
+
+def test_weights_are_whole_numbers(spark):
+    df = spark.createDataFrame([(i, 1.5) for i in range(10)], "id int, w double")
+    for weight in ("w", "d"):
+        fractions = df.withColumn("d", F.col("w").cast("decimal(10,2)"))
+        with pytest.raises(ValueError, match="whole numbers"):
+            weighted_sample(fractions, weight, 100, 1)
+    counts = spark.createDataFrame([(1, 3)], "key int, count int")
+    with pytest.raises(ValueError, match="whole numbers"):
+        sample_per_key(df, "id", counts, 1, "w")
+    whole = df.withColumn("d", F.lit(2).cast("decimal(10,0)"))
+    assert weighted_sample(whole, "d", 100, 1).count() == 100
+    with pytest.raises(ValueError, match="map columns"):
+        weighted_sample(whole.withColumn("m", F.create_map("id", "w")), "d", 1, 1)
 
 
 @pytest.mark.parametrize("split_rows", [1 << 17, 10])
