@@ -78,6 +78,8 @@ CASES = {
             "weighted_sample",
             "sample_per_key",
             "key_filter",
+            "site_allocation_drawn",
+            "sample_self_join_sliced",
         )
     },
     "sample_chain2_1000": sample(CHAIN2, 1000),

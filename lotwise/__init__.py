@@ -3,7 +3,7 @@
 from lotwise.operators import repeat_rows, sample_per_key, weighted_sample
 from lotwise.plans import ChainJoin, TableSpec, TreeJoin
 from lotwise.session import build_session
-from lotwise.staging import Staging
+from lotwise.staging import Staging, release_all
 
 __all__ = [
     "ChainJoin",
@@ -11,6 +11,7 @@ __all__ = [
     "TableSpec",
     "TreeJoin",
     "build_session",
+    "release_all",
     "repeat_rows",
     "sample_per_key",
     "weighted_sample",

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: list[tempfile.TemporaryDirectory] = []
+_open: dict[str, Staging] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,13 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_dirs[0].name
 
 
+def release_all() -> None:
+    """Delete everything staged by this process, also what has no owner left.
+
+    Frames that operators returned read from there, so call it when all are used.
+    """
+    for staging in list(_open.values()):
+        staging.release()
+
+
 class Staging:
-    """A private sub-folder of the shared folder for one query's tables."""
+    """A private sub-folder of the shared folder for one query's tables.
+
+    A context manager: at its end the folder is deleted. Operators that make
+    their own keep it until ``release_all``.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.path = f"{(folder or shared_folder(spark)).rstrip('/')}/lotwise-{uuid.uuid4().hex}"
         self._count = 0
+        _open[self.path] = self
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.release()
 
     def new_path(self, name: str) -> str:
         self._count += 1
@@ -54,3 +75,4 @@ class Staging:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         conf = self.spark._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
+        _open.pop(self.path, None)

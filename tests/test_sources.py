@@ -101,3 +101,23 @@ def test_staging_uses_the_shared_folder_and_cleans_up(spark, df, tmp_path):
     assert rows(table) == rows(df) and staging.path.startswith(str(tmp_path))
     staging.release()
     assert not list(tmp_path.iterdir())
+
+
+def test_staged_folders_are_released(spark):
+    import os
+
+    from lotwise.operators import count_min_sketch
+    from lotwise.staging import Staging, release_all
+
+    memo = spark.createDataFrame([(1, 2), (2, 3)], "key int, count long")
+    with Staging(spark) as staging:
+        staging.table(memo, "memo")
+        assert os.path.isdir(staging.path)
+    assert not os.path.exists(staging.path)
+    folder = os.path.dirname(staging.path)
+    before = set(os.listdir(folder))
+    count_min_sketch(memo, 2, 8)
+    made = set(os.listdir(folder)) - before
+    assert made
+    release_all()
+    assert not made & set(os.listdir(folder))
