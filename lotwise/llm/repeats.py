@@ -12,8 +12,9 @@ bits of hash). A name that occurs twice makes every window of the run repeat.
 
 Induction. What is left are cores seen in several contexts of which some occur
 once: the ends of repeated passages. One representative of every context is
-broken into its windows, and windows are matched by name: either shuffled one by
-one, or all contexts of a core side by side in one shard.
+broken into its windows, and windows are matched: either shuffled one by one and
+compared by name, or, for bytes, by induced suffix sorting of all contexts of a
+core in one shard (``induced``), shards streaming from an external sort.
 
 Memory. Rows of a key are never gathered: counting combines on the map side,
 joins meet one row per key behind a fresh shuffle (so a hot key is split), and
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.llm.arrow import as_bytes, batch, text_slices
+from lotwise.llm.induced import repeated_runs
 from lotwise.llm.rolling import BASES, BYTE_VALUES, NOT_SPACE, Rolling, anchors, mix, word_hashes, word_spans
 from lotwise.staging import Staging
 
@@ -61,7 +63,7 @@ def _contexts(units: Units, length: int, core: int, places: bool):
     schema = pa.schema([("core", pa.int64()), ("name", pa.int64())])
     if places:
         keys = [pa.field(c, pa.int64()) for c in KEY]
-        schema = pa.schema([*keys, *schema, ("low", pa.int32()), ("n", pa.int32())])
+        schema = pa.schema([*keys, *schema, ("low", pa.int32()), ("n", pa.int32()), ("offset", pa.int32())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -75,7 +77,8 @@ def _contexts(units: Units, length: int, core: int, places: bool):
                 columns = [_signed(cores), _signed(names)]
                 if places:
                     keys = [rows[c].to_numpy()[first + doc] for c in KEY]
-                    columns = [*keys, *columns, (low - bounds[doc]).astype(np.int32), (high - low + 1).astype(np.int32)]
+                    shape = [(low - bounds[doc]).astype(np.int32), (high - low + 1).astype(np.int32), (at - low).astype(np.int32)]
+                    columns = [*keys, *columns, *shape]
                 yield batch(schema, *columns)
 
     return task
@@ -99,7 +102,7 @@ def _listed(rows: pa.RecordBatch):
 
 def _strings(length: int):
     """Task: the bytes that the listed contexts of each document span."""
-    schema = pa.schema([("core", pa.int64()), *[(c, pa.int64()) for c in KEY], ("low", pa.int32()), ("open", pa.bool_()), ("context", pa.binary())])
+    schema = pa.schema([("core", pa.int64()), *[(c, pa.int64()) for c in KEY], ("low", pa.int32()), ("offset", pa.int32()), ("open", pa.bool_()), ("context", pa.binary())])
 
     def task(batches):
         for rows in batches:
@@ -112,7 +115,7 @@ def _strings(length: int):
                     pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])]
                 )
                 keys = [rows[c].to_numpy()[first + doc] for c in KEY]
-                yield batch(schema, own["core"], *keys, own["low"], own["open"], context.cast(pa.binary()))
+                yield batch(schema, own["core"], *keys, own["low"], own["offset"], own["open"], context.cast(pa.binary()))
 
     return task
 
@@ -123,24 +126,13 @@ def _matched_strings(length: int):
 
     def match(rows: pa.RecordBatch):
         data, bounds = as_bytes(rows["context"])
-        base, data = bounds[0], data[bounds[0] : bounds[-1]]
-        n = np.diff(bounds) - length + 1
-        row = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(bounds[:-1] - base, n) + inside
-        names = Rolling(BYTE_VALUES[data], BASES[1]).spans(start, start + length)
-        cores = rows["core"].to_numpy()[row]
-        order = np.lexsort((names, cores))
-        same = (names[order][1:] == names[order][:-1]) & (cores[order][1:] == cores[order][:-1])
-        repeated = np.zeros(len(row) + 1, bool)
-        repeated[order[1:][same]] = repeated[order[:-1][same]] = True
-        repeated[:-1] &= rows["open"].to_numpy(zero_copy_only=False)[row]
-        begins = repeated[:-1] & ((inside == 0) | ~np.roll(repeated[:-1], 1))
-        stops = repeated[:-1] & (~repeated[1:] | (np.append(inside[1:], 0) == 0))
-        first, last = np.flatnonzero(begins), np.flatnonzero(stops)
-        keys = [rows[c].to_numpy()[row[first]] for c in KEY]
-        low = rows["low"].to_numpy()[row[first]] + inside[first]
-        return batch(schema, *keys, low.astype(np.int32), (last - first + 1).astype(np.int32))
+        windows = np.diff(bounds) - length + 1
+        row, low, n = repeated_runs(
+            data[bounds[0] : bounds[-1]], bounds - bounds[0], rows["offset"].to_numpy(), windows,
+            rows["core"].to_numpy(), rows["open"].to_numpy(zero_copy_only=False), length,
+        )
+        keys = [rows[c].to_numpy()[row] for c in KEY]
+        return batch(schema, *keys, (rows["low"].to_numpy()[row] + low).astype(np.int32), n.astype(np.int32))
 
     def task(batches):
         held = None
@@ -215,7 +207,7 @@ def _matched(batches):
 
 def _by_document(listed: DataFrame) -> DataFrame:
     """Contexts gathered per document: no more than the anchors of its own text."""
-    return listed.groupBy(*KEY).agg(F.collect_list(F.struct("core", "low", "n", "open")).alias("contexts"))
+    return listed.groupBy(*KEY).agg(F.collect_list(F.struct("core", "low", "n", "offset", "open")).alias("contexts"))
 
 
 def repeated_windows(
@@ -240,15 +232,15 @@ def repeated_windows(
     )
     cores = staging.table(cores, "cores")
     anchored = docs.select(*KEY, "text").mapInArrow(
-        _contexts(units, length, core, True), f"{place}, core {long}, name {long}, low {integer}, n {integer}"
+        _contexts(units, length, core, True), f"{place}, core {long}, name {long}, low {integer}, n {integer}, offset {integer}"
     )
     hits = anchored.withColumn("turn", F.expr("pmod(core, 2)")).join(
         cores, F.expr("core = seen AND turn = seen_turn")
     )
-    hits = staging.table(hits.select(*KEY, "core", "name", "low", "n", "mixed"), "hits")
+    hits = staging.table(hits.select(*KEY, "core", "name", "low", "n", "offset", "mixed"), "hits")
     mixed = hits.where("mixed")
     names = mixed.groupBy("core", "name").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEY, "low", "n")).alias("first")
+        F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEY, "low", "n", "offset")).alias("first")
     )
     names = staging.table(names, "names")
     twice = names.where("c > 1").selectExpr("core AS core2", "name AS name2", "pmod(name, 2) AS turn2")
@@ -262,7 +254,7 @@ def repeated_windows(
         crowded = names.groupBy("core").count().where(f"count > {CROWDED}").select("core")
         crowded = staging.table(crowded, "crowded")
         contexts = text.join(_by_document(listed.join(crowded, "core", "left_anti")), KEY)
-        strings = contexts.mapInArrow(_strings(length), f"core {long}, {place}, low {integer}, open BOOLEAN, context BINARY")
+        strings = contexts.mapInArrow(_strings(length), f"core {long}, {place}, low {integer}, offset {integer}, open BOOLEAN, context BINARY")
         strings = strings.repartition("core").sortWithinPartitions("core")
         matched = strings.mapInArrow(_matched_strings(length), f"{place}, low {integer}, n {integer}")
         listed = None if crowded.isEmpty() else listed.join(crowded, "core", "left_semi")

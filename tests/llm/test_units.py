@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lotwise.llm import dom, extraction, huffman, jaccard, rolling, tokens, vectors
+from lotwise.llm import dom, extraction, huffman, induced, jaccard, rolling, tokens, vectors
 
 
 @settings(max_examples=60, deadline=None)
@@ -120,3 +120,26 @@ def test_labels_of_pages():
         assert 0 < sum(extraction.labels(nodes)) < len(nodes)
     assert extraction.labels(dom.parse("<p>x</p>")[0]) is None
     assert re.search("data-y", extraction.LABELLED[0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_induced_order_finds_equal_windows(data):
+    length = data.draw(st.integers(2, 6))
+    strings = []
+    for _ in range(data.draw(st.integers(1, 12))):
+        windows = data.draw(st.integers(1, 5))
+        text = data.draw(st.text("ab\0", min_size=windows + length - 1, max_size=windows + length - 1)).encode()
+        strings.append((text, data.draw(st.integers(windows - 1, windows + length - 2)), windows, data.draw(st.integers(0, 2))))
+    texts, offset, windows, group = zip(*strings)
+    wanted = np.array([data.draw(st.booleans()) for _ in strings])
+    expected = set()
+    for i, (a, o, n, g) in enumerate(strings):
+        for w in range(n):
+            alike = (b[w - o + p : w - o + p + length] for j, (b, p, m, h) in enumerate(strings) if j != i and h == g and 0 <= w - o + p < m)
+            if wanted[i] and a[w : w + length] in alike:
+                expected.add((i, w))
+    row, first, n = induced.repeated_runs(
+        np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array(offset), np.array(windows), np.array(group), wanted, length
+    )
+    assert {(r, w) for r, f, c in zip(row, first, n) for w in range(f, f + c)} == expected
