@@ -102,6 +102,12 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share=SHARE, most: i
     return rows.select(*restore(*added), *added)
 
 
+def by_finish(mixed: DataFrame) -> DataFrame:
+    """``mixed`` in global order of the virtual finish of each row's first turn."""
+    finish = F.when(F.col("__target") > 0, F.expr("(__before + __size) / __target"))
+    return mixed.withColumn("__finish", finish).repartitionByRange("__finish", "doc_id").sortWithinPartitions("__finish", "doc_id")
+
+
 def sequence(mixed: DataFrame, most: int = MOST) -> DataFrame:
     """The mix itself: rows of ``mixed``, repeated as often as taken, in global order.
 

@@ -39,7 +39,8 @@ def html_extraction(spark, sf_dir):
 
 
 def mixed_sources(spark, sf_dir):
-    return mixing.mix(read(spark, sf_dir, "documents")).selectExpr(
+    mixed = mixing.by_finish(mixing.mix(read(spark, sf_dir, "documents")))
+    return mixed.selectExpr(
         "doc_id", "__size AS size", "__source_size AS source_size", "__target AS target", "__taken AS taken"
     )
 
