@@ -83,3 +83,9 @@ def test_substring_dedup(spark, texts):
 def test_vectors(spark):
     vectors = [(r.vec_id, r.embedding, r.label) for r in read(spark, SF_DIR, "embeddings").collect()]
     assert rows_of(spark, "op10_embedding_near_dedup") == Counter(brute.vector_groups(vectors))
+
+
+@pytest.mark.parametrize("name", ["op2_decontamination", "op7_url_filters"])
+def test_native_queries_run_no_python(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
