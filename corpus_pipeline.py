@@ -12,11 +12,23 @@ from lotwise.llm.tables import read, row_key, set_aside
 from lotwise.staging import Staging
 
 LEAST_SCORE = 0.35
+_staged: list[Staging] = []
+
+
+def _staging(spark) -> Staging:
+    """Where a stage keeps its work tables, until the next stage starts.
+
+    A stage reads what the one before has written, so those tables are done with.
+    """
+    while _staged:
+        _staged.pop().release()
+    _staged.append(Staging(spark))
+    return _staged[-1]
 
 
 def language_id(spark, docs, sf_dir):
     """Drop documents without letters or without a clear language."""
-    model = language.train(language.training_rows(docs))
+    model = language.train(language.training_rows(docs), staging=_staging(spark))
     rows, restore = set_aside(docs, "text")
     known = language.predict(rows, model).where(f"lang_pred <> '{language.UNDETERMINED}' AND score >= {LEAST_SCORE}")
     return known.select(*restore())
@@ -24,12 +36,12 @@ def language_id(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """Keep one document of each group that Jaccard links connect."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, staging=_staging(spark))
 
 
 def decontamination(spark, docs, sf_dir):
     """Drop documents that hold a passage of the benchmark."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), _staging(spark))
     hit = found.where("contaminated").select(*decontaminate.KEY).hint("merge")
     rows, restore = set_aside(docs, "doc_id", "text")
     return rows.withColumns(row_key()).join(hit, decontaminate.KEY, "left_anti").select(*restore())
@@ -38,12 +50,12 @@ def decontamination(spark, docs, sf_dir):
 def mixed_sources(spark, docs, sf_dir):
     """Mix sources to their target weights; documents may come twice."""
     rows, restore = set_aside(docs, "doc_id", "source", "text")
-    return mixing.sequence(mixing.mix(rows)).select(*restore())
+    return mixing.sequence(mixing.mix(rows, staging=_staging(spark))).select(*restore())
 
 
 def token_output(spark, docs, sf_dir):
     """Write token files and read the documents back from them."""
-    return token_files(spark, docs)
+    return token_files(spark, docs, _staging(spark))
 
 
 STAGES = [

@@ -81,11 +81,12 @@ def url_filters(spark, sf_dir):
     return url_filter.filter_urls(captures(spark, sf_dir), list_entries(spark, sf_dir))
 
 
-def token_files(spark, docs):
+def token_files(spark, docs, staging=None):
     import public_tokenizers
 
-    folder = Staging(spark).new_path("tokens")
-    tokens.write_token_files(docs, public_tokenizers.path(tokens.TOKENIZER), folder)
+    staging = staging or Staging(spark)
+    folder = staging.new_path("tokens")
+    tokens.write_token_files(docs, public_tokenizers.path(tokens.TOKENIZER), folder, staging=staging)
     return tokens.read_token_files(spark, folder)
 
 

@@ -77,7 +77,7 @@ def test_stages_and_whole(spark, folder):
 
 
 def test_no_documents(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, folder)
+    staging, docs = Staging(spark), spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staging.table(stage(spark, docs, folder), name)
     assert docs.count() == 0
