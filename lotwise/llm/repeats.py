@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lotwise.llm.arrow import as_bytes, batch, text_slices
 from lotwise.llm.induced import repeated_runs
