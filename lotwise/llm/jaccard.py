@@ -20,9 +20,10 @@ coordinates, skips whole boxes, and pairs that it leaves are bounded again with
 all coordinates. Surviving pairs are verified on their texts.
 
 Order of work. In a block every class is first tested with the least one
-(linear), which settles groups of near copies. Then blocks that still hold
-classes of different components go through R-trees, in parts of bounded size, so
-that no pair of a block is left out that could connect components.
+(linear), then, where classes are still apart, with others drawn by hash: that
+settles groups of near copies. Blocks that still hold classes of different
+components go through R-trees, in parts of bounded size, so that no pair of a
+block is left out that could connect components.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ PERCENT = 75
 GROUPS = 64
 BUCKET_BITS = 16
 LEAF, FAN = 32, 16
-PART = 1024  # classes of a block in one part
+PART = 256  # classes of a block in one part
+TURNS = 2  # further classes of each block that all others are tested with
 KEY = ["__a", "__b"]
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -352,19 +354,15 @@ class _Join:
         shared = self.shared()
         pairs = shared.where(ratio).selectExpr("first AS a", "class AS b").distinct()
         links = self.verified(self.bounded(pairs), "least")
-        components = self.staging.table(connected_components(links, self.staging), "least-components")
         members = shared.select("shingle", "class").union(shared.select("shingle", "first").distinct())
-        known = components.selectExpr("id AS __id", "component")
-        members = join_unique(members, F.col("class"), known, "__id", "left").selectExpr(
-            "shingle", "class", "coalesce(component, class) AS component"
-        )
-        members = self.staging.table(members, "members")
-        blocks = members.groupBy("shingle").agg(
-            F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        blocks = blocks.where("size > 2 AND low < high").selectExpr("shingle AS block", "size")
-        blocks = self.staging.table(blocks, "blocks")
-        members = join_unique(members, F.col("shingle"), blocks, "block")
+        for turn in range(TURNS):
+            open_blocks = self.open_blocks(members, links, f"turn{turn}")
+            lead = F.min_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn))).alias("lead")
+            leads = open_blocks.groupBy(F.col("shingle").alias("block")).agg(lead)
+            pairs = join_unique(open_blocks, F.col("shingle"), leads, "block").where("component <> lead.component")
+            pairs = pairs.selectExpr("least(class, lead.class) AS a", "greatest(class, lead.class) AS b").distinct()
+            links = links.unionByName(self.verified(self.bounded(pairs), f"turn{turn}"))
+        members = self.open_blocks(members, links, "tree")
         members = members.withColumn("parts", F.expr(f"CAST(ceil(size / {PART}) AS INT)"))
         members = members.withColumn("part", F.expr("pmod(xxhash64(class), parts)"))
         parts = "transform(sequence(0, parts - 1), x -> named_struct('i', least(part, CAST(x AS BIGINT)), 'j', greatest(part, CAST(x AS BIGINT))))"
@@ -375,6 +373,24 @@ class _Join:
         found = members.repartition(*by).sortWithinPartitions(*by).mapInArrow(_searched(self.percent), "a BIGINT, b BIGINT")
         return links.unionByName(self.verified(found.distinct(), "tree"))
 
+    def open_blocks(self, members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Members of blocks of over two classes that are not all connected by ``links``.
+
+        A block of two classes was settled with the first links.
+        """
+        components = self.staging.table(connected_components(links, self.staging), f"{name}-components")
+        known = components.selectExpr("id AS __id", "component")
+        members = join_unique(members, F.col("class"), known, "__id", "left").selectExpr(
+            "shingle", "class", "coalesce(component, class) AS component"
+        )
+        members = self.staging.table(members, f"{name}-members")
+        blocks = members.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        blocks = blocks.where("size > 2 AND low < high").selectExpr("shingle AS block", "size")
+        blocks = self.staging.table(blocks, f"{name}-blocks")
+        return join_unique(members, F.col("shingle"), blocks, "block").drop("block")
+
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, staging: Staging | None = None) -> DataFrame:
     """``docs`` with one row of each group of linked documents, that of least doc_id.
