@@ -11,7 +11,7 @@ shingles in common with the other's, in any fixed order. The order puts shingles
 of crowded buckets last (document counts of ``2**BUCKET_BITS`` hash buckets, from
 all documents), so a passage that many documents share does not bring them together.
 
-Bound. Shingles are hashed into groups, about one for four shingles of the set
+Bound. Shingles are hashed into groups, one or two for each shingle of the set
 and ``GROUPS`` at least; a class is a point of group counts. The overlap of two
 sets is at most the sum of the coordinate minima. Groups are powers of two, so a
 point folds to fewer coordinates. The bound also holds for boxes of points with
@@ -89,8 +89,8 @@ _SETS = pa.schema(
 
 
 def _groups(sizes: np.ndarray) -> np.ndarray:
-    """Coordinates of sets: a power of two, a quarter of the size or ``GROUPS`` at least."""
-    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(sizes, 4) / 4)).astype(np.int64))
+    """Coordinates of sets: a power of two, the size or ``GROUPS`` at least."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes, GROUPS))).astype(np.int64)
 
 
 def _describe(batches):
@@ -174,8 +174,8 @@ def _points(column: pa.Array) -> list[np.ndarray]:
     return [data[low:high].view("<u2") for low, high in zip(bounds[:-1], bounds[1:])]
 
 
-def _folded(points: list[np.ndarray], groups: int) -> np.ndarray:
-    return np.stack([p.reshape(-1, groups).sum(0) for p in points]) if points else np.empty((0, groups), np.int64)
+def _folded(points: list[np.ndarray], groups: int, kind=np.int64) -> np.ndarray:
+    return np.stack([p.reshape(-1, groups).sum(0, dtype=kind) for p in points])
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
         pairs = np.flatnonzero(common == groups)
         own, at = np.unique(i[pairs], return_inverse=True)
         its, to = np.unique(j[pairs], return_inverse=True)
-        x, y = (_folded([p[k] for k in ks], groups).astype(np.uint16) for p, ks in ((left, own), (right, its)))
+        x, y = (_folded([p[k] for k in ks], groups, np.uint16) for p, ks in ((left, own), (right, its)))
         step = max(1, (1 << 22) // int(groups))
         for k in range(0, len(pairs), step):
             bound[pairs[k : k + step]] = np.minimum(x[at[k : k + step]], y[to[k : k + step]]).sum(1, dtype=np.int64)
