@@ -37,6 +37,7 @@ from lotwise.llm.arrow import as_bytes, batch, text_slices
 from lotwise.llm.graph import connected_components
 from lotwise.llm.rolling import NOT_SPACE, Rolling, mix, word_hashes, word_spans
 from lotwise.llm.tables import keyed, row_key, set_aside
+from lotwise.llm.tokens import packed, unpacked
 from lotwise.operators.skew import join_unique
 from lotwise.staging import Staging
 
@@ -105,13 +106,12 @@ def _describe(batches):
             groups = _groups(sizes)
             ends = np.cumsum(groups)
             at = (ends - groups)[doc] + (mix(shingles) & (groups[doc] - 1).astype(np.uint64)).astype(np.int64)
-            counts = np.bincount(at, minlength=ends[-1]).astype("<u2")
-            offsets = np.concatenate([[0], ends]) * counts.itemsize
-            points = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_docs, [None, pa.py_buffer(offsets), pa.py_buffer(counts)])
+            counts = np.bincount(at, minlength=ends[-1])
+            points = [packed(p) for p in np.split(counts, ends[:-1])]
             own = rows.slice(first, n_docs)
             yield batch(
                 _SETS, np.zeros(n_docs, np.int32), own["__a"], own["__b"], own["doc_id"],
-                _class_names(doc, shingles, n_docs), sizes, points.cast(pa.binary()),
+                _class_names(doc, shingles, n_docs), sizes, points,
             )
     used = np.flatnonzero(buckets)
     none = pa.nulls(len(used), pa.int64())
@@ -170,8 +170,7 @@ def _shared(batches):
 
 
 def _points(column: pa.Array) -> list[np.ndarray]:
-    data, bounds = as_bytes(column)
-    return [data[low:high].view("<u2") for low, high in zip(bounds[:-1], bounds[1:])]
+    return [unpacked(p) for p in column.to_pylist()]
 
 
 def _folded(points: list[np.ndarray], groups: int, kind=np.int64) -> np.ndarray:
