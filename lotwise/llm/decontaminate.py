@@ -3,8 +3,8 @@
 Benchmark items and documents are cut into words. Of every ``WINDOW`` consecutive
 words the least hash among the ``GRAM``-grams is kept as fingerprint, so any span
 of ``WINDOW`` shared words shares a fingerprint. Documents meet the benchmark on
-fingerprints; a hit is extended to the windows around it, which are compared as
-text. Items of fewer words are one window each and meet documents on the hash of
+fingerprints; a hit is extended to the windows that can share it, which are compared
+as text. Items of fewer words are one window each and meet documents on the hash of
 the whole window, for the few lengths below ``WINDOW`` that occur.
 """
 
@@ -52,13 +52,19 @@ def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _fingerprints(positions: DataFrame, keys: list[str]) -> DataFrame:
-    """Winnowed fingerprints, where the least gram is another than one word before."""
+    """Winnowed fingerprints, where the least gram is another than one word before.
+
+    Of equal grams the leftmost counts, so a window's gram is another one too if the
+    window before began with it. In periodic text that is every window of a run of
+    equal values; with at most ``REACH + 1`` windows to a gram, every window has the
+    fingerprint of one that starts at most ``REACH`` words before it.
+    """
     grams = [_hash(1 + i, GRAM) for i in range(REACH + 1)]
     least = positions.where(f"h.`{WINDOW}` IS NOT NULL").selectExpr(
         *keys, "at", "h.`0` IS NULL AS first", f"least({', '.join(grams)}) AS print",
-        f"least({_hash(0, GRAM)}, {', '.join(grams[:-1])}) AS previous",
+        f"least({_hash(0, GRAM)}, {', '.join(grams[:-1])}) AS previous", f"{_hash(0, GRAM)} AS before",
     )
-    return least.where("first OR print <> previous").select(*keys, "at", "print")
+    return least.where("first OR print <> previous OR print = before").select(*keys, "at", "print")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, staging: Staging | None = None) -> DataFrame:
@@ -94,7 +100,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, staging: Staging | None
         whole = placed.select(*KEY, "at", F.explode(F.expr(f"array({tests})")).alias("t")).where("t IS NOT NULL")
         prints = prints.unionByName(whole.select(*KEY, "at", "t.print", "t.span"))
     hits = prints.join(known, F.expr("print = known AND span = known_span"), "left_semi")
-    around = f"IF(span < {WINDOW}, array(at), sequence(greatest(at - {REACH}, 0), at + {REACH}))"
+    around = f"IF(span < {WINDOW}, array(at), sequence(at, at + {REACH}))"
     hits = hits.select(*KEY, "span", F.explode(F.expr(around)).alias("at")).distinct()
     hits = hits.groupBy(*KEY).agg(F.collect_list(F.struct("at", "span")).alias("tests"))  # of one document
     hits = staging.table(hits, "hits")

@@ -89,6 +89,20 @@ def test_contamination(spark, docs):
     same(decontaminate.contamination(docs, items.limit(0)).drop(*decontaminate.KEY), brute.contamination(TEXTS, []))
 
 
+def test_contamination_of_periodic_text(spark):
+    """All windows of a run share their least gram, however long it is."""
+    rows, items = [(1, "0 " * 100), (2, "0 " * 60 + "t1 t2 t3 t4 t5 " + "0 " * 40)], [(1, "0 " * 100), (2, "0 0 0 0 0 t1 t2 t3 t4 t5")]
+    for period in range(1, 8):
+        words = [f"p{period}w{i % period}" for i in range(70)]
+        items += [(10 * period, " ".join(words[:25])), (10 * period + 1, f"{' '.join(words[2:9])} end{period} of it")]
+        rows += [(10 * period + n, f"{' '.join(words[n:])} end{period} of it {' '.join(words[:n])}") for n in (0, 1, 3, 28, 51)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = decontaminate.contamination(table, spark.createDataFrame(items, "item_id long, text string"))
+    expected = brute.contamination(rows, items)
+    assert expected[0][2] == 100
+    same(found.drop(*decontaminate.KEY), expected)
+
+
 @pytest.mark.parametrize("part", [jaccard.PART, 3])
 def test_jaccard(docs, monkeypatch, part):
     monkeypatch.setattr(jaccard, "PART", part)
