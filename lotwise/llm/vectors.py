@@ -3,8 +3,11 @@
 Each pass gives every vector a key, the signs of random projections written one
 after the other, sorts all vectors by (label, key) and compares each with the
 vectors a bounded distance before it in that order. Verified pairs of all passes
-form the components. Cosines are taken again between all members of a component,
-in blocks, so that the number of links of a vector does not depend on the window.
+form the components. A pass misses pairs, the more the larger or narrower a label
+is, and at the edges of its partitions; so further passes go over every label in
+which the last ones joined components, until they join none. Cosines are taken
+again between all members of a component, in blocks, so that the number of links
+of a vector does not depend on the window.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ def _least_reachable(linked: np.ndarray) -> np.ndarray:
 
 def _neighbours(threshold: float, window: int):
     """Task: links between rows of a sorted stream at most ``window`` apart or so."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("label", pa.int64())])
 
     def task(batches):
         held = None
@@ -82,7 +85,7 @@ def _neighbours(threshold: float, window: int):
                     linked &= labels[at][:, None] == labels[at][None, :]
                     least = _least_reachable(linked)
                     moved = np.flatnonzero(least != np.arange(len(at)))
-                    yield batch(schema, ids[at][least[moved]], ids[at][moved])
+                    yield batch(schema, ids[at][least[moved]], ids[at][moved], labels[at][moved])
 
     return task
 
@@ -141,15 +144,34 @@ def near_duplicate_vectors(
     usable = staging.table(usable, "vectors")
     narrow = usable.selectExpr("vec_id", "__label AS label", "dim", "embedding")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
-    links = None
-    for number in range(passes):
-        by = ["label", "dim", "key", "vec_id"]
-        ordered = narrow.mapInArrow(_sort_keys(number), f"{fields}, key BIGINT")
-        ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by)
-        found = ordered.mapInArrow(_neighbours(threshold, window), "a BIGINT, b BIGINT")
-        found = staging.table(found.distinct(), f"pass{number}")
-        links = found if links is None else links.unionByName(found)
-    nodes = staging.table(connected_components(links, staging), "components")
+    nodes, going, number = None, narrow, 0
+    while True:
+        links = None
+        for number in range(number, number + passes):
+            by = ["label", "dim", "key", "vec_id"]
+            ordered = going.mapInArrow(_sort_keys(number), f"{fields}, key BIGINT")
+            ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by)
+            found = ordered.mapInArrow(_neighbours(threshold, window), "a BIGINT, b BIGINT, label BIGINT")
+            found = staging.table(found.distinct(), f"pass{number}")
+            links = found if links is None else links.unionByName(found)
+        number += 1
+        if nodes is not None:  # what joins components found before
+            for end in ("a", "b"):
+                known = links.select(F.col(end).alias("id")).distinct().join(nodes, "id", "left")
+                known = known.selectExpr("id", "coalesce(component, id) AS reached")
+                links = join_unique(links, F.col(end), known, "id").drop("id", end).withColumnRenamed("reached", end)
+            links = links.where("a <> b").select("a", "b", "label").distinct()
+            links = staging.table(links, f"joining{number}")
+        labels = staging.table(links.where("a <> b").select("label").distinct(), f"labels{number}")
+        if labels.isEmpty():
+            break
+        links = links.select("a", "b")
+        if nodes is not None:
+            links = links.unionByName(nodes.selectExpr("id AS a", "component AS b"))
+        nodes = staging.table(connected_components(links, staging), f"components{number}")
+        going = join_unique(narrow, F.col("label"), labels.selectExpr("label AS open"), "open").select(narrow.columns)
+    if nodes is None:
+        nodes = links.where("a <> b").selectExpr("a AS id", "b AS component")
     sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "of")
     nodes = join_unique(nodes, F.col("component"), sizes, "of").select("id", "component", "size")
     members = usable.select("__a", "__b", "vec_id", "copies", "embedding")

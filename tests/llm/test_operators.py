@@ -256,6 +256,20 @@ def test_vectors_beyond_the_window(spark):
     same(vectors.near_duplicate_vectors(table, window=16), brute.vector_groups(rows))
 
 
+def test_vectors_in_a_narrow_cone(spark):
+    """Pairs that a few passes over a small window miss."""
+    draw = np.random.default_rng(10)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    first = unit(draw.standard_normal((250, 31)))
+    second = unit(first + 0.55 * unit(draw.standard_normal((250, 31))))
+    cone = np.hstack([np.full((500, 1), 3.0), np.vstack([first, second])])
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(cone)]
+    expected = brute.vector_groups(rows)
+    assert sum(n for _, n, *_ in expected) == 500
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    same(vectors.near_duplicate_vectors(table, window=8), expected)
+
+
 def test_extraction(spark):
     page = (
         "<html><head><title>No</title></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies. All good?</div>"
