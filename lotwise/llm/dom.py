@@ -9,8 +9,13 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]
 MARKS = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
 # Elements without text for readers.
-SILENT = {"script", "style", "noscript", "template", "iframe", "head", "svg", "select", "textarea", "button", "object", "canvas", "audio", "video"}
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}  # their content is not markup
+SILENT = {"noscript", "template", "head", "svg", "select", "button", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "iframe"}  # nor these, whose content is not markup
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+EMPTY = re.compile(r"""(?:^|[\s"'])/$""")  # end of the attributes of <path ... />
+PAIRS = re.compile(
+    rf"<!--.*?(?:-->|$)|<({'|'.join(sorted(RAW))})\b[^>]*>.*?(?:</\1\b|$)|<(/?)({'|'.join(sorted(SILENT))})(?![^\s/>])([^>]*)>", re.S | re.I
+)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
@@ -33,6 +38,19 @@ FOR = {"article", "content", "main", "post", "entry", "story", "body", "text", "
 AGAINST_TAGS = {"nav", "footer", "aside", "form", "header", "dialog", "menu"}
 
 
+def _left_open(page: str) -> set[int]:
+    """Where silent elements start that have no end tag of their own."""
+    opened: dict[str, list[int]] = {}
+    for found in PAIRS.finditer(page):
+        tag = (found.group(3) or "").lower()
+        if found.group(2):
+            if opened.get(tag):
+                opened[tag].pop()
+        elif tag and not (tag == "svg" and EMPTY.search(found.group(4))):
+            opened.setdefault(tag, []).append(found.start())
+    return {start for starts in opened.values() for start in starts}
+
+
 class Node:
     __slots__ = ("tag", "parent", "words", "chars", "linked", "sentence", "copyright", "mark", "against", "within")
 
@@ -48,13 +66,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     Inline elements belong to the node around them. Tags left open or closed out
     of order are taken as browsers mostly do; a page cut short is read to its end.
+    Silent elements are on the stack without a node and end with what holds them;
+    one without an end tag ends at the next block as well.
     """
     nodes = [Node("#root", -1, (), None, False, False)]
     stack: list[tuple[str, int]] = [("#root", 0)]
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
     links = 0
-    at, skip = 0, None
+    silent: list[tuple[int, bool]] = []  # depth in the stack, and whether the next block ends it
+    left_open = None
+    at = 0
 
     def flush():
         if parts:
@@ -68,13 +90,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def close(depth):
         nonlocal links
-        if any(tag not in INLINE or stack[depth - 1][1] != own for tag, own in stack[depth:]):
+        if not (silent and depth >= silent[0][0]) and any(tag not in INLINE or stack[depth - 1][1] != own for tag, own in stack[depth:]):
             flush()
+        while silent and silent[-1][0] >= depth:
+            silent.pop()
         links -= sum(tag == "a" for tag, _ in stack[depth:])
         del stack[depth:]
 
     def say(raw):
-        if raw:
+        if silent and stack[-1][0] == "head" and raw.strip():
+            close(silent[-1][0])
+        if raw and not silent:
             text = html.unescape(raw) if "&" in raw else raw
             node = nodes[stack[-1][1]]
             n = len(text)
@@ -104,14 +130,31 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in INLINE and stack[depth][0] not in INLINE:
                     break
             continue
-        if tag in SILENT or tag in RAW:
-            if tag not in ("noscript",):
+        if silent and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(silent[-1][0])
+        if tag in CLOSES_P or tag in BOUNDS or tag == "body":
+            for depth, ends in silent:
+                if ends:
+                    close(depth)
+                    break
+        if tag in RAW:
+            if not silent:
                 flush()
             closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "head":  # ends with the body at the latest
-                closing = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
             at = closing.end() if closing else end
             continue
+        if tag in SILENT or silent:
+            if tag in VOID or ((tag == "svg" or any(t == "svg" for t, _ in stack)) and EMPTY.search(found.group(3))):
+                continue
+            if not silent and tag != "noscript":
+                flush()
+            if tag in SILENT:
+                if left_open is None:
+                    left_open = _left_open(page)
+                silent.append((len(stack), tag != "head" and found.start() in left_open))
+            stack.append((tag, stack[-1][1]))
+            links += tag == "a"
+            continue
         if tag == "br" or tag == "hr":
             parts.append(" ")
         if tag in VOID:

@@ -100,6 +100,24 @@ def test_pages_with_loose_markup():
         dom.parse(page)
 
 
+def test_pages_with_open_or_nested_silent_elements():
+    for page, expected in [
+        ("<article><p>One <svg class='i' viewBox=\"0 0 1 1\"/> two.</p><p>Three.</p></article>", "One two. Three."),
+        ("<article><p>One</p><svg><path d=''/><g><text>no</text></g></svg><p>Two.</p><svg/><p>Three</p></article>", "One Two. Three"),
+        ("<html><head><meta charset=utf-8><title>no</title><style>no</style><article><p>Text.</p></article>", "Text."),
+        ("<html><head><title>no</title><noscript><img src=x> no</noscript>Bare text", "Bare text"),
+        ("<html><head><title>no</title></head><body><p>Text.</p>", "Text."),
+        ("<div><button>no</div><article><p>Text.</p></article>", "Text."),
+        ("<button>no<article><p>Text.</p></article>", "Text."),
+        ("<select><option>no<option>no<p>Text.</p><button>no <div>no</div></button><p>More.</p>", "Text. More."),
+        ("<p>One</p><object><param name=a><object><p>no</p></object><p>no</p></object><p>Two</p>", "One Two"),
+        ("<template><template><p>no</p></template><p>no</p></template><p>Two</p>", "Two"),
+        ("<object data=x><article><p>Text.</p></article>", "Text."),
+        ("<p>One <noscript><b>no</b></noscript>two</p><script>'<button>'</script><button>no <p>no</p></button><p>Three</p>", "One two Three"),
+    ]:
+        assert " ".join(text for _, text in dom.parse(page)[1]) == expected, page
+
+
 def test_messages_give_exact_marginals():
     nodes, _ = dom.parse("<div><p>a</p><ul><li>b</li><li>c</li></ul></div>")
     shown = dom.features(nodes)
