@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotwise.catalogue.chains import CHAIN2, CHAIN4, DRAWS, SEED, SITES, site_of, site_sql, table
+from lotwise.catalogue.chains import CHAIN2, CHAIN4, DRAWS, SEED, SITES, row_hash_sql, site_of, site_sql, table
 from lotwise.operators import (
     at_site,
     repeat_rows,
@@ -173,6 +173,12 @@ def record_id_unique(spark, sf_dir):
     )
 
 
+def record_ids(spark, sf_dir):
+    """Dense ids of rows, many of them equal, dealt over more parts than they come in."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag")
+    return with_record_id(rows.repartition(13))
+
+
 def leaf_weights(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return with_unit_weight(rows)
@@ -205,6 +211,7 @@ QUERIES = {
     "memo_roundtrip": memo_roundtrip,
     "sample_sink_roundtrip": sample_sink_roundtrip,
     "record_id_unique": record_id_unique,
+    "record_ids": record_ids,
     "leaf_weights": leaf_weights,
     "dangling_removed": dangling_removed,
     "repeat_rows": rows_repeated,
@@ -218,6 +225,7 @@ _SITES_SQL = (
     f"UNION ALL SELECT DISTINCT {site_sql('o_orderkey')}, 'orders' FROM orders "
     "UNION ALL SELECT DISTINCT 's0', 'events' FROM events"
 )
+_ID_COLUMNS = "l_suppkey, l_linenumber, l_returnflag"
 _ORDER_SITES_SQL = (
     f"SELECT o_orderkey, o_custkey, {site_sql('o_orderkey')} AS site FROM orders"
 )
@@ -263,6 +271,10 @@ ORACLES = {
     "record_id_unique": (
         "SELECT count(*) AS num_rows, count(*) AS num_ids FROM lineitem"
     ),
+    "record_ids": (
+        f"SELECT {_ID_COLUMNS}, row_number() OVER (ORDER BY {row_hash_sql(_ID_COLUMNS.split(', '))}, {_ID_COLUMNS}) - 1 "
+        "AS record_id FROM lineitem"
+    ),
     "leaf_weights": (
         "SELECT l_orderkey, l_linenumber, 1::BIGINT AS weight FROM lineitem"
     ),
