@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, extraction, language, mixing, tokens, url_filter
+from lotwise.llm import decontaminate, extraction, language, merkle, mixing, packing, tokens, url_filter, whitening
 from lotwise.llm.debruijn import remove_repeated_words
 from lotwise.llm.jaccard import jaccard_components
 from lotwise.llm.suffix_dedup import remove_repeated_bytes
@@ -102,6 +102,22 @@ def embedding_near_dedup(spark, sf_dir):
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def packed_sequences(spark, sf_dir):
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    return packing.pieces(packing.pack(docs, public_tokenizers.path(packing.TOKENIZER)))
+
+
+def embedding_whitening(spark, sf_dir):
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # null beyond 64 bits
+
+
+def merkle_manifest(spark, sf_dir):
+    return merkle.manifest_check(read(spark, sf_dir, "documents"))
+
+
 def _number(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
 
@@ -140,9 +156,13 @@ QUERIES = {
     "op8_token_output": token_output,
     "op9_substring_dedup": substring_dedup,
     "op10_embedding_near_dedup": embedding_near_dedup,
+    "op11_packing": packed_sequences,
+    "op12_embedding_whitening": embedding_whitening,
+    "op13_merkle_manifest": merkle_manifest,
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_url_filters": _URL_SQL,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

@@ -10,7 +10,7 @@ from oracle import connect, difference
 
 import __spark_entry__ as contract
 from lotwise import catalogue
-from lotwise.llm import tokens
+from lotwise.llm import packing, tokens
 from lotwise.llm.queries import ORACLES, QUERIES
 from lotwise.llm.tables import read
 
@@ -28,7 +28,7 @@ def rows_of(spark, name):
 
 
 def test_registration():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(contract.queries()) == {*catalogue.queries(), *QUERIES, "pipeline"}
     assert set(contract.oracle_sql()) == {*catalogue.oracle_sql(), *ORACLES}
 
@@ -85,6 +85,24 @@ def test_vectors(spark):
     assert rows_of(spark, "op10_embedding_near_dedup") == Counter(brute.vector_groups(vectors))
 
 
+def test_packing(spark, texts):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import test_packing as own
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    expected = [(d, [*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID]) for d, t in texts]
+    sizes = own.check(QUERIES["op11_packing"](spark, SF_DIR).collect(), expected, packing.CAPACITY)
+    assert own.padding(sizes, packing.CAPACITY) < 0.005 * sum(sizes)
+
+
+def test_whitening(spark):
+    import test_whitening as own
+
+    rows = [(r.vec_id, r.embedding) for r in read(spark, SF_DIR, "embeddings").collect()]
+    own.check(QUERIES["op12_embedding_whitening"](spark, SF_DIR).collect(), rows)
+
+
 @pytest.mark.parametrize("name", ["op2_decontamination", "op7_url_filters"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
