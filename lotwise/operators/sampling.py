@@ -116,7 +116,8 @@ def weighted_sample(
         rows.withColumn(KEY, F.lit(0)),
         order_cols or df.columns,
         _weigher(name, wide),
-        None,
+        [name],
+        False,
         staging or Staging(spark),
         weight_type,
         split_rows,
@@ -188,7 +189,8 @@ def sample_per_key(
         rows,
         order_cols or df.columns,
         weigh,
-        None,
+        [name],
+        False,
         staging,
         weight_type,
         split_rows,

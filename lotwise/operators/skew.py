@@ -15,10 +15,12 @@ def join_unique(
     both sides of the join come straight from a shuffle. An aggregation by
     ``key`` is already distributed by it, so none would follow. Joining on a
     function of the key as well asks for a new distribution: ``keyed``, one short
-    row per key, is shuffled once more, and a hot key's rows can be split.
+    row per key, is shuffled once more, and a hot key's rows can be split. That
+    function is never null, or the join would compute it again to filter nulls out.
     """
+    turn = "coalesce(pmod(xxhash64({}), 2), 0L)"
     left = rows.withColumn("__on", column)
-    left = left.withColumn("__turn", F.expr("pmod(xxhash64(__on), 2)"))
-    right = keyed.withColumn("__key_turn", F.expr(f"pmod(xxhash64({key}), 2)"))
+    left = left.withColumn("__turn", F.expr(turn.format("__on")))
+    right = keyed.withColumn("__key_turn", F.expr(turn.format(key)))
     same = (F.col("__on") == F.col(key)) & (F.col("__turn") == F.col("__key_turn"))
     return left.join(right, same, how).drop("__on", "__turn", "__key_turn")

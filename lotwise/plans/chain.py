@@ -325,7 +325,8 @@ class ChainJoin:
             table.df.withColumn(KEY, F.col(self._first_column(i)).cast(self._types[max(i - 1, 0)])),
             table.order,
             self._weigh(i),
-            self.outgoing(i),
+            [self.outgoing(i)] if i < self.last else [],
+            i < self.last,
             self.staging,
             self._weight_type,
             self.split_rows,
@@ -340,7 +341,8 @@ class ChainJoin:
                 F.col("__next_rows").alias(ROWS),
             ]
         columns = [DRAW, *table.df.columns]
-        staged = self.staging.table(found.select(*columns, *following), f"sample{i}")
+        found = found.select(*columns, *following).sortWithinPartitions(DRAW)
+        staged = self.staging.table(found, f"sample{i}")
         return staged.select(*columns), staged.select(DRAW, KEY, POS, TOTAL, ROWS) if following else None
 
     def _first_keys(self, n: int, seed: int, total: int, groups: int) -> DataFrame:
@@ -365,12 +367,14 @@ class ChainJoin:
             keys,
             ["__first_key"],
             lambda df: df.withColumn(WEIGHT, F.col("__key_total")),
-            None,
+            ["__key_total"],
+            False,
             self.staging,
             self._weight_type,
             self.split_rows,
             self.slice_digits,
             single_group=(total, groups),
+            late=False,
         )
         found = lookup.resolve(points, groups)
         return self.staging.table(

@@ -156,3 +156,42 @@ def test_hot_group_of_a_lookup_is_split(spark, monkeypatch):
         chain.sample_table(1, 2000, 1)
     assert "skew=true" in plans["slices1"]
     assert "partial_count" in plans["slices1"] or "partial_sum" in plans["slices1"]
+
+
+def wide_chain(spark, order, n=6000):
+    """A wide payload, and order columns that many rows may share."""
+    rows = spark.range(n).selectExpr(
+        "id % 40 AS k", "id % 7 AS o", "id", "repeat(CAST(id AS STRING), 50) AS payload", "array(id, id % 3) AS other", "id % 5 AS out"
+    )
+    right = spark.range(60).selectExpr("id % 5 AS k2", "CAST(id AS STRING) AS text")
+    specs = [TableSpec("l", rows, order), TableSpec("r", right)]
+    return lambda **options: ChainJoin(specs, [("out", "k2")], **options)
+
+
+@pytest.mark.parametrize("options", [{}, {"split_rows": 50, "slice_digits": 1}])
+def test_payload_is_fetched_late(spark, monkeypatch, options):
+    """Windows and grids do not see the columns that only the result needs."""
+    import lotwise.operators.lookup as lookup
+
+    build, seen = wide_chain(spark, ["id"]), []
+    original = lookup.locate
+
+    def spy(points, intervals, by):
+        seen.append((set(points.columns), set(intervals.columns)))
+        return original(points, intervals, by)
+
+    monkeypatch.setattr(lookup, "locate", spy)
+    build(**options).draws(300, 1, 1)
+    assert len(seen) >= 2
+    assert all(not {"payload", "other"} & (a | b) for a, b in seen)
+
+
+@pytest.mark.parametrize("options", [{}, {"split_rows": 50, "slice_digits": 1}])
+def test_late_fetch_changes_no_row(spark, monkeypatch, options):
+    import lotwise.operators.lookup as lookup
+
+    build = wide_chain(spark, ["k", "o"])
+    late = sorted(map(str, build(**options).sample(300, 1).collect()))
+    original = lookup.RowLookup._narrow
+    monkeypatch.setattr(lookup.RowLookup, "_narrow", lambda self, late: original(self, False))
+    assert sorted(map(str, build().sample(300, 1).collect())) == late and len(late) == 300
