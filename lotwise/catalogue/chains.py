@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.plans import ChainJoin, TableSpec
+from lotwise.plans import ChainJoin, TableSpec, TreeJoin
 
 DRAWS = 2000
 SEED = 42
@@ -130,6 +130,34 @@ class ChainCase:
         )
 
 
+@dataclass(frozen=True)
+class TreeCase:
+    """Tables in pre-order; ``edges`` are (parent, its column, child, its column)."""
+
+    members: Sequence[Member]
+    edges: Sequence[tuple[int, str, int, str]]
+
+    def build(self, spark: SparkSession, sf_dir: str, **options) -> TreeJoin:
+        return TreeJoin([m.spec(spark, sf_dir) for m in self.members], self.edges, **options)
+
+    def sample_sql(self, n: int = DRAWS, seed: int = SEED) -> str:
+        """Draws looked up in the numbered join: in pre-order, each table by row hash."""
+        joined = f"({self.members[0].sql()}) t0"
+        for parent, column, child, own in self.edges:
+            joined += f" JOIN ({self.members[child].sql()}) t{child} ON t{parent}.{column} = t{child}.{own}"
+        order, out, names = [], [], []
+        for i, m in enumerate(self.members):
+            columns, rest = ([f"t{i}.{c}" for c in own] for own in (m.columns, [*m.payload, m.site]))
+            order += [row_hash_sql(columns), row_hash_sql(rest), *columns, f"t{i}.rid"]
+            out += [f"t{i}.{c} AS {c}" for c in [*m.carried, m.site]]
+            names += [*m.carried, m.site]
+        return (
+            f"WITH j AS (SELECT {', '.join(out)}, row_number() OVER (ORDER BY {', '.join(order)}) - 1 AS rk FROM {joined}), "
+            f"d AS (SELECT range AS draw_id, {draw_hash_sql(seed, 'range')} % (SELECT count(*) FROM j) AS rk FROM range({n})) "
+            f"SELECT draw_id, {', '.join(names)} FROM d JOIN j USING (rk)"
+        )
+
+
 def row_hash_sql(columns: Sequence[str]) -> str:
     texts = [f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns]
     return f"md5(concat_ws('|', {', '.join(texts)}))"
@@ -180,3 +208,18 @@ SELF_JOIN = ChainCase(
     [("l_partkey", "l_partkey")],
 )
 HEAVY_SELF_JOIN = ChainCase(SELF_JOIN.members, [("l_suppkey", "l_suppkey")])
+TREE = TreeCase(
+    [
+        Member("nation", ["n_nationkey", "n_name"]),
+        Member("customer", ["c_custkey", "c_nationkey"]),
+        Member("orders", ["o_orderkey", "o_custkey"], payload=["o_orderpriority"]),
+        Member("events", ["event_id", "user_id"], payload=["event_type"]),
+        Member("supplier", ["s_suppkey", "s_nationkey"]),
+    ],
+    [
+        (0, "n_nationkey", 1, "c_nationkey"),
+        (1, "c_custkey", 2, "o_custkey"),
+        (1, "c_custkey", 3, "user_id"),
+        (0, "n_nationkey", 4, "s_nationkey"),
+    ],
+)

@@ -12,6 +12,7 @@ from lotwise.catalogue.chains import (
     GEO,
     SEED,
     SELF_JOIN,
+    TREE,
     draw_hash_sql,
     row_hash_sql,
     table,
@@ -82,6 +83,8 @@ QUERIES = {
     "sample_per_key_sliced": per_key(use_weight=False, **SLICED),
     "sample_chain4_sliced": sliced(CHAIN4),
     "sample_self_join_sliced": sliced(SELF_JOIN),
+    "sample_tree": lambda spark, sf: TREE.build(spark, sf).sample(DRAWS, SEED),
+    "sample_tree_sliced": lambda spark, sf: TREE.build(spark, sf, **SLICED).sample(DRAWS, SEED),
     "weighted_sample_wide": wide,
     "weighted_sample": weighted,
     "sample_per_key": per_key(use_weight=False),
@@ -162,6 +165,8 @@ ORACLES = {
     "sample_per_key_sliced": _per_key_sql("1"),
     "sample_chain4_sliced": _joined_sql(CHAIN4),
     "sample_self_join_sliced": _joined_sql(SELF_JOIN),
+    "sample_tree": TREE.sample_sql(),
+    "sample_tree_sliced": TREE.sample_sql(),
     "weighted_sample_wide": _WIDE_SQL,
     "weighted_sample": _WEIGHTED_SQL,
     "sample_per_key": _per_key_sql("1"),
