@@ -18,7 +18,7 @@ from lotwise.catalogue.chains import (
     table,
 )
 from lotwise.functions.hashing import wide_position
-from lotwise.operators import sample_per_key, weighted_sample
+from lotwise.operators import sample_by_sketch, sample_per_key, weighted_sample
 
 _LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
@@ -78,7 +78,18 @@ def wide(spark, sf_dir):
     return weighted_sample(orders, "weight", DRAWS, SEED, order_cols=["o_orderkey"], wide=True)
 
 
+SKETCH = (2, 256)  # small, so that many draws are rejected
+ENOUGH = 20 * DRAWS  # draws that the SQL makes, of which the first accepted count
+
+
+def by_sketch(spark, sf_dir):
+    left, right = (m.spec(spark, sf_dir) for m in CHAIN2.members)
+    (src, dst), (depth, width) = CHAIN2.edges[0], SKETCH
+    return sample_by_sketch(left, src, right, dst, DRAWS, SEED, depth, width)
+
+
 QUERIES = {
+    "sample_by_sketch": by_sketch,
     "weighted_sample_sliced": lambda spark, sf: weighted(spark, sf, **SLICED),
     "sample_per_key_sliced": per_key(use_weight=False, **SLICED),
     "sample_chain4_sliced": sliced(CHAIN4),
@@ -160,7 +171,34 @@ _WIDE_SQL = (
     "SELECT draw_id, o_orderkey, weight::DECIMAL(38,0) AS weight FROM d ASOF JOIN r ON d.pos >= r.low"
 )
 
+def _sketch_bucket(depth: str, key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {depth}, {key})), 1, 15))::BIGINT % {SKETCH[1]})"
+
+
+def _by_sketch_sql() -> str:
+    left, right = CHAIN2.members
+    src, dst = CHAIN2.edges[0]
+    own, other = [*left.columns, left.site], [*right.columns, right.site]
+    by = f"{row_hash_sql(left.columns)}, {row_hash_sql([left.site, src, 'guess'])}"
+    return (
+        f"WITH l AS ({left.sql()}), r AS ({right.sql()}), "
+        f"m AS (SELECT {dst} AS key, count(*) AS count FROM r WHERE {dst} IS NOT NULL GROUP BY 1), "
+        f"k AS (SELECT depth, {_sketch_bucket('depth', 'key')} AS bucket, sum(count) AS total FROM m, range({SKETCH[0]}) d(depth) GROUP BY ALL), "
+        f"g AS (SELECT l.rid, min(total)::BIGINT AS guess FROM l, range({SKETCH[0]}) d(depth) JOIN k "
+        f"ON k.depth = d.depth AND k.bucket = {_sketch_bucket('d.depth', f'l.{src}')} GROUP BY 1 HAVING count(*) = {SKETCH[0]}), "
+        f"w AS (SELECT l.*, guess, sum(guess) OVER (ORDER BY {by} ROWS UNBOUNDED PRECEDING) - guess AS low FROM l JOIN g USING (rid)), "
+        f"d AS (SELECT range AS draw, {draw_hash_sql(SEED, 'range')} % (SELECT sum(guess) FROM w) AS place FROM range({ENOUGH})), "
+        f"a AS (SELECT draw, place - low AS pos, w.* FROM d ASOF JOIN w ON place >= low), "
+        f"p AS (SELECT *, row_number() OVER (PARTITION BY {dst} ORDER BY {row_hash_sql(right.columns)}, {row_hash_sql([right.site])}, "
+        f"{', '.join(right.columns)}) - 1 AS pos FROM r), "
+        f"j AS (SELECT draw, {', '.join(f'a.{c} AS {c}' for c in own)}, {', '.join(f'p.{c} AS {c}' for c in other)} "
+        f"FROM a JOIN p ON a.{src} = p.{dst} AND a.pos = p.pos) "
+        f"SELECT row_number() OVER (ORDER BY draw) - 1 AS draw_id, {', '.join([*own, *other])} FROM j ORDER BY draw LIMIT {DRAWS}"
+    )
+
+
 ORACLES = {
+    "sample_by_sketch": _by_sketch_sql(),
     "weighted_sample_sliced": _WEIGHTED_SQL,
     "sample_per_key_sliced": _per_key_sql("1"),
     "sample_chain4_sliced": _joined_sql(CHAIN4),

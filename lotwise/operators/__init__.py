@@ -19,7 +19,7 @@ from lotwise.operators.rows import (
     with_unit_weight,
 )
 from lotwise.operators.sampling import repeat_rows, sample_per_key, weighted_sample
-from lotwise.operators.sketch import approximate_weights, count_min_sketch
+from lotwise.operators.sketch import approximate_weights, count_min_sketch, sample_by_sketch
 
 __all__ = [
     "approximate_weights",
@@ -33,6 +33,7 @@ __all__ = [
     "merge_memos",
     "nonzero",
     "repeat_rows",
+    "sample_by_sketch",
     "restrict_memo",
     "sample_per_key",
     "site_key_shares",

@@ -22,3 +22,16 @@ def check_user_columns(columns) -> None:
         raise ValueError(f"column names starting with {PREFIX!r} are reserved: {bad}")
     if len(set(columns)) != len(list(columns)):
         raise ValueError(f"duplicate column names: {list(columns)}")
+
+
+def output_columns(tables) -> list[dict[str, str]]:
+    """Output name of each column; a name in two tables gets the table's prefix."""
+    seen: dict[str, int] = {"draw_id": 1}
+    for table in tables:
+        for c in table.df.columns:
+            seen[c] = seen.get(c, 0) + 1
+    names = [{c: c if seen[c] == 1 else f"{t.name}_{c}" for c in t.df.columns} for t in tables]
+    flat = [n for columns in names for n in columns.values()]
+    if len(set(flat)) != len(flat):
+        raise ValueError("give the tables of a join different names")
+    return names

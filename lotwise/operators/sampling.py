@@ -96,16 +96,38 @@ def weighted_sample(
     check_sortable(df)
     if n < 0:
         raise ValueError("n must not be negative")
+    found = draw_rows(df, weight, 0, n, seed, order_cols or df.columns, wide, split_rows, slice_digits, staging) if n else None
+    if found is None:
+        schema = T.StructType([T.StructField("draw_id", BIGINT), *df.schema])
+        return df.sparkSession.createDataFrame([], schema)
+    return found.select(F.col("__draw").alias("draw_id"), *df.columns)
+
+
+def draw_rows(
+    df: DataFrame,
+    weight: str,
+    first: int,
+    n: int,
+    seed: int,
+    order_cols: Sequence[str],
+    wide: bool = False,
+    split_rows: int = SPLIT_ROWS,
+    slice_digits: int = SLICE_DIGITS,
+    staging: Staging | None = None,
+) -> DataFrame | None:
+    """Draws ``first`` to ``first + n - 1`` of the sequence that ``seed`` starts.
+
+    ``__draw``, the row's columns and POS, the position inside its weight. None
+    if no row has weight.
+    """
     spark, weight_type = df.sparkSession, WIDE if wide else BIGINT
     rows, name = _weighted_rows(df, weight, wide)
     whole = rows.agg(F.sum(F.col(name).cast(WIDE)), F.count(F.lit(1))).first()
     total, count = int(whole[0] or 0), whole[1]
-    if n == 0 or total == 0:
-        return spark.createDataFrame(
-            [], T.StructType([T.StructField("draw_id", BIGINT), *df.schema])
-        )
+    if total == 0:
+        return None
     total_lit = F.lit(str(total)).cast(WIDE)
-    points = spark.range(n).select(
+    points = spark.range(first, first + n).select(
         F.col("id").alias("__draw"),
         F.lit(0).alias(KEY),
         draw_position(seed, ["id"], f"'{total}'", weight_type.simpleString()).alias(POS),
@@ -114,7 +136,7 @@ def weighted_sample(
     )
     lookup = RowLookup(
         rows.withColumn(KEY, F.lit(0)),
-        order_cols or df.columns,
+        order_cols,
         _weigher(name, wide),
         [name],
         False,
@@ -124,8 +146,7 @@ def weighted_sample(
         slice_digits,
         single_group=(total, count),
     )
-    found = lookup.resolve(points, count)
-    return found.select(F.col("__draw").alias("draw_id"), *df.columns)
+    return lookup.resolve(points, count)
 
 
 def sample_per_key(

@@ -20,6 +20,7 @@ from lotwise.operators.names import (
     TOTAL,
     WEIGHT,
     check_user_columns,
+    output_columns,
 )
 from lotwise.operators.weights import (
     attach_weight,
@@ -82,19 +83,6 @@ def key_type(left: TableSpec, left_col: str, right: TableSpec, right_col: str):
     return common_type(left.df.schema[left_col].dataType, right.df.schema[right_col].dataType)
 
 
-def output_names(tables: Sequence[TableSpec]) -> list[dict[str, str]]:
-    """Output name of each column; a name in two tables gets the table's prefix."""
-    seen: dict[str, int] = {"draw_id": 1}
-    for table in tables:
-        for c in table.df.columns:
-            seen[c] = seen.get(c, 0) + 1
-    names = [{c: c if seen[c] == 1 else f"{t.name}_{c}" for c in t.df.columns} for t in tables]
-    flat = [n for columns in names for n in columns.values()]
-    if len(set(flat)) != len(flat):
-        raise ValueError("give the tables of a join different names")
-    return names
-
-
 @dataclass
 class ChainJoin:
     """``tables[0] JOIN tables[1] ON src = dst JOIN tables[2] ...``
@@ -271,7 +259,7 @@ class ChainJoin:
         )
 
     def _output_names(self) -> list[dict[str, str]]:
-        return output_names(self.tables)
+        return output_columns(self.tables)
 
     # ---- forward pass ----------------------------------------------------
 

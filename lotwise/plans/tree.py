@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from lotwise.functions import draw_position, quoted
 from lotwise.operators.lookup import SLICE_DIGITS, SPLIT_ROWS, RowLookup
-from lotwise.operators.names import KEY, POS, ROWS, TOTAL, WEIGHT
+from lotwise.operators.names import KEY, POS, ROWS, TOTAL, WEIGHT, output_columns
 from lotwise.operators.skew import join_unique
 from lotwise.operators.weights import leaf_memo
-from lotwise.plans.chain import BIGINT, DRAW, WIDE, TableSpec, key_type, output_names
+from lotwise.plans.chain import BIGINT, DRAW, WIDE, TableSpec, key_type
 from lotwise.staging import Staging
 
 
@@ -202,7 +202,7 @@ class TreeJoin:
         """
         if n < 0:
             raise ValueError("n must not be negative")
-        names = output_names(self.tables)
+        names = output_columns(self.tables)
         spark = self.tables[0].df.sparkSession
         for i in self._below(0):
             if i not in self._staged:
