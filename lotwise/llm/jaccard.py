@@ -53,14 +53,15 @@ _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE, table: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle) of every distinct shingle, sorted by both.
 
+    ``table`` chooses one of two independent hashes of the words.
     Documents with fewer words than ``k`` have their whole sequence as shingle.
     """
     data = _ASCII_LOWER[data]
     starts, ends, words = word_spans(data, bounds, NOT_SPACE)
-    rolling = Rolling(word_hashes(data, starts, ends))
+    rolling = Rolling(word_hashes(data, starts, ends, table))
     counts = np.diff(words)
     n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(len(counts)), n)
@@ -286,9 +287,9 @@ def _verified(percent: int):
         for rows in batches:
             keep = np.zeros(rows.num_rows, bool)
             for first, last, data, bounds in text_slices(rows["a_text"]):
-                doc, left = shingle_sets(data, bounds)
+                doc, left = shingle_sets(data, bounds, table=1)
                 data, bounds = as_bytes(rows["b_text"].slice(first, last - first))
-                other, right = shingle_sets(data[bounds[0] : bounds[-1]], bounds - bounds[0])
+                other, right = shingle_sets(data[bounds[0] : bounds[-1]], bounds - bounds[0], table=1)
                 own, its = np.bincount(doc, minlength=last - first), np.bincount(other, minlength=last - first)
                 both_doc, both = np.concatenate([doc, other]), np.concatenate([left, right])
                 order = np.lexsort((both, both_doc))

@@ -7,8 +7,8 @@ for the run of neighbouring windows that chose it, and for the text those
 windows span: its context.
 
 Naming. Cores are counted with map-side combine. An anchor whose core occurs once
-is done: none of its windows repeats. Otherwise its context gets a name (128
-bits of hash). A name that occurs twice makes every window of the run repeat.
+is done: none of its windows repeats. Otherwise its context gets a name: 64 bits of
+hash, over other values of the units than those of the core's. A name that occurs twice makes every window of the run repeat.
 
 Induction. What is left are cores seen in several contexts of which some occur
 once: the ends of repeated passages. One representative of every context is
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.arrow import as_bytes, batch, text_slices
 from lotwise.llm.induced import repeated_runs
-from lotwise.llm.rolling import BASES, BYTE_VALUES, NOT_SPACE, Rolling, anchors, mix, word_hashes, word_spans
+from lotwise.llm.rolling import BASES, BYTE_VALUES, NOT_SPACE, SECOND_VALUES, Rolling, anchors, mix, word_hashes, word_spans
 from lotwise.staging import Staging
 
 KEY = ["__a", "__b"]
@@ -42,15 +42,16 @@ CROWDED = 1 << 15  # contexts of a core from which its windows are matched one b
 
 
 def byte_units(data, bounds):
-    return BYTE_VALUES[data], bounds
+    return BYTE_VALUES[data], SECOND_VALUES[data], bounds
 
 
 def word_units(data, bounds):
     starts, ends, words = word_spans(data, bounds, NOT_SPACE)
-    return word_hashes(data, starts, ends), words
+    return word_hashes(data, starts, ends), word_hashes(data, starts, ends, 1), words
 
 
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+# Bytes and bounds of documents to two independent values of every unit, and bounds in units.
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -67,11 +68,11 @@ def _contexts(units: Units, length: int, core: int, places: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for first, _, data, bounds in text_slices(rows["text"]):
-                values, bounds = units(data, bounds)
+                values, second, bounds = units(data, bounds)
                 doc, at, low, high, cores = anchors(values, bounds, length, core)
                 if not len(doc):
                     continue
-                names = Rolling(values, BASES[1]).spans(low, high + length)
+                names = Rolling(second, BASES[1]).spans(low, high + length)
                 names ^= mix((at - low).astype(np.uint64))
                 columns = [_signed(cores), _signed(names)]
                 if places:
@@ -158,8 +159,8 @@ def _windows(units: Units, length: int):
     def task(batches):
         for rows in batches:
             for doc, own, data, bounds, first in _listed(rows):
-                values, bounds = units(data, bounds)
-                rolling, n = Rolling(values, BASES[1]), own["n"]
+                _, second, bounds = units(data, bounds)
+                rolling, n = Rolling(second, BASES[1]), own["n"]
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(own["low"], n) + inside
                 start = np.repeat(bounds[doc], n) + at

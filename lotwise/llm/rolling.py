@@ -122,5 +122,28 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False  # words [^\x20\x09-\x0D]+
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(BYTE_VALUES[data]).spans(starts, ends)
+# a random value for every byte at every place in a word, twice
+_PLACES = 64
+_TABLES = _SEEDS.integers(0, 2**64, (2, _PLACES * 256), dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: int = 0) -> np.ndarray:
+    """Hash of each word [start, end); ``table`` chooses one of two independent ones.
+
+    Not a polynomial: different words of few letters can agree in those for every
+    base. Values of byte and place are looked up and added, beyond ``_PLACES`` mixed.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    place = np.arange(starts[0], ends[-1])
+    place -= np.repeat(starts, np.diff(starts, append=ends[-1]))
+    own = data[starts[0] : ends[-1]].astype(np.int64)
+    values = _TABLES[table][np.minimum(place, _PLACES - 1) * 256 + own]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        values[far] = mix(values[far] + place[far].astype(np.uint64) * np.uint64(BASES[table]))
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[::2], edges[1::2] = starts, ends
+    edges -= starts[0]
+    sums = np.add.reduceat(np.append(values, np.uint64(0)), edges)[::2]
+    return mix(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

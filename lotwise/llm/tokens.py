@@ -1,10 +1,10 @@
 """Token ids of every document, in compressed block files.
 
 Ids come from the tokenizers library. A byte-level BPE works on pre-tokens that
-it never crosses, so a task cuts texts into pre-tokens, has the library encode
-each distinct one once, and puts the ids together. Texts in which the cut is not
-a matter of character classes alone (contractions, special tokens) are given to
-the library whole.
+it never crosses, and one starts at every blank that is the first or the last of a
+run of white space. So texts are cut at blanks, the library encodes each different
+piece once, and the ids are put together. Texts with a blank inside such a run are
+given to the library whole.
 
 Files: a folder with ``codes`` (id, length: the canonical Huffman code) and
 ``blocks`` (Parquet; in order of part and block). A block holds whole documents
@@ -15,61 +15,28 @@ the bit stream and its checkpoints.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.arrow import batch, text_slices
 from lotwise.llm.huffman import Decoder, canonical_codes, code_lengths, encode
-from lotwise.llm.rolling import Rolling, mix
 from lotwise.staging import Staging
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 16
-CACHED = 400_000  # pre-tokens a task remembers
+CACHED = 400_000  # pieces a worker process remembers
 SLICE = 1 << 21
 # White space of Unicode, as code points.
-SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-SPACE, UNKNOWN = 3, 255
-WHOLE = re.compile(r"'(?:[stmd]|re|ve|ll)|<\|")  # texts that the library cuts itself
-
-
-class PreTokens:
-    """Cuts texts where the byte-level pattern does, by classes of characters."""
-
-    def __init__(self):
-        self.classes = np.full(0x110000, UNKNOWN, np.uint8)
-        self.classes[SPACES] = SPACE
-
-    def class_of(self, points: np.ndarray) -> np.ndarray:
-        import unicodedata
-
-        found = self.classes[points]
-        for p in np.unique(points[found == UNKNOWN]):
-            kind = unicodedata.category(chr(p))[0]
-            self.classes[p] = {"L": 1, "N": 2}.get(kind, 0)
-        return self.classes[points]
-
-    def starts(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Positions where pre-tokens start; ``bounds`` are those of the documents."""
-        kind = self.class_of(points)
-        space, n = kind == SPACE, len(points)
-        begins = np.zeros(n + 1, bool)
-        begins[bounds] = True
-        first, ends = begins[:-1], begins[1:]
-        before = np.roll(kind, 1)
-        after_space = np.roll(space, 1) & ~first
-        after_blank = np.roll(points == 0x20, 1) & ~first
-        text = ~space & (first | (after_space & ~after_blank) | (~after_space & (before != kind)))
-        text_next = ~np.roll(space, -1) & ~ends
-        gap = space & (first | ~after_space | text_next)
-        return np.flatnonzero(text | gap)
+_SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# A blank inside a run of white space, where pre-tokens do not start
+INSIDE = rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
 
 
 class Encoder:
@@ -84,11 +51,10 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each id: a character of its name is a byte
         for name, i in vocabulary.items():
             self.bytes[i] = len(name)
-        self.cut = PreTokens()
         self.forget()
 
     def forget(self):
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(CACHED * 2, np.int64), np.zeros(CACHED * 2, np.int64)
 
@@ -106,18 +72,16 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.fromiter((i for own in ids for i in own), np.uint32), np.array([len(own) for own in ids])
 
-    def learn(self, hashes: list[int], pieces: list[str]):
-        """Have the library encode new pre-tokens, those after a blank many at a time."""
-        apart = np.array([p[0] != " " or p.isspace() for p in pieces], bool)
+    def learn(self, pieces: list[str]):
+        """Have the library encode new pieces, those of a blank and a word many at a time."""
+        apart = np.array([p[0] != " " or len(p.split()) != 1 or p[-1].isspace() for p in pieces], bool)
         for way in (False, True):
             own = np.flatnonzero(apart == way)
             for start in range(0, len(own), 1000):
-                part = own[start : start + 1000]
-                texts = [pieces[k] for k in part]
-                found = (None if way else self._joined(texts)) or self._apart(texts)
-                self._remember([hashes[k] for k in part], *found)
+                texts = [pieces[k] for k in own[start : start + 1000]]
+                self._remember(texts, *((None if way else self._joined(texts)) or self._apart(texts)))
 
-    def _remember(self, hashes: list[int], flat: np.ndarray, counts: np.ndarray):
+    def _remember(self, pieces: list[str], flat: np.ndarray, counts: np.ndarray):
         if self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.uint32)])
         at, n = len(self.known), len(counts)
@@ -126,51 +90,63 @@ class Encoder:
         self.flat[self.used : self.used + len(flat)] = flat
         self.first[at : at + n] = self.used + np.cumsum(counts) - counts
         self.count[at : at + n] = counts
-        self.known.update(zip(hashes, range(at, at + n)))
+        self.known.update(zip(pieces, range(at, at + n)))
         self.used += len(flat)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each document) of UTF-8 bytes."""
-        text = data.tobytes().decode()
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        edges = leads[bounds]
-        starts = self.cut.starts(points, edges)
-        ends = np.append(starts[1:], len(points))
-        hashes = Rolling(mix(points.astype(np.uint64) + np.uint64(1))).spans(starts, ends)
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = pa.py_buffer(np.ascontiguousarray(data))
+        texts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), raw)
+        listed = pc.split_pattern(texts, " ")
+        edges = listed.offsets.to_numpy()
+        coded = listed.flatten().dictionary_encode()
+        words, where = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # all parts of a text but the first follow a blank
+        after = np.ones(len(where), np.int64)
+        after[edges[:-1][np.diff(edges) > 0]] = 0
+        pieces = {}
+        for kind in (0, 1):
+            used = np.unique(where[after == kind])
+            pieces.update(zip((2 * used + kind).tolist(), [" " * kind + words[k] for k in used]))
         if len(self.known) > CACHED:
             self.forget()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        self.learn([keys[i] for i in new], [text[starts[j] : ends[j]] for j in where[new]])
-        entry = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[inverse]
+        self.learn(list(dict.fromkeys(p for p in pieces.values() if p not in self.known)))
+        entry = np.zeros(2 * len(words), np.int64)
+        entry[list(pieces)] = [self.known[p] for p in pieces.values()]
+        entry = entry[2 * where + after]
         n = self.count[entry]
-        total = np.concatenate([[0], np.cumsum(n)])
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
         ids = self.flat[np.repeat(self.first[entry] - total[:-1], n) + np.arange(total[-1])]
-        per_doc = np.diff(total[np.searchsorted(starts, edges)])
-        if WHOLE.search(text):
-            parts, low = [], 0
-            for d in range(len(edges) - 1):
-                own, high = text[edges[d] : edges[d + 1]], low + per_doc[d]
-                parts.append(ids[low:high])
-                low = high
-                if WHOLE.search(own):
-                    parts[-1] = np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, np.uint32)
-                    per_doc[d] = len(parts[-1])
+        per_doc = np.diff(total[edges])
+        whole = np.flatnonzero(pc.match_substring_regex(texts, INSIDE).to_numpy(zero_copy_only=False))
+        if len(whole):
+            parts = np.split(ids, np.cumsum(per_doc)[:-1])
+            for d in whole:
+                parts[d] = np.array(self.tokenizer.encode(texts[d].as_py(), add_special_tokens=False).ids, np.uint32)
+                per_doc[d] = len(parts[d])
             ids = np.concatenate(parts)
         return ids, per_doc
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks share what it has learnt."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, tie, n, ids) of every row, with the end id; ids as ``packed``."""
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def task(batches):
-        encoder = Encoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         for rows in batches:
             for first, last, data, bounds in text_slices(rows["text"], SLICE):
-                ids, counts = encoder.encode(data, bounds)
+                ids, counts = own_encoder.encode(data, bounds)
                 ends = np.cumsum(counts)
                 out, sizes = np.insert(ids, ends, end_id), counts + 1
                 own = rows.slice(first, last - first)
