@@ -3,8 +3,8 @@
 Ids come from the tokenizers library. A byte-level BPE works on pre-tokens that
 it never crosses, and one starts at every blank that is the first or the last of a
 run of white space. So texts are cut at blanks, the library encodes each different
-piece once, and the ids are put together. Texts with a blank inside such a run are
-given to the library whole.
+piece once, and the ids are put together. Texts with a blank inside such a run, or a
+NUL, are given to the library whole.
 
 Files: a folder with ``codes`` (id, length: the canonical Huffman code) and
 ``blocks`` (Parquet; in order of part and block). A block holds whole documents
@@ -31,12 +31,15 @@ from lotwise.staging import Staging
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 16
-CACHED = 400_000  # pieces a worker process remembers
-SLICE = 1 << 21
+CACHED = 800_000  # pieces a worker process remembers
+SLICE = 1 << 22
 # White space of Unicode, as code points.
 _SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # A blank inside a run of white space, where pre-tokens do not start
-INSIDE = rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
+INSIDE = rf"[{_SPACE}] (?:[{_SPACE}]|\z)|\x00"
+# Pre-tokens start between an ASCII letter and one of these signs, too; _CLOSE marks such a place.
+_SIGNS = r"([A-Za-z])([.,;:!?])"
+_CLOSE = "\0"
 
 
 class Encoder:
@@ -56,7 +59,7 @@ class Encoder:
     def forget(self):
         self.known: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(CACHED * 2, np.int64), np.zeros(CACHED * 2, np.int64)
+        self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of pieces that are cut again where they were, being joined, at their blanks."""
@@ -97,23 +100,23 @@ class Encoder:
         """(ids, number of ids of each document) of UTF-8 bytes."""
         raw = pa.py_buffer(np.ascontiguousarray(data))
         texts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), raw)
-        listed = pc.split_pattern(texts, " ")
+        listed = pc.split_pattern(pc.replace_substring_regex(texts, _SIGNS, rf"\1 {_CLOSE}\2"), " ")
         edges = listed.offsets.to_numpy()
         coded = listed.flatten().dictionary_encode()
         words, where = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        # all parts of a text but the first follow a blank
+        # all parts of a text but the first follow a blank, unless marked
         after = np.ones(len(where), np.int64)
         after[edges[:-1][np.diff(edges) > 0]] = 0
-        pieces = {}
-        for kind in (0, 1):
-            used = np.unique(where[after == kind])
-            pieces.update(zip((2 * used + kind).tolist(), [" " * kind + words[k] for k in used]))
         if len(self.known) > CACHED:
             self.forget()
-        self.learn(list(dict.fromkeys(p for p in pieces.values() if p not in self.known)))
-        entry = np.zeros(2 * len(words), np.int64)
-        entry[list(pieces)] = [self.known[p] for p in pieces.values()]
-        entry = entry[2 * where + after]
+        entry = np.zeros((len(words), 2), np.int64)
+        for kind in (0, 1):
+            used = np.flatnonzero(np.bincount(where[after == kind], minlength=len(words)))
+            own = [words[k] for k in used.tolist()]
+            pieces = [w[1:] if w[:1] == _CLOSE else " " + w for w in own] if kind else own
+            self.learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+            entry[used, kind] = [self.known[p] for p in pieces]
+        entry = entry[where, after]
         n = self.count[entry]
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
         ids = self.flat[np.repeat(self.first[entry] - total[:-1], n) + np.arange(total[-1])]

@@ -56,7 +56,7 @@ def test_blanks_inside_white_space():
 
     path = public_tokenizers.path(tokens.TOKENIZER)
     own, library, draw = tokens.Encoder(path), Tokenizer.from_file(path), random.Random(6)
-    signs = [" ", " ", " ", "\n", "\t", " ", "　", "\x0b", "\x1c", "a", "B", ".", "é", "'s", "7", "<|endoftext|>"]
+    signs = [" ", " ", " ", "\n", "\t", " ", "　", "\x0b", "\x1c", "a", "B", ".", "é", "'s", "7", "<|endoftext|>", "\0", "a,", ":", "?"]
     texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 12))) for _ in range(6000)]
     raw = [t.encode() for t in texts]
     ids, n = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
