@@ -1,13 +1,12 @@
 """Removal of every word inside a long word sequence that occurs elsewhere too.
 
-Windows of ``length`` words are the edges of a De Bruijn graph over word
-sequences. Edges are never listed for the whole corpus: the run of consecutive
-edges that share their least ``core``-gram is compacted into one path at once,
-in the task that reads the document. Paths meet in Spark joins by their core:
-a path seen twice is repeated as a whole, a core with one path is unique, and
-only where a core branches into several paths are these broken into edges again
-and matched (see ``repeats``). Coordinates in the source documents carry each
-verdict back to the words.
+Not a De Bruijn graph: no k-mer edges are joined to their neighbours and no paths are
+compacted by joins. Runs of windows of ``length`` words that share their least
+``core``-gram are taken together in the task that reads the document, and meet by
+hashes of that core and of their text (see ``repeats``): a run seen twice repeats as
+a whole, a core with one run is unique, and only where a core has several runs are
+these broken into windows and matched one by one. Coordinates in the source documents
+carry each verdict back to the words.
 """
 
 from __future__ import annotations

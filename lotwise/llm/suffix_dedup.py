@@ -1,10 +1,10 @@
 """Removal of every byte inside a long byte string that occurs elsewhere too.
 
-Suffix sorting in external memory, cut down to what decides the result. Suffixes
-are sampled (winnowed positions, at most ``length - CORE + 1`` apart); sampled
-suffixes get names, and those whose name or core settles them need no sorting.
-The rest, ends of repeated passages, are shuffled into shards by core and sorted
-there: sampled suffixes first, then by induction all suffixes before them, with
+Not a full external suffix sort: there are no disk-backed priority queues and no
+recursion. Suffixes are sampled (winnowed positions, at most ``length - CORE + 1``
+apart) and get names; those whose name or core settles them need no sorting. The
+rest, ends of repeated passages, are shuffled into shards by core and sorted there in
+memory: sampled suffixes first, then by induction all suffixes before them, with
 common prefixes carried along (``induced``). Shards stream from Spark's external
 sort, which spills to disk, so a task holds the strings of one core at most.
 """
