@@ -17,13 +17,16 @@ sets is at most the sum of the coordinate minima. Groups are powers of two, so a
 point folds to fewer coordinates. The bound also holds for boxes of points with
 their upper corners: an R-tree over the points of a block, folded to ``GROUPS``
 coordinates, skips whole boxes, and pairs that it leaves are bounded again with
-all coordinates. Surviving pairs are verified on their texts.
+all coordinates. Surviving pairs are verified on the shingles of their texts, by a
+second, independent hash of the words.
 
 Order of work. In a block every class is first tested with the least one
 (linear), then, where classes are still apart, with others drawn by hash: that
 settles groups of near copies. Blocks that still hold classes of different
 components go through R-trees, in parts of bounded size, so that no pair of a
-block is left out that could connect components.
+block is left out that could connect components. A part carries the shingles of
+its classes, verifies in place and gives only links that join its components:
+fewer than it has classes, however many pairs the bound leaves.
 """
 
 from __future__ import annotations
@@ -251,51 +254,106 @@ def tree_pairs(n: np.ndarray, counts: np.ndarray, component: np.ndarray, percent
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
+def joining_links(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], component: np.ndarray, percent: int = PERCENT):
+    """Those of the candidate pairs (i, j) that link and join components not joined before."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    values, codes = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)
+    marked = np.zeros(len(values), bool)
+    group = np.unique(component, return_inverse=True)[1]  # of each set, kept up to date
+    left, right = [], []
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    for low, high in zip(starts, [*starts[1:], len(i)]):
+        own, others = i[low], j[low:high]
+        others = others[group[others] != group[own]]
+        if not len(others):
+            continue
+        marked[codes[bounds[own] : bounds[own + 1]]] = True
+        ends = np.cumsum(sizes[others])
+        at = np.repeat(bounds[others] - ends + sizes[others], sizes[others]) + np.arange(ends[-1])
+        common = np.diff(np.cumsum(marked[codes[at]])[ends - 1], prepend=0)
+        marked[codes[bounds[own] : bounds[own + 1]]] = False
+        for other in others[100 * common >= percent * (sizes[own] + sizes[others] - common)]:
+            if group[other] != group[own]:
+                group[group == group[other]] = group[own]
+                left.append(own)
+                right.append(other)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def _searched(percent: int):
-    """Task: pairs of different components of each part, from a sorted stream."""
+    """Task: verified links that join components of each part, from a sorted stream.
+
+    A part of m classes gives m - 1 links at most.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(rows: pa.RecordBatch):
         name = rows["class"].to_numpy()
         n, points = rows["n"].to_numpy(), _points(rows["counts"])
-        i, j = tree_pairs(n, _folded(points, GROUPS), rows["component"].to_numpy(), percent)
+        component = rows["component"].to_numpy()
+        i, j = tree_pairs(n, _folded(points, GROUPS), component, percent)
         keep = _may_link(_overlaps(points, points, i, j), n[i], n[j], percent)
-        i, j = i[keep], j[keep]
+        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
+        i, j = joining_links(i[keep], j[keep], sets, component, percent)
         return batch(schema, np.minimum(name[i], name[j]), np.maximum(name[i], name[j]))
 
     def task(batches):
-        held = None
+        held, key = [], None  # slices of the part that is still open
         for rows in batches:
-            if held is not None:
-                rows = pa.concat_batches([held, rows])
+            if not rows.num_rows:
+                continue
             keys = np.stack([rows[c].to_numpy() for c in ("shingle", "i", "j")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for low, high in zip([0, *cuts[:-1]], cuts):
-                yield search(rows.slice(low, high - low))
-            held = rows.slice(cuts[-1] if len(cuts) else 0)
-        if held is not None and held.num_rows:
-            yield search(held)
+            for low, high in zip([0, *cuts], [*cuts, rows.num_rows]):
+                if held and (keys[:, low] != key).any():
+                    yield search(pa.concat_batches(held))
+                    held = []
+                held.append(rows.slice(low, high - low))
+                key = keys[:, low]
+        if held:
+            yield search(pa.concat_batches(held))
 
     return task
 
 
+def _second_sets(batches):
+    """Task: (class, shingles), by the second hash of words, from the text of each class."""
+    schema = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
+    for rows in batches:
+        for first, last, data, bounds in text_slices(rows["text"]):
+            doc, shingles = shingle_sets(data, bounds, table=1)
+            cuts = np.searchsorted(doc, np.arange(1, last - first))
+            yield batch(schema, rows["class"].slice(first, last - first), [s.tobytes() for s in np.split(shingles, cuts)])
+
+
 def _verified(percent: int):
-    """Task: pairs whose texts' sets link."""
+    """Task: pairs whose texts' sets link. Of a run of rows with one a, its text is cut once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches):
         for rows in batches:
             keep = np.zeros(rows.num_rows, bool)
-            for first, last, data, bounds in text_slices(rows["a_text"]):
-                doc, left = shingle_sets(data, bounds, table=1)
-                data, bounds = as_bytes(rows["b_text"].slice(first, last - first))
-                other, right = shingle_sets(data[bounds[0] : bounds[-1]], bounds - bounds[0], table=1)
-                own, its = np.bincount(doc, minlength=last - first), np.bincount(other, minlength=last - first)
-                both_doc, both = np.concatenate([doc, other]), np.concatenate([left, right])
-                order = np.lexsort((both, both_doc))
-                both_doc, both = both_doc[order], both[order]
-                twice = (both[1:] == both[:-1]) & (both_doc[1:] == both_doc[:-1])
-                common = np.bincount(both_doc[1:][twice], minlength=last - first)
+            for first, last, data, bounds in text_slices(rows["b_text"]):
+                doc, right = shingle_sets(data, bounds, table=1)
+                a = rows["a"].slice(first, last - first).to_numpy()
+                runs = np.flatnonzero(np.diff(a, prepend=~a[:1]))
+                of = np.repeat(np.arange(len(runs)), np.diff(runs, append=len(a)))
+                data, bounds = as_bytes(rows["a_text"].take(pa.array(first + runs)))
+                run, left = shingle_sets(data[bounds[0] : bounds[-1]], bounds - bounds[0], table=1)
+                own, its = np.bincount(run, minlength=len(runs))[of], np.bincount(doc, minlength=last - first)
+                # shingles of each run and of all its rows together, those of the run first
+                side = np.repeat([0, 1], [len(left), len(right)])
+                both_run, both = np.concatenate([run, of[doc]]), np.concatenate([left, right])
+                order = np.lexsort((side, both, both_run))
+                both_run, both, side = both_run[order], both[order], side[order]
+                new = np.ones(len(both), bool)
+                new[1:] = (both[1:] != both[:-1]) | (both_run[1:] != both_run[:-1])
+                in_run = side[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] == 0 if len(new) else new
+                hit = order[in_run & (side == 1)] - len(left)
+                common = np.bincount(doc[hit], minlength=last - first)
                 keep[first:last] = 100 * common >= percent * (own + its - common)
             yield batch(schema, rows["a"].to_numpy()[keep], rows["b"].to_numpy()[keep])
 
@@ -336,14 +394,18 @@ class _Join:
             pairs = join_unique(pairs, F.col(side), own, "__class").drop("__class")
         return pairs.mapInArrow(_bounded(self.percent), "a BIGINT, b BIGINT")
 
+    def texts(self, needed: DataFrame) -> DataFrame:
+        """(class, text) of one row of each class in ``needed`` (class, distinct)."""
+        keys = needed.join(self.classes, "class").select("class", "key.*")
+        texts = self.rows.select(*KEY, "text").join(keys.hint("merge"), KEY).dropDuplicates(["class"])
+        return texts.select("class", "text")
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """``pairs`` (a, b: classes, distinct) that link, by the texts of one row of each."""
         pairs = self.staging.table(pairs, f"{name}-pairs")
         needed = pairs.selectExpr("a AS class").union(pairs.selectExpr("b AS class")).distinct()
-        needed = needed.join(self.classes, "class").select("class", "key.*")
-        texts = self.rows.select(*KEY, "text").join(needed.hint("merge"), KEY).dropDuplicates(["class"])
-        texts = self.staging.table(texts.select("class", "text"), f"{name}-texts")
-        for side in ("a", "b"):
+        texts = self.staging.table(self.texts(needed), f"{name}-texts")
+        for side in ("b", "a"):  # a, the class of many pairs, last: its rows come together
             own = texts.selectExpr("class AS __class", f"text AS {side}_text")
             pairs = join_unique(pairs, F.col(side), own, "__class").drop("__class")
         return self.staging.table(pairs.mapInArrow(_verified(self.percent), "a BIGINT, b BIGINT"), f"{name}-links")
@@ -363,15 +425,18 @@ class _Join:
             pairs = pairs.selectExpr("least(class, lead.class) AS a", "greatest(class, lead.class) AS b").distinct()
             links = links.unionByName(self.verified(self.bounded(pairs), f"turn{turn}"))
         members = self.open_blocks(members, links, "tree")
+        sets = self.texts(members.select("class").distinct()).mapInArrow(_second_sets, "class BIGINT, shingles BINARY")
+        sets = self.staging.table(sets, "tree-sets")
         members = members.withColumn("parts", F.expr(f"CAST(ceil(size / {PART}) AS INT)"))
         members = members.withColumn("part", F.expr("pmod(xxhash64(class), parts)"))
         parts = "transform(sequence(0, parts - 1), x -> named_struct('i', least(part, CAST(x AS BIGINT)), 'j', greatest(part, CAST(x AS BIGINT))))"
         members = members.select("shingle", "class", "component", F.explode(F.expr(parts)).alias("p")).select("*", "p.i", "p.j").drop("p")
-        known = self.classes.selectExpr("class AS __class", "n", "counts")
-        members = join_unique(members, F.col("class"), known, "__class").select("shingle", "i", "j", "class", "component", "n", "counts")
+        known = self.classes.join(sets, "class").selectExpr("class AS __class", "n", "counts", "shingles")
+        members = join_unique(members, F.col("class"), known, "__class")
         by = ["shingle", "i", "j"]
+        members = members.select(*by, "class", "component", "n", "counts", "shingles")
         found = members.repartition(*by).sortWithinPartitions(*by).mapInArrow(_searched(self.percent), "a BIGINT, b BIGINT")
-        return links.unionByName(self.verified(found.distinct(), "tree"))
+        return links.unionByName(self.staging.table(found, "tree-links"))
 
     def open_blocks(self, members: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Members of blocks of over two classes that are not all connected by ``links``.

@@ -161,3 +161,29 @@ def test_induced_order_finds_equal_windows(data):
         np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array(offset), np.array(windows), np.array(group), wanted, length
     )
     assert {(r, w) for r, f, c in zip(row, first, n) for w in range(f, f + c)} == expected
+
+
+def test_joining_links_join_what_links_once():
+    draw = np.random.default_rng(5)
+    base = [draw.integers(0, 1 << 60, 40).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.where(draw.random(40) < 0.06, draw.integers(0, 1 << 60, 40).astype(np.uint64), base[k % 6])) for k in range(90)]
+    component = np.arange(90)
+    component[60:] = component[:30]
+    i, j = np.triu_indices(90, 1)
+    left, right = jaccard.joining_links(i, j, sets, component)
+
+    def components(pairs):
+        group = component.copy()
+        for a, b in pairs:
+            group[group == group[a]] = group[b]
+        return {tuple(np.flatnonzero(group == g)) for g in group}
+
+    def linked(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common)
+
+    assert all(linked(a, b) for a, b in zip(left, right))
+    assert len(left) == len(set(component)) - len(components(zip(left, right)))
+    assert components(zip(left, right)) == components((a, b) for a, b in zip(i, j) if linked(a, b))
+    none = np.empty(0, np.int64)
+    assert not len(jaccard.joining_links(none, none, [], none)[0])
