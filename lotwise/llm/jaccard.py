@@ -24,9 +24,9 @@ Order of work. In a block every class is first tested with the least one
 (linear), then, where classes are still apart, with others drawn by hash: that
 settles groups of near copies. Blocks that still hold classes of different
 components go through R-trees, in parts of bounded size, so that no pair of a
-block is left out that could connect components. A part carries the shingles of
-its classes, verifies in place and gives only links that join its components:
-fewer than it has classes, however many pairs the bound leaves.
+block is left out that could connect components. Classes that the bounds leave a
+partner are searched again with their shingles, by groups of what may be connected:
+a group of m classes is verified in place and gives m - 1 links at most.
 """
 
 from __future__ import annotations
@@ -283,38 +283,71 @@ def joining_links(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], componen
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _searched(percent: int):
-    """Task: verified links that join components of each part, from a sorted stream.
-
-    A part of m classes gives m - 1 links at most.
+def _runs(batches, keys: list[str]):
+    """Rows of equal ``keys`` of a sorted stream, one record batch for each run."""
+    held, key = [], None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        values = np.stack([rows[c].to_numpy() for c in keys])
+        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        for low, high in zip([0, *cuts], [*cuts, rows.num_rows]):
+            if held and (values[:, low] != key).any():
+                yield pa.concat_batches(held)
+                held = []
+            held.append(rows.slice(low, high - low))
+            key = values[:, low]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _candidates(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (n, counts, component) that the bounds leave, of different components."""
+    n, points = rows["n"].to_numpy(), _points(rows["counts"])
+    i, j = tree_pairs(n, _folded(points, GROUPS), rows["component"].to_numpy(), percent)
+    keep = _may_link(_overlaps(points, points, i, j), n[i], n[j], percent)
+    return i[keep], j[keep]
+
+
+def _candidate_groups(percent: int):
+    """Task: (group, class, component) of classes of a part that the bounds leave a partner.
+
+    A group is what such pairs connect, named by its classes: one found in several
+    blocks is one group. A part gives a row per class at most.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("group", "class", "component")])
+
+    def task(batches):
+        for rows in _runs(batches, ["shingle", "i", "j"]):
+            i, j = _candidates(rows, percent)
+            label = np.arange(rows.num_rows)
+            while (label[i] != label[j]).any():
+                least = np.minimum(label[i], label[j])
+                for side in (i, j):
+                    np.minimum.at(label, label[side], least)
+                label = label[label]
+            used = np.union1d(i, j)
+            used = used[np.argsort(label[used], kind="stable")]
+            name, of = rows["class"].to_numpy()[used], label[used]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(starts):
+                groups = np.add.reduceat(mix(name.view(np.uint64)), starts)
+                groups = np.repeat(groups, np.diff(starts, append=len(of))).view(np.int64)
+                yield batch(schema, groups, name, rows["component"].to_numpy()[used])
+
+    return task
 
-    def search(rows: pa.RecordBatch):
-        name = rows["class"].to_numpy()
-        n, points = rows["n"].to_numpy(), _points(rows["counts"])
-        component = rows["component"].to_numpy()
-        i, j = tree_pairs(n, _folded(points, GROUPS), component, percent)
-        keep = _may_link(_overlaps(points, points, i, j), n[i], n[j], percent)
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
-        i, j = joining_links(i[keep], j[keep], sets, component, percent)
-        return batch(schema, np.minimum(name[i], name[j]), np.maximum(name[i], name[j]))
+
+def _searched(percent: int):
+    """Task: verified links that join components of each group, fewer than its classes."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches):
-        held, key = [], None  # slices of the part that is still open
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            keys = np.stack([rows[c].to_numpy() for c in ("shingle", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for low, high in zip([0, *cuts], [*cuts, rows.num_rows]):
-                if held and (keys[:, low] != key).any():
-                    yield search(pa.concat_batches(held))
-                    held = []
-                held.append(rows.slice(low, high - low))
-                key = keys[:, low]
-        if held:
-            yield search(pa.concat_batches(held))
+        for rows in _runs(batches, ["group"]):
+            name = rows["class"].to_numpy()
+            sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
+            i, j = joining_links(*_candidates(rows, percent), sets, rows["component"].to_numpy(), percent)
+            yield batch(schema, np.minimum(name[i], name[j]), np.maximum(name[i], name[j]))
 
     return task
 
@@ -425,17 +458,22 @@ class _Join:
             pairs = pairs.selectExpr("least(class, lead.class) AS a", "greatest(class, lead.class) AS b").distinct()
             links = links.unionByName(self.verified(self.bounded(pairs), f"turn{turn}"))
         members = self.open_blocks(members, links, "tree")
-        sets = self.texts(members.select("class").distinct()).mapInArrow(_second_sets, "class BIGINT, shingles BINARY")
-        sets = self.staging.table(sets, "tree-sets")
         members = members.withColumn("parts", F.expr(f"CAST(ceil(size / {PART}) AS INT)"))
         members = members.withColumn("part", F.expr("pmod(xxhash64(class), parts)"))
         parts = "transform(sequence(0, parts - 1), x -> named_struct('i', least(part, CAST(x AS BIGINT)), 'j', greatest(part, CAST(x AS BIGINT))))"
         members = members.select("shingle", "class", "component", F.explode(F.expr(parts)).alias("p")).select("*", "p.i", "p.j").drop("p")
-        known = self.classes.join(sets, "class").selectExpr("class AS __class", "n", "counts", "shingles")
-        members = join_unique(members, F.col("class"), known, "__class")
+        known = self.classes.selectExpr("class AS __class", "n", "counts")
         by = ["shingle", "i", "j"]
-        members = members.select(*by, "class", "component", "n", "counts", "shingles")
-        found = members.repartition(*by).sortWithinPartitions(*by).mapInArrow(_searched(self.percent), "a BIGINT, b BIGINT")
+        members = join_unique(members, F.col("class"), known, "__class").select(*by, "class", "component", "n", "counts")
+        members = members.repartition(*by).sortWithinPartitions(*by)
+        groups = members.mapInArrow(_candidate_groups(self.percent), "group BIGINT, class BIGINT, component BIGINT")
+        groups = self.staging.table(groups.distinct(), "tree-groups")
+        sets = self.texts(groups.select("class").distinct()).mapInArrow(_second_sets, "class BIGINT, shingles BINARY")
+        sets = self.staging.table(sets, "tree-sets").withColumnRenamed("class", "__class")
+        groups = join_unique(groups, F.col("class"), known, "__class").drop("__class")
+        groups = join_unique(groups, F.col("class"), sets, "__class").drop("__class")
+        groups = groups.repartition("group").sortWithinPartitions("group")
+        found = groups.mapInArrow(_searched(self.percent), "a BIGINT, b BIGINT")
         return links.unionByName(self.staging.table(found, "tree-links"))
 
     def open_blocks(self, members: DataFrame, links: DataFrame, name: str) -> DataFrame:
