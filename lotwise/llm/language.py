@@ -97,6 +97,19 @@ def _examples(batches):
             yield batch(schema, own["lang"], own["fold"], [p[0] for p in parts], [p[1] for p in parts])
 
 
+def _frequencies(batches):
+    """Task: (f, c), how many of its rows have each feature."""
+    grams = Grams()
+    seen = np.zeros(1 << FEATURE_BITS, np.int64)
+    for rows in batches:
+        for _, _, data, bounds in text_slices(rows["text"]):
+            docs, features, _ = grams(data, bounds)
+            cells = np.unique(np.concatenate(docs).astype(np.int64) << FEATURE_BITS | np.concatenate(features))
+            seen += np.bincount(cells & (len(seen) - 1), minlength=len(seen))
+    used = np.flatnonzero(seen)
+    yield batch(pa.schema([("f", pa.int32()), ("c", pa.int64())]), used, seen[used])
+
+
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
@@ -135,25 +148,30 @@ class Model:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, staging: Staging | None = None) -> Model:
-    """Fit a model on rows with text and lang. Without any, it knows no language."""
+    """Fit a model on rows with text and lang. Without any, it knows no language.
+
+    About ``per_language`` rows a language, drawn and dealt to shards by a hash of
+    doc_id and text, so copies of a text under other ids are drawn like any rows.
+    Document frequencies are counted over all rows.
+    """
     staging = staging or Staging(docs.sparkSession)
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((1, 0), np.float32))
     rates = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k]))])
-    draw = F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(draw < F.element_at(rates, F.col("lang")))
-    sample = sample.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(37)), F.lit(SHARDS + 2)).cast("int"))
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", "text", F.lit(37)), F.lit(SHARDS + 2)).cast("int"))
     fields = "lang STRING, fold INT, feature ARRAY<INT>, share ARRAY<FLOAT>"
-    sample = staging.table(sample.mapInArrow(_examples, fields), "examples")
+    sample = staging.table(sample.drop("doc_id").mapInArrow(_examples, fields), "examples")
     training = sample.where(f"fold < {SHARDS}")
-    seen = training.select(F.explode("feature").alias("f")).groupBy("f").count().collect()  # bounded by the features
+    seen = usable.select("text").mapInArrow(_frequencies, "f INT, c BIGINT").groupBy("f").agg(F.sum("c").alias("c")).collect()
     idf = np.zeros(1 << FEATURE_BITS)
-    total = training.count()
-    for r in seen:
-        idf[r["f"]] = np.log((1 + total) / (1 + r["count"])) + 1
+    total = sum(sizes.values())
+    for r in seen:  # one row per feature at most
+        idf[r["f"]] = np.log((1 + total) / (1 + r["c"])) + 1
     shape = (len(idf) + 1, len(languages))
     z, n = np.zeros(shape), np.zeros(shape)
     for _ in range(ROUNDS):

@@ -298,3 +298,21 @@ def test_empty_tables(spark, none):
     folder = Staging(spark).new_path("tokens")
     tokens.write_token_files(none, public_tokenizers.path(tokens.TOKENIZER), folder)
     assert tokens.read_token_files(spark, folder).count() == 0
+
+
+def test_language_sample_is_bounded_under_copies(spark, monkeypatch):
+    draw = random.Random(9)
+    own = [" ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(6)) for _ in range(500)]
+    rows = [(i, own[i] if i < 500 else "abc fed gab", "aa") for i in range(2000)]
+    rows += [(2000 + i, " ".join("".join(draw.choice("stuvwxyz") for _ in range(5)) for _ in range(6)), "bb") for i in range(200)]
+    seen = {}
+
+    class Kept(language.Staging):
+        def table(self, df, name):
+            seen[name] = super().table(df, name)
+            return seen[name]
+
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200, Kept(spark))
+    folds = Counter(r.fold for r in seen["examples"].where("lang = 'aa'").collect())
+    assert model.languages == ["aa", "bb"]
+    assert 120 < sum(folds.values()) < 300 and len(folds) == language.SHARDS + 2 and max(folds.values()) < 70
