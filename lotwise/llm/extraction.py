@@ -137,15 +137,16 @@ def _learn(start: Potentials, own_pages: list[str]):
 def train(pages: DataFrame, sample: int = SAMPLE) -> Potentials:
     """Fit potentials; without declaring pages in the table, on ``LABELLED`` alone.
 
-    Shards of the sample start each round from the same weights, which are then
-    averaged. The driver gets one row per feature.
+    Pages are drawn and dealt to shards by a hash of page_id and html, so copies of a
+    page are drawn like any pages. Shards of the sample start each round from the same
+    weights, which are then averaged. The driver gets one row per feature.
     """
-    declaring = pages.where("html RLIKE '(?i)<(article|main)[ >]'").select("html")
+    declaring = pages.where("html RLIKE '(?i)<(article|main)[ >]'").select("page_id", "html")
     rate = min(1.0, sample / max(declaring.count(), 1))
-    chosen = declaring.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < rate * (1 << 30))
-    shards = chosen.withColumn("shard", F.pmod(F.xxhash64("html", F.lit(3)), F.lit(SHARDS)))
+    chosen = declaring.where(F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 30)) < rate * (1 << 30))
+    shards = chosen.withColumn("shard", F.pmod(F.xxhash64("page_id", "html", F.lit(3)), F.lit(SHARDS)))
     seeds = pages.sparkSession.range(SHARDS).selectExpr("CAST(NULL AS STRING) AS html", "id AS shard")
-    shards = shards.unionByName(seeds)
+    shards = shards.select("html", "shard").unionByName(seeds)
     model = Potentials()
     for _ in range(ROUNDS):
         learned = shards.groupBy("shard").applyInPandas(_learn(model, LABELLED * 6), "name STRING, weight DOUBLE")
