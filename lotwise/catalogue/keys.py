@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.catalogue.chains import CHAIN2, CHAIN4, DRAWS, SEED, table
+from lotwise.catalogue.chains import CHAIN2, CHAIN4, DRAWS, SEED, draw_hash_sql, row_hash_sql, table
 from lotwise.operators import (
     expected_row_draws,
     key_filter,
@@ -91,6 +91,10 @@ QUERIES = {
     "site_key_allocation": lambda spark, sf: CHAIN4.build(spark, sf).allocate_keys(
         2, DRAWS, SEED
     ),
+    "site_allocation_memo": allocation("memo"),
+    "site_key_allocation_memo": lambda spark, sf: CHAIN4.build(spark, sf).allocate_keys(
+        2, DRAWS, SEED, "memo"
+    ),
     "requested_vs_collected": lambda spark, sf: CHAIN4.build(
         spark, sf
     ).requested_and_collected(DRAWS, SEED),
@@ -106,7 +110,35 @@ _PROPORTIONAL = (
 )
 _DRAWN = "SELECT supplier_site AS site, count(*) AS count FROM s GROUP BY supplier_site"
 
+
+
+def _memo_allocation_sql() -> str:
+    """Draws looked up among running totals of the sites."""
+    order = f"{row_hash_sql(['site'])}, {row_hash_sql(['cardinality'])}, site"
+    return (
+        f"{_SAMPLED}, w AS (SELECT supplier_site AS site, count(*)::BIGINT AS cardinality FROM j GROUP BY 1), "
+        f"r AS (SELECT *, sum(cardinality) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) - cardinality AS low FROM w), "
+        f"p AS (SELECT {draw_hash_sql(SEED, 'range')} % (SELECT sum(cardinality) FROM w) AS pos FROM range({DRAWS})) "
+        "SELECT site, count(*) AS count FROM p ASOF JOIN r ON p.pos >= r.low GROUP BY site"
+    )
+
+
+def _memo_key_allocation_sql() -> str:
+    """Draws of each key looked up among running totals of its sites."""
+    order = f"{row_hash_sql(['site'])}, {row_hash_sql(['count'])}, site"
+    return (
+        f"{_COUNTS}, {_SITE_MEMO}, "
+        f"r AS (SELECT *, sum(count) OVER (PARTITION BY key ORDER BY {order} ROWS UNBOUNDED PRECEDING) - count AS low FROM m), "
+        "t AS (SELECT key, sum(count) AS total FROM m GROUP BY 1), "
+        "k AS (SELECT key, unnest(range(requested)) AS draw_no FROM c), "
+        f"p AS (SELECT key, {draw_hash_sql(SEED, 'key', 'draw_no')} % total AS pos FROM k JOIN t USING (key)) "
+        "SELECT site, p.key AS key, count(*) AS count FROM p ASOF JOIN r ON p.key = r.key AND p.pos >= r.low GROUP BY 1, 2"
+    )
+
+
 ORACLES = {
+    "site_allocation_memo": _memo_allocation_sql(),
+    "site_key_allocation_memo": _memo_key_allocation_sql(),
     "key_restricted_rows": (
         f"{_COUNTS} SELECT o.o_orderkey, o.o_custkey AS key FROM orders o "
         "WHERE o.o_custkey IN (SELECT key FROM c)"

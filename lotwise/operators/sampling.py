@@ -27,8 +27,8 @@ COPIES_PER_CHUNK = 1024
 def repeat_rows(df: DataFrame, count: str, index: str = "copy") -> DataFrame:
     """Every row ``count`` times, numbered from 0 in ``index``; none for 0.
 
-    Rows with large counts are cut into chunks that are dealt to all tasks, so
-    no task expands a huge count alone or builds a huge array.
+    Rows with large counts are cut into chunks, dealt to all tasks at each level,
+    so no task cuts or expands a huge count alone or builds a huge array.
     """
     n, size = quoted(count), COPIES_PER_CHUNK
     columns = [quoted(c) for c in df.columns]
@@ -44,7 +44,9 @@ def repeat_rows(df: DataFrame, count: str, index: str = "copy") -> DataFrame:
         large = large.selectExpr(*columns, "__end", start).selectExpr(
             *columns, "__start AS __low", f"least(__end, __start + {width}L) AS __end"
         )
-    large = large.repartition(tasks).selectExpr(
+        if width < size**3:  # the largest chunks are few
+            large = large.repartition(tasks)
+    large = large.selectExpr(
         *columns, f"explode(sequence(__low, __end - 1)) AS {quoted(index)}"
     )
     return small.unionByName(large)

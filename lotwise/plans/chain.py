@@ -22,6 +22,7 @@ from lotwise.operators.names import (
     check_user_columns,
     output_columns,
 )
+from lotwise.operators.sampling import sample_per_key, weighted_sample
 from lotwise.operators.weights import (
     attach_weight,
     inner_memo,
@@ -412,7 +413,9 @@ class ChainJoin:
         """``(site, count)``: how many of ``n`` draws start at each site.
 
         ``proportional`` rounds each site's share, so the counts may not add up
-        to ``n`` and small sites may get none; ``drawn`` counts the real draws.
+        to ``n`` and small sites may get none; ``drawn`` counts the real draws;
+        ``memo`` draws sites by their totals, so no table row is looked up. Its
+        counts have the distribution of ``drawn`` but are other draws.
         """
         if mode == "proportional":
             by_site = self.cardinality(by_site=True)
@@ -421,10 +424,28 @@ class ChainJoin:
             return by_site.select(SITE, half_up(share * F.lit(float(n))).alias("count"))
         if mode == "drawn":
             return self._count_by(0, n, seed, [self._site(0)])
+        if mode == "memo":
+            by_site = self.staging.table(self.cardinality(by_site=True), "site_totals")
+            drawn = weighted_sample(by_site, "cardinality", n, seed, [SITE], self.wide, staging=self.staging)
+            return drawn.groupBy(SITE).agg(F.count(F.lit(1)).alias("count"))
         raise ValueError(f"unknown mode {mode!r}")
 
-    def allocate_keys(self, i: int, n: int, seed: int) -> DataFrame:
-        """``(site, key, count)``: draws per site and incoming key of table ``i``."""
+    def allocate_keys(self, i: int, n: int, seed: int, mode: str = "drawn") -> DataFrame:
+        """``(site, key, count)``: draws per site and incoming key of table ``i``.
+
+        ``drawn`` counts the real draws; ``memo`` shares the draws that reach each key
+        out over its sites by the table's memo, so no row of table ``i`` is looked up.
+        """
+        if mode == "memo":
+            memo = self.staging.table(self.memo(i, by_site=True), f"site_memo{i}")
+            if i == 0:
+                drawn = weighted_sample(memo, "count", n, seed, [SITE, "key"], self.wide, staging=self.staging)
+            else:
+                wanted = self.key_counts(i - 1, n, seed)
+                drawn = sample_per_key(memo, "key", wanted, seed, "count", [SITE], self.wide, staging=self.staging)
+            return drawn.groupBy(SITE, "key").agg(F.count(F.lit(1)).alias("count"))
+        if mode != "drawn":
+            raise ValueError(f"unknown mode {mode!r}")
         key = F.col(self._first_column(i)).alias("key")
         return self._count_by(i, n, seed, [self._site(i), key])
 

@@ -79,6 +79,24 @@ def test_allocation_per_site_and_key_adds_up(chain):
     assert spread == per_key
 
 
+def test_memo_allocation_follows_the_totals(chain):
+    weights = as_dict(chain.cardinality(by_site=True), "site", "cardinality")
+    counts = as_dict(chain.allocate(5000, "memo", seed=5), "site", "count")
+    expected = {s: 5000 * w / sum(weights.values()) for s, w in weights.items()}
+    assert sum(counts.values()) == 5000
+    assert sum((counts.get(s, 0) - e) ** 2 / e for s, e in expected.items()) < 13.8  # 2 degrees of freedom, p = 0.001
+
+
+def test_memo_allocation_per_site_and_key_adds_up(chain):
+    per_key, spread = as_dict(chain.key_counts(0, N, 5), "key", "count"), Counter()
+    shares = {(r["site"], r["key"]) for r in chain.memo(1, by_site=True).collect()}
+    for r in chain.allocate_keys(1, N, 5, "memo").collect():
+        assert (r["site"], r["key"]) in shares
+        spread[r["key"]] += r["count"]
+    assert spread == per_key
+    assert sum(r["count"] for r in chain.allocate_keys(0, N, 5, "memo").collect()) == N
+
+
 def test_one_site_only(spark, chain):
     tables = [TableSpec(t.name, t.df.where("site = 's0'")) for t in chain.tables]
     assert ChainJoin(tables, chain.edges).cardinality().first()[0] == 88

@@ -319,6 +319,14 @@ def test_repeat_rows(spark):
     ]
 
 
+def test_one_huge_count_is_dealt_to_all_tasks(spark):
+    got = repeat_rows(spark.createDataFrame([("a", 30_000_000), ("b", 2)], "k string, n long"), "n")
+    sizes = got.where("k = 'a'").groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in sizes)
+    assert sum(sizes) == 30_000_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert len(sizes) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_tree(spark):
     root = [(i % 4, i % 3) for i in range(20)]
     left, right = [(i % 5,) for i in range(12)], [(i % 2, i) for i in range(9)]
