@@ -7,7 +7,7 @@ are averaged after each round. A temperature fitted on rows kept out of training
 turns scores into probabilities.
 
 Training rows are a bounded sample (``PER_LANGUAGE`` rows of each language,
-chosen by a hash of the text, whole texts); every row is scored. The model has
+chosen by a hash of doc_id and text, whole texts); every row is scored. The model has
 ``2**FEATURE_BITS`` rows and one column per language, whatever the input.
 """
 
