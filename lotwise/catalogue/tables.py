@@ -53,6 +53,13 @@ def scan_csv_text(spark, sf_dir):
     return read_csv(spark, path, docs.schema)
 
 
+def scan_csv_blocks(spark, sf_dir):
+    """The same, each file read by as many tasks as it has blocks."""
+    path, docs = Staging(spark).new_path("csv"), table(spark, sf_dir, "documents")
+    write_csv(docs, path)
+    return read_table(spark, path, "csv", docs.schema, split=True)
+
+
 def scan_parquet(spark, sf_dir):
     return read_table(spark, f"{sf_dir}/lineitem.parquet")
 
@@ -201,6 +208,7 @@ QUERIES = {
     "scan_csv_typed": scan_csv_typed,
     "scan_csv_untyped": scan_csv_untyped,
     "scan_csv_text": scan_csv_text,
+    "scan_csv_blocks": scan_csv_blocks,
     "scan_parquet": scan_parquet,
     "scan_by_format": scan_by_format,
     "empty_union_seed": empty_union_seed,
@@ -237,6 +245,7 @@ ORACLES = {
         "c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer"
     ),
     "scan_csv_text": "SELECT * FROM documents",
+    "scan_csv_blocks": "SELECT * FROM documents",
     "scan_parquet": "SELECT * FROM lineitem",
     "scan_by_format": (
         "SELECT *, 'csv' AS fmt FROM part UNION ALL SELECT *, 'parquet' FROM part"

@@ -57,9 +57,10 @@ class TableSpec:
         path: str,
         fmt: str = "parquet",
         schema: T.StructType | None = None,
+        csv_options: dict | None = None,
         **options,
     ) -> TableSpec:
-        return cls(name, read_table(spark, path, fmt, schema), **options)
+        return cls(name, read_table(spark, path, fmt, schema, **(csv_options or {})), **options)
 
     @property
     def order(self) -> list[str]:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotwise.functions import quoted
+from lotwise.sources.blocks import csv_records
+
 FORMATS = ("csv", "parquet")
 # No field can hold this text, so a quoted empty field stays an empty string and
 # only an unquoted one is null.
@@ -19,19 +23,27 @@ def read_csv(
     schema: T.StructType | None = None,
     multi_line: bool = True,
     mode: str = "FAILFAST",
+    split: bool = False,
 ) -> DataFrame:
     """Comma-separated files with a header; all strings without a schema.
 
     Types are never inferred, so the files are read once. A field may hold line
     breaks, quotes and backslashes. For that a task reads a whole file; without
-    line breaks in fields, ``multi_line=False`` lets large files be cut. A value
-    that its type cannot hold is an error; ``mode="PERMISSIVE"`` makes it null.
+    line breaks in fields, ``multi_line=False`` lets large files be cut. With them,
+    ``split=True`` does, for two or three passes over the files instead of one. A
+    value that its type cannot hold is an error; ``mode="PERMISSIVE"`` makes it null.
     """
-    reader = spark.read.options(
-        header=True, sep=",", nullValue=_NO_TEXT, multiLine=multi_line, escape='"', mode=mode, lineSep="\n",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    return (reader.schema(schema) if schema else reader).csv(path)
+    parsing = {
+        "sep": ",", "nullValue": _NO_TEXT, "escape": '"', "mode": mode, "lineSep": "\n",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
+    reader = spark.read.options(header=True, multiLine=multi_line or split, **parsing)
+    if not split:
+        return (reader.schema(schema) if schema else reader).csv(path)
+    schema = schema or reader.csv(path).schema
+    fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+    parsed = csv_records(spark, path).select(F.from_csv("record", fields, parsing).alias("row"))
+    return parsed.select("row.*")
 
 
 def read_table(
@@ -39,12 +51,18 @@ def read_table(
     path: str | list[str],
     fmt: str = "parquet",
     schema: T.StructType | None = None,
+    **csv_options,
 ) -> DataFrame:
-    """All files of a table directory in its declared format."""
+    """All files of a table directory in its declared format.
+
+    ``csv_options`` are those of ``read_csv``: multi_line, mode, split.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
     if fmt == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, **csv_options)
+    if csv_options:
+        raise ValueError(f"{list(csv_options)} are options of csv files")
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(*([path] if isinstance(path, str) else path))
 
