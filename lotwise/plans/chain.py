@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from lotwise.operators.names import (
     check_user_columns,
     output_columns,
 )
+from lotwise.operators.residues import from_residues, primes_above, residue_columns, summed
 from lotwise.operators.sampling import sample_per_key, weighted_sample
+from lotwise.operators.skew import join_unique
 from lotwise.operators.weights import (
     attach_weight,
     inner_memo,
@@ -239,6 +242,35 @@ class ChainJoin:
             )
         )
 
+    def cardinality_exact(self) -> int:
+        """The number of join results, of any size, as a Python whole number.
+
+        Counts travel as residues modulo primes whose product exceeds the product
+        of all row counts. The driver gets a row of residues and a count per table.
+        """
+        sizes = [table.df.count() for table in self.tables]
+        primes = primes_above(prod(sizes))
+        following = None
+        for i in range(self.last, -1, -1):
+            table, key = self.tables[i].df, self._first_column(i)
+            key_type = self._types[max(i - 1, 0)]
+            if following is None:
+                counted = leaf_memo(table, key, key_type, BIGINT)
+                following = counted.select(KEY, *residue_columns(F.col(ROWS), primes))
+                continue
+            known = following.withColumnRenamed(KEY, "__next_key")
+            if i == 0:  # rows of one value weigh alike, so they are counted first
+                rows = leaf_memo(table, key, key_type, BIGINT).drop(TOTAL)
+                rows = rows.join(known, F.col(KEY) == F.col("__next_key"))
+                following = summed(rows, [], primes, times=ROWS)
+                continue
+            rows = table.select(F.col(key).cast(key_type).alias(KEY), F.col(self.outgoing(i)).cast(self._types[i]).alias("__next"))
+            rows = rows.where(F.col(KEY).isNotNull()).groupBy(KEY, "__next").agg(F.count(F.lit(1)).alias(ROWS))
+            rows = join_unique(rows, F.col("__next"), known, "__next_key")
+            following = summed(rows, [KEY], primes, times=ROWS)
+        found = following.first()
+        return from_residues([found[f"__r{i}"] or 0 for i in range(len(primes))], primes)
+
     def full_join(self) -> DataFrame:
         """The join itself, for comparison; columns as in ``sample``."""
         sides = [
