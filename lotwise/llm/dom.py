@@ -41,7 +41,7 @@ AGAINST_TAGS = {"nav", "footer", "aside", "form", "header", "dialog", "menu"}
 def _left_open(page: str) -> set[int]:
     """Where silent elements start that have no end tag of their own."""
     opened: dict[str, list[int]] = {}
-    for found in PAIRS.finditer(page):
+    for found in PAIRS.finditer(page, 0, page.rfind(">") + 1):
         tag = (found.group(3) or "").lower()
         if found.group(2):
             if opened.get(tag):
@@ -67,7 +67,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     Inline elements belong to the node around them. Tags left open or closed out
     of order are taken as browsers mostly do; a page cut short is read to its end.
     Silent elements are on the stack without a node and end with what holds them;
-    one without an end tag ends at the next block as well.
+    one without an end tag ends at the next block as well. Time grows with the page,
+    however deep its elements lie: the depths of open tags are kept by name.
     """
     nodes = [Node("#root", -1, (), None, False, False)]
     stack: list[tuple[str, int]] = [("#root", 0)]
@@ -75,7 +76,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     parts: list[str] = []
     links = 0
     silent: list[tuple[int, bool]] = []  # depth in the stack, and whether the next block ends it
+    endings: list[int] = []  # depths of those that it ends
     left_open = None
+    depths: dict[str, list[int]] = {}  # of each open tag, and "" of all that are not inline
     at = 0
 
     def flush():
@@ -88,13 +91,27 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def stack_node():
         return stack[-1][1]
 
+    def push(tag, node):
+        nonlocal links
+        for name in (tag,) if tag in INLINE else (tag, ""):
+            depths.setdefault(name, []).append(len(stack))
+        stack.append((tag, node))
+        links += tag == "a"
+
+    def nearest(tags):
+        return max([depths[t][-1] for t in tags if depths.get(t)], default=0)
+
     def close(depth):
         nonlocal links
         if not (silent and depth >= silent[0][0]) and any(tag not in INLINE or stack[depth - 1][1] != own for tag, own in stack[depth:]):
             flush()
         while silent and silent[-1][0] >= depth:
-            silent.pop()
-        links -= sum(tag == "a" for tag, _ in stack[depth:])
+            if silent.pop()[1]:
+                endings.pop()
+        for tag, _ in stack[depth:]:
+            for name in (tag,) if tag in INLINE else (tag, ""):
+                depths[name].pop()
+            links -= tag == "a"
         del stack[depth:]
 
     def say(raw):
@@ -109,42 +126,40 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.linked += n
             parts.append(text)
 
-    end = len(page)
+    end, last = len(page), page.rfind(">") + 1  # no tag ends behind
     while at < end:
-        found = TOKEN.search(page, at)
+        found = TOKEN.search(page, at, last) if at < last else None
         if not found:
-            say(page[at:])
+            comment = page.find("<!--", at)
+            say(page[at : comment if comment >= 0 else end])
             break
         if found.start() > at:
             say(page[at : found.start()])
         at = found.end()
         tag = found.group(2)
         if tag is None:
+            if found.group().startswith("<!--") and not found.group().endswith("-->"):
+                break  # a comment to the end of the page
             continue
         tag = tag.lower()
         if found.group(1):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
+            depth = nearest((tag,))
+            if depth and not (tag in INLINE and nearest(("",)) > depth):
+                close(depth)
             continue
         if silent and stack[-1][0] == "head" and tag not in IN_HEAD:
             close(silent[-1][0])
         if tag in CLOSES_P or tag in BOUNDS or tag == "body":
-            for depth, ends in silent:
-                if ends:
-                    close(depth)
-                    break
+            if endings:
+                close(endings[0])
         if tag in RAW:
             if not silent:
                 flush()
-            closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
             at = closing.end() if closing else end
             continue
         if tag in SILENT or silent:
-            if tag in VOID or ((tag == "svg" or any(t == "svg" for t, _ in stack)) and EMPTY.search(found.group(3))):
+            if tag in VOID or ((tag == "svg" or depths.get("svg")) and EMPTY.search(found.group(3))):
                 continue
             if not silent and tag != "noscript":
                 flush()
@@ -152,27 +167,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if left_open is None:
                     left_open = _left_open(page)
                 silent.append((len(stack), tag != "head" and found.start() in left_open))
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
+                if silent[-1][1]:
+                    endings.append(len(stack))
+            push(tag, stack[-1][1])
             continue
         if tag == "br" or tag == "hr":
             parts.append(" ")
         if tag in VOID:
             continue
         if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] in BOUNDS["p"]:
-                    break
+            depth = nearest(("p",))
+            if depth > nearest(BOUNDS["p"]):
+                close(depth)
         if tag in SIBLINGS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in SIBLINGS[tag]:
-                    close(depth)
-                    break
-                if stack[depth][0] in BOUNDS.get(tag, ()):
-                    break
+            depth = nearest(SIBLINGS[tag])
+            if depth > nearest(BOUNDS.get(tag, ())):
+                close(depth)
         words, mark, around = (), None, nodes[stack[-1][1]]
         if found.group(3) and "=" in found.group(3):
             for kind, *values in MARKS.findall(found.group(3)):
@@ -183,14 +193,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     words += tuple(NAME.findall(value))
         against = tag in AGAINST_TAGS or not AGAINST.isdisjoint(words)
         if tag in INLINE and not against:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
+            push(tag, stack[-1][1])
             continue
         flush()
         within = tag in ("article", "main") or not FOR.isdisjoint(words)
         nodes.append(Node(tag, stack[-1][1], words, mark, against or around.against, within or around.within))
-        stack.append((tag, len(nodes) - 1))
-        links += tag == "a"
+        push(tag, len(nodes) - 1)
     flush()
     for own, text in blocks:
         nodes[own].sentence |= text[-1:] in ".!?…。" or ". " in text

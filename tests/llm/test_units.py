@@ -187,3 +187,32 @@ def test_joining_links_join_what_links_once():
     assert components(zip(left, right)) == components((a, b) for a, b in zip(i, j) if linked(a, b))
     none = np.empty(0, np.int64)
     assert not len(jaccard.joining_links(none, none, [], none)[0])
+
+
+def test_page_time_grows_with_the_page():
+    import time
+
+    from lotwise.llm.dom import parse
+
+    half = 500_000
+    pages = {
+        "open tags": "<a " * (half // 3), "svg": "<svg " * (half // 5), "deep": "<blockquote>" * (half // 12),
+        "items": "<div>" * (half // 10) + "<li></li>" * (half // 18), "ends": "<div>" * (half // 10) + "</q>" * (half // 8),
+        "bound": "<p><li>" * (half // 14) + "<blockquote>" * (half // 24), "silent": "<button>" * (half // 16) + "<div>" * (half // 10),
+    }
+    for name, page in pages.items():
+        start = time.perf_counter()
+        nodes, blocks = parse(page + "<p>The end.</p>")
+        assert time.perf_counter() - start < 4, name
+        if name not in ("open tags", "svg"):
+            assert blocks[-1][1] == "The end.", name
+
+
+def test_comments_and_ends_without_a_bracket():
+    from lotwise.llm.dom import parse
+
+    for page, texts in (
+        ("<p>one</p><!-- <p>two</p>", ["one"]), ("<p>one</p> two <!-- three", ["one", "two"]), ("<p>one</p> 1 < 2 <b", ["one", "1 < 2 <b"]),
+        ("<p>one<script>x</script", ["one"]), ("<!-- a --><p>one<!-- b -->two", ["onetwo"]),
+    ):
+        assert [t for _, t in parse(page)[1]] == texts, page
