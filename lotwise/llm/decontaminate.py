@@ -22,49 +22,45 @@ REACH = WINDOW - GRAM  # a gram of a window starts at most so many words after i
 KEY = ["__a", "__b"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# The same words; single characters, which Java looks up in one table, and not ranges, which it tries in turn
+LISTED_WORD = "[^" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum() or chr(c).isupper()) + "]+"
 
 
 def words(text: Column) -> Column:
-    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    lower = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    found = F.regexp_extract_all(lower, F.lit(LISTED_WORD), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def _hash(first: int, n: int) -> str:
-    return f"xxhash64({', '.join(f'h.`{first + i}`' for i in range(n))})"
+    return f"xxhash64({', '.join(f'get(w, at + {first + i})' for i in range(n))})"
 
 
 def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per word position ``at`` (from 0) with the hashes from there on.
+    """One row per word position ``at`` (from 0) with all hashes: w of the words, g of the grams.
 
-    h.`1` … h.`WINDOW` are the words from the position, null beyond the end, and
-    h.`0` the word before.
+    The arrays are only read from until the next projection, never written per position.
     """
     hashed = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    n = F.size("w")
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("w", 1, F.greatest(n - 1, F.lit(0))))
-    shifts = [F.when(n > i, F.slice("w", i + 1, n)).otherwise(F.array().cast("array<bigint>")) for i in range(WINDOW)]
-    names = [f"s{i}" for i in range(WINDOW + 1)]
-    shifted = hashed.where(n > 0).select(*keys, *[c.alias(name) for c, name in zip([before, *shifts], names)])
-    fields = ", ".join(f"`{i}`: BIGINT" for i in range(WINDOW + 1))
-    zipped = F.arrays_zip(*names).cast(f"array<struct<{fields}>>")
-    return shifted.select(*keys, F.posexplode(zipped).alias("at", "h"))
+    after = ", ".join(f"get(w, i + {i})" for i in range(1, GRAM))
+    starts = f"slice(w, 1, greatest(size(w) - {GRAM - 1}, 0))"
+    hashed = hashed.select(*keys, "w", F.expr(f"transform({starts}, (x, i) -> xxhash64(x, {after}))").alias("g"))
+    # of a plain column Spark would also ask for its size, below, where the words would be cut once more
+    return hashed.select(*keys, "w", "g", F.posexplode(F.expr("slice(w, 1, size(w))")).alias("at", "own"))
 
 
-def _fingerprints(positions: DataFrame, keys: list[str]) -> DataFrame:
-    """Winnowed fingerprints, where the least gram is another than one word before.
+def _is_fingerprint() -> tuple[str, str]:
+    """(condition, gram): winnowed fingerprints, where the least gram is another than one word before.
 
     Of equal grams the leftmost counts, so a window's gram is another one too if the
     window before began with it. In periodic text that is every window of a run of
     equal values; with at most ``REACH + 1`` windows to a gram, every window has the
     fingerprint of one that starts at most ``REACH`` words before it.
     """
-    grams = [_hash(1 + i, GRAM) for i in range(REACH + 1)]
-    least = positions.where(f"h.`{WINDOW}` IS NOT NULL").selectExpr(
-        *keys, "at", "h.`0` IS NULL AS first", f"least({', '.join(grams)}) AS print",
-        f"least({_hash(0, GRAM)}, {', '.join(grams[:-1])}) AS previous", f"{_hash(0, GRAM)} AS before",
-    )
-    return least.where("first OR print <> previous OR print = before").select(*keys, "at", "print")
+    grams = [f"get(g, at + {i})" for i in range(-1, REACH + 1)]
+    least, previous = f"least({', '.join(grams[1:])})", f"least({', '.join(grams[:-1])})"
+    changed = f"(at = 0 OR {least} <> {previous} OR {least} = {grams[0]})"
+    return f"(at + {WINDOW} <= size(w) AND {changed})", least
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, staging: Staging | None = None) -> DataFrame:
@@ -85,28 +81,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, staging: Staging | None
     windows = staging.table(windows, "windows")
     short = [r[0] for r in items.where(f"size(words) < {WINDOW}").select(F.size("words")).distinct().collect()]
 
-    known = _fingerprints(_positions(items, ["item_id"]), ["item_id"]).selectExpr("print", f"{WINDOW} AS span")
+    chosen, gram = _is_fingerprint()
+    known = _positions(items, ["item_id"]).where(chosen).selectExpr(f"{gram} AS print", f"{WINDOW} AS span")
     for n in sorted(short):  # at most WINDOW - 1 lengths
         alike = items.where(f"size(words) = {n}").select(F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
         known = known.unionByName(alike.selectExpr(f"xxhash64({', '.join(f'w[{i}]' for i in range(n))}) AS print", f"{n} AS span"))
     known = staging.table(known.distinct(), "fingerprints").selectExpr("print AS known", "span AS known_span")
 
     placed = _positions(rows.select(*KEY, words(F.col("text")).alias("words")), KEY)
-    prints = _fingerprints(placed, KEY).selectExpr(*KEY, "at", "print", f"{WINDOW} AS span")
+    # the last position, which begins no window of so many words, tells the number of words
+    last = "at + 1 = size(w)"
+    prints = placed.where(f"{last} OR {chosen}").selectExpr(
+        *KEY, "at", f"IF({last}, NULL, {gram}) AS print", f"{WINDOW} AS span", f"IF({last}, size(w), NULL) AS n_words"
+    )
     if short:
         tests = ", ".join(
-            f"IF(h.`{n}` IS NOT NULL, named_struct('print', {_hash(1, n)}, 'span', {n}), NULL)" for n in sorted(short)
+            f"IF(at + {n} <= size(w), named_struct('print', {_hash(0, n)}, 'span', {n}), NULL)" for n in sorted(short)
         )
         whole = placed.select(*KEY, "at", F.explode(F.expr(f"array({tests})")).alias("t")).where("t IS NOT NULL")
-        prints = prints.unionByName(whole.select(*KEY, "at", "t.print", "t.span"))
-    hits = prints.join(known, F.expr("print = known AND span = known_span"), "left_semi")
-    around = f"IF(span < {WINDOW}, array(at), sequence(at, at + {REACH}))"
-    hits = hits.select(*KEY, "span", F.explode(F.expr(around)).alias("at")).distinct()
-    hits = hits.groupBy(*KEY).agg(F.collect_list(F.struct("at", "span")).alias("tests"))  # of one document
-    hits = staging.table(hits, "hits")
+        prints = prints.unionByName(whole.selectExpr(*KEY, "at", "t.print", "t.span", "CAST(NULL AS INT) AS n_words"))
+    hits = prints.join(known, F.expr("print = known AND span = known_span"), "left").where("known IS NOT NULL OR n_words IS NOT NULL")
+    around = f"CASE WHEN n_words IS NOT NULL THEN array(-1) WHEN span < {WINDOW} THEN array(at) ELSE sequence(at, at + {REACH}) END"
+    hits = hits.select(*KEY, "span", "n_words", F.explode(F.expr(around)).alias("at")).distinct()
+    hits = hits.groupBy(*KEY).agg(  # of one document
+        F.expr("collect_list(struct(at, span)) FILTER (WHERE at >= 0)").alias("tests"), F.max("n_words").cast("bigint").alias("n_words")
+    )
+    hits = staging.table(hits, "hits")  # a row for each document with words
 
     # hits grow with the documents: joined by shuffle at every size
-    tested = rows.select(*KEY, "text").join(hits.hint("merge"), KEY).dropDuplicates(KEY)
+    tested = rows.select(*KEY, "text").join(hits.where("size(tests) > 0").hint("merge"), KEY).dropDuplicates(KEY)
     tested = tested.select(*KEY, words(F.col("text")).alias("words"), "tests")
     tested = tested.select(*KEY, F.explode(F.expr(
         "transform(tests, t -> named_struct('at', t.at, 'span', t.span, "
@@ -121,11 +124,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, staging: Staging | None
         F.expr("window = listed"),
     )
     named = named.select(*KEY, "item").distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found = staging.table(covered.join(named, KEY, "left"), "found")
-    return rows.select("doc_id", *KEY, F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("bigint").alias("n_words")).join(
-        found, KEY, "left"
+    found = hits.select(*KEY, "n_words").join(covered, KEY, "left").join(named, KEY, "left")
+    found = staging.table(found, "found")
+    return rows.select("doc_id", *KEY).join(
+        found.hint("merge"), KEY, "left"
     ).selectExpr(
-        "doc_id", "n_words", "coalesce(hit, 0L) AS n_hit", "CAST(coalesce(size(items), 0) AS BIGINT) AS n_items",
+        "doc_id", "coalesce(n_words, 0L) AS n_words", "coalesce(hit, 0L) AS n_hit", "CAST(coalesce(size(items), 0) AS BIGINT) AS n_items",
         "sha2(coalesce(array_join(items, ','), ''), 256) AS items_sha256", "hit IS NOT NULL AS contaminated", *KEY,
     )
 
