@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 18
+BATCH_ROWS = 2000
+
+
+def once_a_process(key: object, make: Callable[[], object]):
+    """What ``make`` gives, made once in a worker process and kept until another key is asked for.
+
+    The modules of this package travel with each task, so their globals last one task only.
+    """
+    kept = sys.__dict__.setdefault("_lotwise_kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Jobs that run inside hand at most ``rows`` rows with texts or sets to Python at once.
+
+    A batch is held by the JVM, outside its heap and in buffers that double, and by the
+    worker. The session's own setting holds if it is lower, and again afterwards.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.arrow import batch, text_slices
+from lotwise.llm.arrow import batch, once_a_process, small_batches, text_slices
+from lotwise.llm.byte_words import JOINED, LETTERS, ByteWords, only_letters
 from lotwise.llm.huffman import Decoder, canonical_codes, code_lengths, encode
 from lotwise.staging import Staging
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 16
-CACHED = 800_000  # pieces a worker process remembers
+CACHED = 600_000  # pieces a worker process remembers
 SLICE = 1 << 22
 # White space of Unicode, as code points.
 _SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # A blank inside a run of white space, where pre-tokens do not start
 INSIDE = rf"[{_SPACE}] (?:[{_SPACE}]|\z)|\x00"
-# Pre-tokens start between an ASCII letter and one of these signs, too; _CLOSE marks such a place.
-_SIGNS = r"([A-Za-z])([.,;:!?])"
+# Pre-tokens start between a letter and one of these signs, too; _CLOSE marks such a place.
+_SIGNS = rf"([{LETTERS}])([.,;:!?$%&*])"
 _CLOSE = "\0"
 
 
@@ -54,14 +56,16 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each id: a character of its name is a byte
         for name, i in vocabulary.items():
             self.bytes[i] = len(name)
+        self.letters = ByteWords(self.tokenizer, self.bytes)
         self.forget()
 
     def forget(self):
-        self.known: dict[str, int] = {"": 0}
+        self.known: tuple[dict[str, int], ...] = ({}, {})  # words without and with a blank before
+        self.entries = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _joined(self, pieces: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of pieces that are cut again where they were, being joined, at their blanks."""
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum([len(p.encode()) for p in pieces])
@@ -75,26 +79,35 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.fromiter((i for own in ids for i in own), np.uint32), np.array([len(own) for own in ids])
 
-    def learn(self, pieces: list[str]):
-        """Have the library encode new pieces, those of a blank and a word many at a time."""
-        apart = np.array([p[0] != " " or len(p.split()) != 1 or p[-1].isspace() for p in pieces], bool)
-        for way in (False, True):
-            own = np.flatnonzero(apart == way)
-            for start in range(0, len(own), 1000):
-                texts = [pieces[k] for k in own[start : start + 1000]]
-                self._remember(texts, *((None if way else self._joined(texts)) or self._apart(texts)))
-
-    def _remember(self, pieces: list[str], flat: np.ndarray, counts: np.ndarray):
+    def learn(self, words: list[str], letters: np.ndarray, blank: int):
+        """Have the library encode new pieces, many at a time: words of letters, of a blank and a word, or any."""
+        ways = ([], [], [])
+        for k, w in enumerate(words):
+            if letters[k]:
+                ways[0].append((w, w))
+                continue
+            p = w if not blank else w[1:] if w[:1] == _CLOSE else " " + w
+            ways[2 if p[:1] != " " or len(p.split()) != 1 or p[-1].isspace() else 1].append((w, p))
+        for way, own in zip((lambda p: self.letters(p, blank), self._joined, lambda p: None), ways):
+            for start in range(0, len(own), JOINED):
+                known, pieces = zip(*own[start : start + JOINED])
+                found = way(pieces)
+                if found is None:
+                    found = self._apart([" " + w for w in known] if own is ways[0] and blank else list(pieces))
+                self._remember(known, blank, *found)
+
+    def _remember(self, words: list[str], blank: int, flat: np.ndarray, counts: np.ndarray):
         if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.uint32)])
-        at, n = len(self.known), len(counts)
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 2 + len(flat), np.uint32)])
+        at, n = self.entries, len(counts)
         if at + n > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros(len(x) + n, np.int64)]) for x in (self.first, self.count))
+            self.first, self.count = (np.concatenate([x, np.zeros(len(x) // 2 + n, np.int64)]) for x in (self.first, self.count))
         self.flat[self.used : self.used + len(flat)] = flat
         self.first[at : at + n] = self.used + np.cumsum(counts) - counts
         self.count[at : at + n] = counts
-        self.known.update(zip(pieces, range(at, at + n)))
+        self.known[blank].update(zip(words, range(at, at + n)))
         self.used += len(flat)
+        self.entries += n
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each document) of UTF-8 bytes."""
@@ -103,19 +116,23 @@ class Encoder:
         listed = pc.split_pattern(pc.replace_substring_regex(texts, _SIGNS, rf"\1 {_CLOSE}\2"), " ")
         edges = listed.offsets.to_numpy()
         coded = listed.flatten().dictionary_encode()
-        words, where = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        letters, where = only_letters(coded.dictionary), coded.indices.to_numpy()
         # all parts of a text but the first follow a blank, unless marked
         after = np.ones(len(where), np.int64)
         after[edges[:-1][np.diff(edges) > 0]] = 0
-        if len(self.known) > CACHED:
+        if self.entries > CACHED:
             self.forget()
         entry = np.zeros((len(words), 2), np.int64)
-        for kind in (0, 1):
-            used = np.flatnonzero(np.bincount(where[after == kind], minlength=len(words)))
-            own = [words[k] for k in used.tolist()]
-            pieces = [w[1:] if w[:1] == _CLOSE else " " + w for w in own] if kind else own
-            self.learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-            entry[used, kind] = [self.known[p] for p in pieces]
+        for blank in (0, 1):
+            used = np.flatnonzero(np.bincount(where[after == blank], minlength=len(words)))
+            own = words[used].tolist()
+            found = np.fromiter(map(self.known[blank].get, own, repeat(-1)), np.int64, len(own))
+            new = np.flatnonzero(found < 0)
+            fresh = [own[k] for k in new.tolist()]
+            self.learn(fresh, letters[used[new]], blank)
+            found[new] = np.fromiter(map(self.known[blank].__getitem__, fresh), np.int64, len(fresh))
+            entry[used, blank] = found
         entry = entry[where, after]
         n = self.count[entry]
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
@@ -131,14 +148,9 @@ class Encoder:
         return ids, per_doc
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process, so that tasks share what it has learnt."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return once_a_process(("Encoder", path), lambda: Encoder(path))
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -160,15 +172,16 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """Ids for a shuffle: byte planes of 16 or 32-bit numbers, deflated, and their width."""
+    """Ids for a shuffle: byte planes of 16 or 32-bit numbers, compressed, and their number and width."""
     width = 2 if ids.max(initial=0) < 1 << 16 else 4
-    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + zlib.compress(planes, 1)
+    planes = np.ascontiguousarray(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return (len(ids) << 3 | width).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    head = int.from_bytes(data[:8], "little")
+    n, width = head >> 3, head & 7
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], n * width, "zstd"), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint32)
 
 
@@ -224,7 +237,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """
     spark = docs.sparkSession
     staging = staging or Staging(spark)
-    ids = staging.table(token_ids(docs, tokenizer, end_id), "ids")
+    with small_batches(spark):
+        ids = staging.table(token_ids(docs, tokenizer, end_id), "ids")
     pairs = id_counts(ids).collect()  # at most one row per id of the vocabulary
     counts = np.zeros(max([end_id, *[r["id"] for r in pairs]]) + 1, np.int64)
     for r in pairs:
