@@ -21,6 +21,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.arrow import text_slices
+from lotwise.llm.arrow import once_a_process, small_batches, text_slices
+from lotwise.llm.byte_words import LETTERS, ByteWords, only_letters
 from lotwise.staging import Staging
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,11 +40,11 @@ END_ID = 1
 WINDOWS = 32
 SLACK = 16
 FAN_IN = 16
-CACHED = 300_000  # words that a worker process remembers
+CACHED = 500_000  # words that a worker process remembers
 SLICE = 1 << 21
 JOINED = 1000  # words given to the library at once
-# No token reaches over white space, nor from an ASCII letter to one of these signs.
-_SIGNS = r"([A-Za-z])([.,;:!?])"
+# No token reaches over white space, nor from a letter to one of these signs.
+_SIGNS = rf"([{LETTERS}])([.,;:!?$%&*])"
 
 
 class WordEncoder:
@@ -54,28 +56,22 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of an id's name is a byte
         for name, i in vocabulary.items():
-            self.ends_word[i] = name.endswith("</w>")
-        self.width = 2 if len(self.ends_word) <= 1 << 16 else 4
+            bytes_of[i] = len(name.removesuffix("</w>"))
+        self.letters = ByteWords(self.library, bytes_of)
+        self.width = 2 if len(bytes_of) <= 1 << 16 else 4
         self.forget()
 
     def forget(self):
         self.known: dict[str, int] = {}
         self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _one_token_run_each(self, words: list[str]):
-        """Ids of words of letters: a token that ends a word closes each."""
+    def _of_letters(self, words: list[str]):
         found = []
         for start in range(0, len(words), JOINED):
             part = words[start : start + JOINED]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            last = np.flatnonzero(self.ends_word[ids])
-            if len(last) != len(part) or last[-1] != len(ids) - 1:
-                ids, sizes = self._any(part)
-            else:
-                sizes = np.diff(last, prepend=-1)
-            found.append((ids, sizes))
+            found.append(self.letters([w.lower() for w in part], 0) or self._any(part))
         return _joined(found)
 
     def _any(self, words: list[str]):
@@ -86,12 +82,11 @@ class WordEncoder:
             found.append((np.array(own.ids, np.int64), np.bincount(np.array(own.word_ids, np.int64), minlength=len(part))))
         return _joined(found)
 
-    def learn(self, words: list[str]):
-        letters = [w for w in words if w.isalpha()]
-        others = [w for w in words if not w.isalpha()]
-        ids, sizes = _joined([self._one_token_run_each(letters), self._any(others)])
+    def learn(self, words: list[str], letters: np.ndarray):
+        own, others = ([words[k] for k in np.flatnonzero(kind).tolist()] for kind in (letters, ~letters))
+        ids, sizes = _joined([self._of_letters(own), self._any(others)])
         first = len(self.known)
-        self.known.update(zip(letters + others, range(first, first + len(words))))
+        self.known.update(zip(own + others, range(first, first + len(words))))
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
 
@@ -101,11 +96,15 @@ class WordEncoder:
         listed = pc.ascii_split_whitespace(texts)
         edges = listed.offsets.to_numpy() - listed.offsets[0].as_py()
         coded = listed.flatten().dictionary_encode()
-        words, where = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, where = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) > CACHED:
             self.forget()
-        self.learn([w for w in words if w not in self.known])
-        entry = np.fromiter((self.known[w] for w in words), np.int64, len(words))[where]
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        fresh = [words[k] for k in new.tolist()]
+        self.learn(fresh, only_letters(coded.dictionary)[new])
+        found[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        entry = found[where]
         sizes = np.diff(self.bounds)[entry]
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         at = np.repeat(self.bounds[entry] - total[:-1], sizes) + np.arange(total[-1])
@@ -116,14 +115,9 @@ def _joined(parts):
     return tuple(np.concatenate([np.zeros(0, np.int64), *own]) for own in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One for each worker process, so that tasks share what it has learnt."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return once_a_process(("WordEncoder", path), lambda: WordEncoder(path))
 
 
 # ---- windows ---------------------------------------------------------------
@@ -330,7 +324,8 @@ def pack(
     staging = staging or Staging(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     limits = (capacity, windows, slack)
-    found = staging.table(rows.mapInArrow(_packed(tokenizer, end_id, *limits), _FIELDS), "round0")
+    with small_batches(docs.sparkSession):
+        found = staging.table(rows.mapInArrow(_packed(tokenizer, end_id, *limits), _FIELDS), "round0")
     parts = (found.agg(F.max("part")).first()[0] or 0) + 1
     rounds, width = [found.where("NOT open")], encoder(tokenizer).width
     while parts:
