@@ -29,9 +29,11 @@ def _staging(spark) -> Staging:
 def language_id(spark, docs, sf_dir):
     """Drop documents without letters or without a clear language."""
     model = language.train(language.training_rows(docs), staging=_staging(spark))
-    rows, restore = set_aside(docs, "text")
-    known = language.predict(rows, model).where(f"lang_pred <> '{language.UNDETERMINED}' AND score >= {LEAST_SCORE}")
-    return known.select(*restore())
+    # every column goes to Python and back, the text once
+    names = ["text" if c == "text" else f"in_{i}" for i, c in enumerate(docs.columns)]
+    known = language.predict(docs.toDF(*names), model)
+    known = known.where(f"lang_pred <> '{language.UNDETERMINED}' AND score >= {LEAST_SCORE}")
+    return known.select(names).toDF(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):

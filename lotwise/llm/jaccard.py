@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.arrow import as_bytes, batch, text_slices
+from lotwise.llm.arrow import as_bytes, batch, small_batches, text_slices
 from lotwise.llm.graph import connected_components
 from lotwise.llm.rolling import NOT_SPACE, Rolling, mix, word_hashes, word_spans
 from lotwise.llm.tables import keyed, row_key, set_aside
@@ -520,8 +520,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, staging: Staging
     least, unless alone. __a and __b are the row key of ``tables.keyed``.
     """
     staging = staging or Staging(docs.sparkSession)
-    join = _Join(docs, percent, staging)
-    components = connected_components(join.links(), staging)
+    with small_batches(docs.sparkSession):
+        join = _Join(docs, percent, staging)
+        links = join.links()
+    components = connected_components(links, staging)
     components = join.classes.select("class", "least").join(components, F.expr("class = id"), "left")
     components = components.selectExpr("class", "least", "coalesce(component, class) AS component")
     components = staging.table(components, "components")
