@@ -10,6 +10,10 @@ Blocking. Of two linked sets, each has one of its ``n - ceil(t * n) + 1`` first
 shingles in common with the other's, in any fixed order. The order puts shingles
 of crowded buckets last (document counts of ``2**BUCKET_BITS`` hash buckets, from
 all documents), so a passage that many documents share does not bring them together.
+The place of a shingle bounds the overlap of sets that have it as their first one in
+common, and so the size of a partner, the reach. Classes with a common shingle make
+blocks in order of size, cut where no reach goes on; in a block only classes that
+reach each other are compared. The block of their first common shingle keeps a pair.
 
 Bound. Shingles are hashed into groups, one or two for each shingle of the set
 and ``GROUPS`` at least; a class is a point of group counts. The overlap of two
@@ -48,6 +52,7 @@ SHINGLE = 5
 PERCENT = 75
 GROUPS = 64
 BUCKET_BITS = 16
+REACH_BITS = 32  # of a size, below the number of shingles
 LEAF, FAN = 32, 16
 PART = 256  # classes of a block in one part
 TURNS = 2  # further classes of each block that all others are tested with
@@ -56,12 +61,8 @@ _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE, table: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle) of every distinct shingle, sorted by both.
-
-    ``table`` chooses one of two independent hashes of the words.
-    Documents with fewer words than ``k`` have their whole sequence as shingle.
-    """
+def _shingles(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE, table: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of every shingle in order of the text; see ``shingle_sets``."""
     data = _ASCII_LOWER[data]
     starts, ends, words = word_spans(data, bounds, NOT_SPACE)
     rolling = Rolling(word_hashes(data, starts, ends, table))
@@ -69,12 +70,26 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE, table:
     n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(len(counts)), n)
     first = np.repeat(words[:-1], n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    shingles = rolling.spans(first, first + np.minimum(counts, k)[doc])
-    order = np.lexsort((shingles, doc))
-    doc, shingles = doc[order], shingles[order]
+    return doc, rolling.spans(first, first + np.minimum(counts, k)[doc])
+
+
+def _distinct(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each document, sorted by both; ``doc`` is sorted, ``values`` sorted in place."""
+    starts = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
+    for low, high in zip(starts, [*starts[1:], len(doc)]):
+        values[low:high].sort()
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (shingles[1:] != shingles[:-1])
-    return doc[new], shingles[new]
+    new[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
+    return doc[new], values[new]
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE, table: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of every distinct shingle, sorted by both.
+
+    ``table`` chooses one of two independent hashes of the words.
+    Documents with fewer words than ``k`` have their whole sequence as shingle.
+    """
+    return _distinct(*_shingles(data, bounds, k, table))
 
 
 def _totals(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -123,54 +138,76 @@ def _describe(batches):
 
 
 def _prefixes(crowd: np.ndarray, percent: int):
-    """Task: (shingle, class, n) of the first shingles of each class."""
-    schema = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("n", pa.int64())])
+    """Task: (shingle, class, size) of the first shingles of each class.
+
+    ``size`` holds the number of shingles, and below it the reach: as many as a set may
+    have that links and has this shingle as its first one in common. From the place of the
+    shingle on, the set has ``left`` shingles, and the overlap is no more.
+    """
+    schema = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("size", pa.int64())])
+    shift = np.uint64(64 - BUCKET_BITS)
+
+    def swapped(values, table):
+        upper = values >> shift
+        return values ^ ((upper ^ table[upper.astype(np.int64)]) << shift)
 
     def task(batches):
         seen = np.empty(0, np.int64)
+        # a bucket is the upper bits of its shingles; in their place, its number in order of crowds
+        bucket = np.argsort(crowd, kind="stable").astype(np.uint64)
+        number = np.empty_like(bucket)
+        number[bucket.astype(np.int64)] = np.arange(len(bucket), dtype=np.uint64)
         for rows in batches:
             for first, last, data, bounds in text_slices(rows["text"]):
-                doc, shingles = shingle_sets(data, bounds)
+                doc, shingles = _shingles(data, bounds)
+                doc, ordered = _distinct(doc, swapped(shingles, number))
+                shingles = swapped(ordered, bucket)
                 names = _class_names(doc, shingles, last - first)
                 sizes = np.bincount(doc, minlength=last - first)
                 fresh = np.zeros(len(names), bool)  # copies within the task speak once
                 fresh[np.unique(names, return_index=True)[1]] = True
                 fresh &= ~np.isin(names, seen)
                 seen = np.union1d(seen, names[fresh])
-                keep = fresh[doc]
-                doc, shingles = doc[keep], shingles[keep]
-                order = np.lexsort((shingles, crowd[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], doc))
-                doc, shingles = doc[order], shingles[order]
-                rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                prefix = sizes - (sizes * percent + 99) // 100 + 1
-                chosen = rank < prefix[doc]
-                doc = doc[chosen]
-                yield batch(schema, shingles[chosen].view(np.int64), names[doc], sizes[doc])
+                left = np.cumsum(sizes)[doc] - np.arange(len(doc))
+                reach = (100 + percent) * left // percent - sizes[doc]
+                chosen = fresh[doc] & (100 * left >= percent * sizes[doc])
+                doc, reach = doc[chosen], reach[chosen]
+                yield batch(schema, shingles[chosen].view(np.int64), names[doc], sizes[doc] << REACH_BITS | reach)
 
     return task
 
 
 def _shared(batches):
-    """Task: (shingle, least class, its n, class, n) for shingles of several classes.
+    """Task: (block, first class, its n, its reach, class, n, reach) for shingles of several classes.
 
-    The stream is sorted by shingle and class; nothing of a block is held but its
-    least class.
+    The stream is sorted by shingle, size and class. A shingle makes a block of its
+    classes, or several: one ends where no class so far reaches the size of the next.
+    A class that does not reach the least size of its block links with none in it.
+    Nothing of a block is held but its first class and the longest reach.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("shingle", "first", "first_n", "class", "n")])
+    schema = pa.schema([(c, pa.int64()) for c in ("block", "first", "first_n", "first_reach", "class", "n", "reach")])
     held = None
     for rows in batches:
         if not rows.num_rows:
             continue
-        shingle, name, n = (rows[c].to_numpy() for c in ("shingle", "class", "n"))
+        shingle, name, size = (rows[c].to_numpy() for c in ("shingle", "class", "size"))
         if held is not None:
-            shingle, name, n = (np.concatenate([[h], x]) for h, x in zip(held, (shingle, name, n)))
+            shingle, name, size = (np.concatenate([[h], x]) for h, x in zip(held, (shingle, name, size)))
+        n, reach = size >> REACH_BITS, size & ((1 << REACH_BITS) - 1)
         new = np.ones(len(shingle), bool)
         new[1:] = shingle[1:] != shingle[:-1]
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        other = name != name[lead]
-        other[1:] &= (name[1:] != name[:-1]) | new[1:]
-        held = (shingle[-1], name[lead[-1]], n[lead[-1]])
-        yield batch(schema, shingle[other], name[lead][other], n[lead][other], name[other], n[other])
+        # the longest reach of the rows of the shingle up to each
+        of = np.cumsum(new) << REACH_BITS
+        longest = reach if held is None else np.concatenate([held[3:], reach[1:]])
+        far = np.maximum.accumulate(of | longest) - of
+        start = new.copy()
+        start[1:] |= far[:-1] < n[1:]
+        lead = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
+        other = (name != name[lead]) & (reach >= n[lead])
+        other[1:] &= (name[1:] != name[:-1]) | start[1:]
+        held = (shingle[-1], name[lead[-1]], size[lead[-1]], far[-1])
+        by, block = lead[other], mix(shingle.view(np.uint64) + mix(n[lead].astype(np.uint64))).view(np.int64)
+        yield batch(schema, block[other], name[by], n[by], reach[by], name[other], n[other], reach[other])
 
 
 def _points(column: pa.Array) -> list[np.ndarray]:
@@ -301,14 +338,29 @@ def _runs(batches, keys: list[str]):
         yield pa.concat_batches(held)
 
 
-def _candidates(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (n, counts, component) that the bounds leave, of different components."""
+def _candidates(rows: pa.RecordBatch, percent: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (n, counts, component) that the bounds leave, of different components.
+
+    ``near`` says which pairs to ask for; those of one leaf need no tree.
+    """
     n, points = rows["n"].to_numpy(), _points(rows["counts"])
-    i, j = tree_pairs(n, _folded(points, GROUPS), rows["component"].to_numpy(), percent)
+    if near is not None and len(n) <= LEAF:
+        i, j = np.nonzero(np.triu(near, 1))
+    else:
+        i, j = tree_pairs(n, _folded(points, GROUPS), rows["component"].to_numpy(), percent)
+        if near is not None:
+            i, j = i[near[i, j]], j[near[i, j]]
     keep = _may_link(_overlaps(points, points, i, j), n[i], n[j], percent)
     return i[keep], j[keep]
 
 
+def _in_reach(rows: pa.RecordBatch) -> np.ndarray:
+    """Which pairs of rows (n, reach, component) reach each other and are of different components."""
+    n, reach, component = (rows[c].to_numpy() for c in ("n", "reach", "component"))
+    reached = n <= reach[:, None]
+    return reached & reached.T & (component != component[:, None])
+
+
 def _candidate_groups(percent: int):
     """Task: (group, class, component) of classes of a part that the bounds leave a partner.
 
@@ -318,8 +370,13 @@ def _candidate_groups(percent: int):
     schema = pa.schema([(c, pa.int64()) for c in ("group", "class", "component")])
 
     def task(batches):
-        for rows in _runs(batches, ["shingle", "i", "j"]):
-            i, j = _candidates(rows, percent)
+        for rows in _runs(batches, ["block", "i", "j"]):
+            near = _in_reach(rows)
+            some = np.flatnonzero(near.any(axis=0))
+            if not len(some):
+                continue
+            rows, near = rows.take(pa.array(some)), near[np.ix_(some, some)]
+            i, j = _candidates(rows, percent, near)
             label = np.arange(rows.num_rows)
             while (label[i] != label[j]).any():
                 least = np.minimum(label[i], label[j])
@@ -414,10 +471,10 @@ class _Join:
 
     def shared(self) -> DataFrame:
         prefixes = self.rows.select("text").mapInArrow(
-            _prefixes(self.crowd, self.percent), "shingle BIGINT, class BIGINT, n BIGINT"
+            _prefixes(self.crowd, self.percent), "shingle BIGINT, class BIGINT, size BIGINT"
         )
-        prefixes = prefixes.repartition("shingle").sortWithinPartitions("shingle", "class")
-        fields = "shingle BIGINT, first BIGINT, first_n BIGINT, class BIGINT, n BIGINT"
+        prefixes = prefixes.repartition("shingle").sortWithinPartitions("shingle", "size", "class")
+        fields = "block BIGINT, first BIGINT, first_n BIGINT, first_reach BIGINT, class BIGINT, n BIGINT, reach BIGINT"
         return self.staging.table(prefixes.mapInArrow(_shared, fields), "shared")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
@@ -445,26 +502,26 @@ class _Join:
 
     def links(self) -> DataFrame:
         """Enough verified links (a, b) to connect all linked classes."""
-        ratio = f"100 * least(n, first_n) >= {self.percent} * greatest(n, first_n)"
         shared = self.shared()
-        pairs = shared.where(ratio).selectExpr("first AS a", "class AS b").distinct()
+        pairs = shared.where("n <= first_reach AND first_n <= reach").selectExpr("least(first, class) AS a", "greatest(first, class) AS b").distinct()
         links = self.verified(self.bounded(pairs), "least")
-        members = shared.select("shingle", "class").union(shared.select("shingle", "first").distinct())
+        members = shared.select("block", "class", "n", "reach").union(shared.select("block", "first", "first_n", "first_reach").distinct())
         for turn in range(TURNS):
             open_blocks = self.open_blocks(members, links, f"turn{turn}")
-            lead = F.min_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn))).alias("lead")
-            leads = open_blocks.groupBy(F.col("shingle").alias("block")).agg(lead)
-            pairs = join_unique(open_blocks, F.col("shingle"), leads, "block").where("component <> lead.component")
+            lead = F.min_by(F.struct("class", "component", "n", "reach"), F.xxhash64("class", F.lit(turn))).alias("lead")
+            leads = open_blocks.groupBy(F.col("block").alias("__block")).agg(lead)
+            pairs = join_unique(open_blocks, F.col("block"), leads, "__block")
+            pairs = pairs.where("component <> lead.component AND n <= lead.reach AND lead.n <= reach")
             pairs = pairs.selectExpr("least(class, lead.class) AS a", "greatest(class, lead.class) AS b").distinct()
             links = links.unionByName(self.verified(self.bounded(pairs), f"turn{turn}"))
         members = self.open_blocks(members, links, "tree")
         members = members.withColumn("parts", F.expr(f"CAST(ceil(size / {PART}) AS INT)"))
         members = members.withColumn("part", F.expr("pmod(xxhash64(class), parts)"))
         parts = "transform(sequence(0, parts - 1), x -> named_struct('i', least(part, CAST(x AS BIGINT)), 'j', greatest(part, CAST(x AS BIGINT))))"
-        members = members.select("shingle", "class", "component", F.explode(F.expr(parts)).alias("p")).select("*", "p.i", "p.j").drop("p")
+        members = members.select("block", "class", "component", "reach", F.explode(F.expr(parts)).alias("p")).select("*", "p.i", "p.j").drop("p")
         known = self.classes.selectExpr("class AS __class", "n", "counts")
-        by = ["shingle", "i", "j"]
-        members = join_unique(members, F.col("class"), known, "__class").select(*by, "class", "component", "n", "counts")
+        by = ["block", "i", "j"]
+        members = join_unique(members, F.col("class"), known, "__class").select(*by, "class", "component", "reach", "n", "counts")
         members = members.repartition(*by).sortWithinPartitions(*by)
         groups = members.mapInArrow(_candidate_groups(self.percent), "group BIGINT, class BIGINT, component BIGINT")
         groups = self.staging.table(groups.distinct(), "tree-groups")
@@ -484,15 +541,15 @@ class _Join:
         components = self.staging.table(connected_components(links, self.staging), f"{name}-components")
         known = components.selectExpr("id AS __id", "component")
         members = join_unique(members, F.col("class"), known, "__id", "left").selectExpr(
-            "shingle", "class", "coalesce(component, class) AS component"
+            "block", "class", "n", "reach", "coalesce(component, class) AS component"
         )
         members = self.staging.table(members, f"{name}-members")
-        blocks = members.groupBy("shingle").agg(
+        blocks = members.groupBy("block").agg(
             F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
         )
-        blocks = blocks.where("size > 2 AND low < high").selectExpr("shingle AS block", "size")
+        blocks = blocks.where("size > 2 AND low < high").selectExpr("block AS __block", "size")
         blocks = self.staging.table(blocks, f"{name}-blocks")
-        return join_unique(members, F.col("shingle"), blocks, "block").drop("block")
+        return join_unique(members, F.col("block"), blocks, "__block").drop("__block")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, staging: Staging | None = None) -> DataFrame:

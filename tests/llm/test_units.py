@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -189,6 +190,49 @@ def test_joining_links_join_what_links_once():
     assert not len(jaccard.joining_links(none, none, [], none)[0])
 
 
+def _blocks(texts, batch_rows, percent=75):
+    """Of the classes of ``texts``: their sets, and the members of each block with (n, reach)."""
+    rows = pa.RecordBatch.from_pydict({"text": texts})
+    crowd = np.random.default_rng(1).integers(0, 9, 1 << jaccard.BUCKET_BITS)
+    prefixes = pa.Table.from_batches(jaccard._prefixes(crowd, percent)(iter([rows])))
+    prefixes = prefixes.sort_by([(c, "ascending") for c in ("shingle", "size", "class")]).combine_chunks()
+    members = {}
+    for b in jaccard._shared(iter(prefixes.to_batches(batch_rows))):
+        for r in b.to_pylist():
+            own = members.setdefault(r["block"], {r["first"]: (r["first_n"], r["first_reach"])})
+            assert r["first"] != r["class"] and r["first"] in own
+            own[r["class"]] = (r["n"], r["reach"])
+    raw = [t.encode() for t in texts]
+    doc, shingles = jaccard.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    names = jaccard._class_names(doc, shingles, len(texts))
+    return {int(n): set(shingles[doc == k].tolist()) for k, n in enumerate(names)}, members
+
+
+@pytest.mark.parametrize("batch_rows", [7, 100_000])
+def test_linked_classes_reach_each_other_in_a_block(batch_rows):
+    draw, texts = random.Random(7), []
+    for _ in range(12):
+        base = [draw.choice("abcdefgh") + draw.choice("abcdefgh") for _ in range(draw.randint(30, 120))]
+        for _ in range(6):
+            words = base[draw.randint(0, 12) :]
+            words[draw.randrange(len(words))] = "new"
+            texts.append(" ".join(words + ["more"] * draw.randint(0, 3)))
+    sets, members = _blocks(texts, batch_rows)
+    together = set()
+    for own in members.values():
+        for a, (n, reach) in own.items():
+            together |= {(a, b) for b, (m, its) in own.items() if a != b and m <= reach and n <= its}
+    linked = {(a, b) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(linked) > 20 and linked <= together
+
+
+def test_sizes_that_cannot_link_share_no_block():
+    shared = "one passage that all of them share word by word "
+    texts = [shared + " ".join(f"{chr(97 + k)}{i}" for i in range(20 * 2**k)) for k in range(5)]
+    sets, members = _blocks(texts, 100_000)
+    assert len(sets) == 5 and not members
+
+
 def test_page_time_grows_with_the_page():
     import time
 
