@@ -34,7 +34,9 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 16
 CACHED = 600_000  # pieces a worker process remembers
-SLICE = 1 << 22
+SLICE = 1 << 20  # bytes of text encoded at once
+ROWS = 200  # whose ids are counted at once
+BLOCKS = 12  # read at once
 # White space of Unicode, as code points.
 _SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # A blank inside a run of white space, where pre-tokens do not start
@@ -189,19 +191,21 @@ def _ids_of(column: pa.Array) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint32), *[unpacked(d) for d in column.to_pylist()]])
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
-    """(id, count) over all documents; a task sends one row per id at most."""
-
-    def task(batches):
-        counts = np.zeros(0, np.int64)
-        for rows in batches:
-            own = np.bincount(_ids_of(rows["ids"]), minlength=len(counts))
+def _counted(batches):
+    """Task: (id, count) of its rows, unpacked a few at a time."""
+    counts = np.zeros(0, np.int64)
+    for rows in batches:
+        for at in range(0, rows.num_rows, ROWS):
+            own = np.bincount(_ids_of(rows["ids"].slice(at, ROWS)), minlength=len(counts))
             own[: len(counts)] += counts
             counts = own
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "count"])
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "count"])
+
 
-    return ids.select("ids").mapInArrow(task, "id BIGINT, count BIGINT").groupBy("id").agg(F.sum("count").alias("count"))
+def id_counts(ids: DataFrame) -> DataFrame:
+    """(id, count) over all documents; a task sends one row per id at most."""
+    return ids.select("ids").mapInArrow(_counted, "id BIGINT, count BIGINT").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 _BLOCK = pa.schema(
@@ -214,12 +218,12 @@ def _blocks(lengths: np.ndarray, block_ids: int):
     def task(batches):
         codes, part, number = canonical_codes(lengths), TaskContext.get().partitionId(), 0
         for rows in batches:
-            ids, sizes = _ids_of(rows["ids"]), rows["n"].to_numpy()
+            sizes = rows["n"].to_numpy()
             ends, first = np.cumsum(sizes), 0
             while first < len(sizes):
                 low = ends[first] - sizes[first]
                 last = max(first + 1, int(np.searchsorted(ends, low + block_ids, "right")))
-                own = ids[low : ends[last - 1]]
+                own = _ids_of(rows["ids"].slice(first, last - first))
                 stream, marks = encode(own, lengths, codes)
                 members = pa.array([rows["doc_id"].slice(first, last - first).to_pylist()], pa.list_(pa.int64()))
                 yield batch(_BLOCK, [part], [number], members, [sizes[first:last].tolist()], [len(own)], [stream], [marks.astype("<u4").tobytes()])
@@ -275,8 +279,8 @@ def read_token_files(spark: SparkSession, folder: str, keep_ids: bool = False) -
     def task(batches):
         decoder = Decoder(lengths)
         for rows in batches:
-            for at in range(0, rows.num_rows, 32):
-                own = rows.slice(at, 32)
+            for at in range(0, rows.num_rows, BLOCKS):
+                own = rows.slice(at, BLOCKS)
                 marks = [np.frombuffer(m, "<u4") for m in own["checkpoints"].to_pylist()]
                 streams = own["stream"].to_pylist()
                 found = decoder.decode(streams, marks, own["n_ids"].to_pylist())

@@ -88,3 +88,13 @@ def test_pipeline_passes_the_text_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a", "x", "y"), (None, None, "z", None)], "doc_id long, text string, score string, lang_pred string")
     assert sorted(map(str, corpus_pipeline.language_id(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
     assert len(passed[0].columns) == 4
+
+
+def test_ids_are_unpacked_a_few_rows_at_a_time(monkeypatch):
+    passed, unpacked = [], tokens._ids_of
+    monkeypatch.setattr(tokens, "_ids_of", lambda column: passed.append(len(column)) or unpacked(column))
+    rows = pa.RecordBatch.from_pydict({"ids": [tokens.packed(np.array([k % 7, 5], np.uint32)) for k in range(1500)]})
+    (found,) = tokens._counted(iter([rows, rows.slice(0, 0), rows]))
+    expected = np.bincount([i for k in range(1500) for i in (k % 7, 5)]) * 2
+    assert dict(zip(found["id"].to_pylist(), found["count"].to_pylist())) == dict(enumerate(expected))
+    assert sum(passed) == 3000 and max(passed) <= 200
